@@ -1,0 +1 @@
+"""Empty on purpose: the workload is batch only and has no streaming operator."""
