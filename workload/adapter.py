@@ -1,7 +1,8 @@
 """Given tables in the shape of raw user, product and cart records.
 
 The derivations are plain arithmetic and text, so that the SQL side can repeat them. Everything is built
-row by row; no group of lines is gathered, however many lines one order has.
+row by row; no group of lines is gathered, however many lines one order has. Fields that start with
+``_`` are not part of the record; they tell batches apart.
 """
 
 from __future__ import annotations
@@ -71,6 +72,7 @@ def user_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         text(" University of ", F.col("n_name")).alias("university"),
         company.alias("company"),
         F.when(k % 3 == 0, " Admin ").otherwise("User").alias("role"),
+        F.col("c_acctbal").alias("_balance"),
     )
 
 
@@ -82,6 +84,7 @@ def product_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower("p_brand").alias("brand"),
         F.col("p_retailprice").alias("price"),
         F.col("p_size").alias("stock"),
+        F.col("p_brand").alias("_brand"),
     )
 
 
@@ -101,7 +104,7 @@ def cart_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     An order's lines arrive in several records of the same cart. Gathering them into one list would put
     all lines of an order into one task; a join leaves a hot order splittable.
     """
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.array(line_struct()).alias("products"))
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.col("o_orderkey").alias("id"),
@@ -109,25 +112,28 @@ def cart_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("total"),
         (F.col("o_totalprice") * 0.5).alias("discountedTotal"),
         F.coalesce("products", F.array().cast(lines.schema["products"].dataType)).alias("products"),
+        F.col("o_orderstatus").alias("_status"),
     )
 
 
-def raw(fields: DataFrame, source: str, batch_time: str = BATCH_TIME) -> DataFrame:
-    """Bronze rows of one batch with repeatable row ids."""
-    records = fields.select(F.to_json(F.struct("*")).alias("raw_json"))
-    return with_batch(records, batch_time, F.lit(source), row_id_from=["raw_json"])
+def raw(fields: DataFrame, source: str, newest: Column | None = None) -> DataFrame:
+    """Bronze rows with repeatable row ids: one batch, or two where ``newest`` tells the newer rows."""
+    stamp = F.lit(BATCH_TIME) if newest is None else F.when(newest, BATCH_TIME).otherwise(OLD_BATCH_TIME)
+    names = [name for name in fields.columns if not name.startswith("_")]
+    records = fields.select(F.to_json(F.struct(*names)).alias("raw_json"), stamp.alias("stamp"))
+    return with_batch(records, F.col("stamp"), F.lit(source), row_id_from=["raw_json"])
 
 
-def raw_users(spark: SparkSession, sf_dir: str, batch_time: str = BATCH_TIME) -> DataFrame:
-    return raw(user_fields(spark, sf_dir), "users", batch_time)
+def raw_users(spark: SparkSession, sf_dir: str, newest: Column | None = None) -> DataFrame:
+    return raw(user_fields(spark, sf_dir), "users", newest)
 
 
-def raw_products(spark: SparkSession, sf_dir: str, batch_time: str = BATCH_TIME) -> DataFrame:
-    return raw(product_fields(spark, sf_dir), "products", batch_time)
+def raw_products(spark: SparkSession, sf_dir: str, newest: Column | None = None) -> DataFrame:
+    return raw(product_fields(spark, sf_dir), "products", newest)
 
 
-def raw_carts(spark: SparkSession, sf_dir: str, batch_time: str = BATCH_TIME) -> DataFrame:
-    return raw(cart_fields(spark, sf_dir), "carts", batch_time)
+def raw_carts(spark: SparkSession, sf_dir: str, newest: Column | None = None) -> DataFrame:
+    return raw(cart_fields(spark, sf_dir), "carts", newest)
 
 
 def pages_of(records: DataFrame, entity: str, per_page: int = 100) -> DataFrame:
