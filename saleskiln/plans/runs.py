@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, functions as F
@@ -104,8 +104,8 @@ def merge(
             result = merge_into(warehouse, contract, staged, source_rows)
         else:
             rows_before = target.count()
-            merged = choose_upsert(warehouse, rows_before, source_rows)(target, staged, rule)
-            version = warehouse.write_version(layer, table, merged.select(*target.columns), bucket_key)
+            merged = merged_rows(warehouse, contract, target, staged, rows_before, source_rows)
+            version = warehouse.write_version(layer, table, merged, bucket_key)
             inserted = warehouse.spark.read.table(version).count() - rows_before
             warehouse.publish(layer, table, version)
             warehouse.drop_old_versions(layer, table)
@@ -127,12 +127,28 @@ def check_keys(staged: DataFrame, contract: TableContract, unique: bool) -> None
             raise QualityError(f"{contract.table}: {repeated} keys occur more than once in the batch")
 
 
-def choose_upsert(warehouse: Warehouse, target_rows: int, source_rows: int) -> Callable[..., DataFrame]:
+def merged_rows(
+    warehouse: Warehouse,
+    contract: TableContract,
+    target: DataFrame,
+    staged: DataFrame,
+    target_rows: int,
+    source_rows: int,
+) -> DataFrame:
+    """The cheapest plan for the upsert.
+
+    A bucketed target is joined bucket by bucket: only the batch is shuffled, and because each task then
+    holds exactly one bucket, the new version gets one file per bucket. That also asks for the first load
+    to be shuffled into buckets, and rules out the map-only rewrite, whose tasks would each write to all
+    buckets.
+    """
+    bucketed = contract.bucketed and warehouse.buckets > 0
     if target_rows == 0:
-        return insert_all
-    if source_rows <= warehouse.small_batch_rows and source_rows < target_rows:
-        return upsert_small_batch
-    return upsert
+        rows = insert_all(target, staged, contract.rule)
+        return rows.repartition(warehouse.buckets, contract.rule.keys[0]) if bucketed else rows
+    small = source_rows <= warehouse.small_batch_rows and source_rows < target_rows
+    plan = upsert_small_batch if small and not bucketed else upsert
+    return plan(target, staged, contract.rule).select(*target.columns)
 
 
 def merge_into(warehouse: Warehouse, contract: TableContract, staged: DataFrame, source_rows: int) -> MergeResult:

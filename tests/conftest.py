@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.checkpoint.dir", str(base / "shared"))
         .config("spark.sql.warehouse.dir", str(base / "warehouse"))
         .getOrCreate()

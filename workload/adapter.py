@@ -1,13 +1,12 @@
 """Given tables in the shape of raw user, product and cart records.
 
 The derivations are plain arithmetic and text, so that the SQL side can repeat them. Everything is built
-row by row; no group of lines is gathered, however many lines one order has. Fields that start with
-``_`` are not part of the record; they tell batches apart.
+row by row; no group of lines is gathered, however many lines one order has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from saleskiln.sources.bronze import with_batch
 
@@ -19,120 +18,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+USER_FIELDS = """
+    IF(c_custkey % 97 <> 0, c_custkey, NULL) AS id,
+    concat('  ', lower(c_mktsegment), ' ') AS firstName,
+    c_name AS lastName,
+    IF(c_custkey % 5 <> 0, concat('of ', n_name), NULL) AS maidenName,
+    IF(c_custkey % 11 <> 0, CAST(c_custkey % 90 AS INT), NULL) AS age,
+    element_at(array('male', ' Female ', 'other', 'unknown'), CAST(c_custkey % 4 + 1 AS INT)) AS gender,
+    IF(c_custkey % 13 = 0, 'bad-mail', concat('User', c_custkey, '@Example.COM ')) AS email,
+    concat(' user', c_custkey, ' ') AS username,
+    IF(c_custkey % 2 = 0, concat('+', c_custkey, ' (11) ', substring(c_name, 10, 20)), concat(' 0-', c_name)) AS phone,
+    IF(c_custkey % 17 = 0, 'not a date',
+       concat_ws('-', 1950 + c_custkey % 50, 1 + c_custkey % 12, 1 + c_custkey % 28)) AS birthDate,
+    'secret' AS password,
+    named_struct(
+        'address', concat(c_custkey, ' main street '), 'city', n_name, 'state', r_name,
+        'stateCode', concat(' ', substring(r_name, 1, 2), ' '), 'postalCode', concat(' 0', c_custkey, ' '),
+        'coordinates', named_struct('lat', double(c_custkey % 180 - 90), 'lng', double(c_custkey % 360 - 180)),
+        'country', concat(' country ', n_regionkey)) AS address,
+    concat(' University of ', n_name) AS university,
+    named_struct(
+        'department', lower(c_mktsegment), 'name', concat(' acme ', c_nationkey), 'title', 'clerk',
+        'address', named_struct(
+            'address', concat(c_custkey, ' office park'), 'city', concat(lower(n_name), ' '), 'state', lower(r_name),
+            'stateCode', concat(' ', substring(r_name, 1, 2), ' '), 'postalCode', concat('9', c_custkey),
+            'coordinates', named_struct('lat', double(c_custkey % 90), 'lng', double(c_custkey % 45) * 0.5D),
+            'country', lower(r_name))) AS company,
+    IF(c_custkey % 3 = 0, ' Admin ', 'User') AS role
+"""
+
+
 def user_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer with the fields a user record has."""
+    """One row per customer: the ``record`` a user has, and the balance that tells batches apart."""
     people = (
         table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    )
-    k = F.col("c_custkey")
-
-    def text(*parts: Column | str) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-    code = text(" ", F.substring("r_name", 1, 2), " ")
-    address = F.struct(
-        text(k, " main street ").alias("address"),
-        F.col("n_name").alias("city"),
-        F.col("r_name").alias("state"),
-        code.alias("stateCode"),
-        text(" 0", k, " ").alias("postalCode"),
-        F.struct((k % 180 - 90).cast("double").alias("lat"), (k % 360 - 180).cast("double").alias("lng")).alias("coordinates"),
-        text(" country ", F.col("n_regionkey")).alias("country"),
-    )
-    work = F.struct(
-        text(k, " office park").alias("address"),
-        text(F.lower("n_name"), " ").alias("city"),
-        F.lower("r_name").alias("state"),
-        code.alias("stateCode"),
-        text("9", k).alias("postalCode"),
-        F.struct((k % 90).cast("double").alias("lat"), (k % 45 * 0.5).alias("lng")).alias("coordinates"),
-        F.lower("r_name").alias("country"),
-    )
-    company = F.struct(
-        F.lower("c_mktsegment").alias("department"),
-        text(" acme ", F.col("c_nationkey")).alias("name"),
-        F.lit("clerk").alias("title"),
-        work.alias("address"),
-    )
-    return people.select(
-        F.when(k % 97 != 0, k).alias("id"),
-        text("  ", F.lower("c_mktsegment"), " ").alias("firstName"),
-        F.col("c_name").alias("lastName"),
-        F.when(k % 5 != 0, text("of ", F.col("n_name"))).alias("maidenName"),
-        F.when(k % 11 != 0, (k % 90).cast("int")).alias("age"),
-        F.element_at(F.array(*[F.lit(g) for g in ("male", " Female ", "other", "unknown")]), (k % 4 + 1).cast("int")).alias("gender"),
-        F.when(k % 13 == 0, "bad-mail").otherwise(text("User", k, "@Example.COM ")).alias("email"),
-        text(" user", k, " ").alias("username"),
-        F.when(k % 2 == 0, text("+", k, " (11) ", F.substring("c_name", 10, 20))).otherwise(text(" 0-", F.col("c_name"))).alias("phone"),
-        F.when(k % 17 == 0, "not a date").otherwise(text(1950 + k % 50, "-", 1 + k % 12, "-", 1 + k % 28)).alias("birthDate"),
-        F.lit("secret").alias("password"),
-        address.alias("address"),
-        text(" University of ", F.col("n_name")).alias("university"),
-        company.alias("company"),
-        F.when(k % 3 == 0, " Admin ").otherwise("User").alias("role"),
-        F.col("c_acctbal").alias("_balance"),
+        .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     )
+    return people.selectExpr(f"struct({USER_FIELDS}) AS record", "c_acctbal AS balance")
 
 
 def product_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id"),
-        F.concat(F.lit(" "), F.col("p_name")).alias("title"),
-        F.col("p_type").alias("category"),
-        F.lower("p_brand").alias("brand"),
-        F.col("p_retailprice").alias("price"),
-        F.col("p_size").alias("stock"),
-        F.col("p_brand").alias("_brand"),
+    return table(spark, sf_dir, "part").selectExpr(
+        """struct(p_partkey AS id, concat(' ', p_name) AS title, p_type AS category, lower(p_brand) AS brand,
+                  p_retailprice AS price, p_size AS stock) AS record""",
+        "p_brand AS brand",
     )
 
 
-def line_struct() -> Column:
-    return F.struct(
-        F.col("l_partkey").alias("id"),
-        F.col("l_extendedprice").alias("price"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        F.col("l_extendedprice").alias("total"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("discountedTotal"),
-    )
+LINE = """struct(l_partkey AS id, l_extendedprice AS price, CAST(l_quantity AS INT) AS quantity,
+                 l_extendedprice AS total, l_extendedprice * (1 - l_discount) AS discountedTotal)"""
 
 
 def cart_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cart record per order line, and one with an empty list per order without lines.
+    """One cart record per order line: an order's lines arrive in several records of the same cart.
 
-    An order's lines arrive in several records of the same cart. Gathering them into one list would put
-    all lines of an order into one task; a join leaves a hot order splittable.
+    Gathering them into one list would put all lines of an order into one task. Both tables grow with the
+    data, hence the merge hint; and only an inner join lets adaptive execution split a hot order on the
+    side of the lines. Orders without lines would vanish in the explode anyway.
     """
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.array(line_struct()).alias("products"))
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_custkey").alias("userId"),
-        F.col("o_totalprice").alias("total"),
-        (F.col("o_totalprice") * 0.5).alias("discountedTotal"),
-        F.coalesce("products", F.array().cast(lines.schema["products"].dataType)).alias("products"),
-        F.col("o_orderstatus").alias("_status"),
+    orders = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"array({LINE}) AS products")
+    return orders.join(lines.hint("merge"), F.expr("o_orderkey = l_orderkey")).selectExpr(
+        """struct(o_orderkey AS id, o_custkey AS userId, o_totalprice AS total, o_totalprice * 0.5D AS discountedTotal,
+                  products) AS record""",
+        "o_orderstatus AS status",
     )
 
 
-def raw(fields: DataFrame, source: str, newest: Column | None = None) -> DataFrame:
+def raw(records: DataFrame, source: str, newest: str | None = None) -> DataFrame:
     """Bronze rows with repeatable row ids: one batch, or two where ``newest`` tells the newer rows."""
-    stamp = F.lit(BATCH_TIME) if newest is None else F.when(newest, BATCH_TIME).otherwise(OLD_BATCH_TIME)
-    names = [name for name in fields.columns if not name.startswith("_")]
-    records = fields.select(F.to_json(F.struct(*names)).alias("raw_json"), stamp.alias("stamp"))
-    return with_batch(records, F.col("stamp"), F.lit(source), row_id_from=["raw_json"])
+    stamp = f"IF({newest or 'true'}, '{BATCH_TIME}', '{OLD_BATCH_TIME}') AS stamp"
+    texts = records.selectExpr("to_json(record) AS raw_json", stamp)
+    return with_batch(texts, F.col("stamp"), F.lit(source), row_id_from=["raw_json"])
 
 
-def raw_users(spark: SparkSession, sf_dir: str, newest: Column | None = None) -> DataFrame:
+def raw_users(spark: SparkSession, sf_dir: str, newest: str | None = None) -> DataFrame:
     return raw(user_fields(spark, sf_dir), "users", newest)
 
 
-def raw_products(spark: SparkSession, sf_dir: str, newest: Column | None = None) -> DataFrame:
+def raw_products(spark: SparkSession, sf_dir: str, newest: str | None = None) -> DataFrame:
     return raw(product_fields(spark, sf_dir), "products", newest)
 
 
-def raw_carts(spark: SparkSession, sf_dir: str, newest: Column | None = None) -> DataFrame:
+def raw_carts(spark: SparkSession, sf_dir: str, newest: str | None = None) -> DataFrame:
     return raw(cart_fields(spark, sf_dir), "carts", newest)
 
 
@@ -142,17 +111,14 @@ def pages_of(records: DataFrame, entity: str, per_page: int = 100) -> DataFrame:
     Page membership follows the position of a record in its input split, so a page is bounded whatever
     the values are.
     """
-    numbered = records.select("raw_json", F.floor(F.monotonically_increasing_id() / per_page).alias("page"))
     total = records.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return numbered.groupBy("page").agg(F.collect_list("raw_json").alias("texts")).select(
-        F.concat(
-            F.lit(f'{{"{entity}":['),
-            F.concat_ws(",", "texts"),
-            F.lit('],"total":'),
-            total.cast("string"),
-            F.lit(',"skip":'),
-            (F.col("page") * per_page).cast("string"),
-            F.lit("}"),
-        ).alias("body"),
-        F.concat(F.lit(f"{entity}/page="), F.col("page").cast("string")).alias("page_source"),
+    return (
+        records.selectExpr("raw_json", f"monotonically_increasing_id() DIV {per_page} AS page")
+        .groupBy("page")
+        .agg(F.concat_ws(",", F.collect_list("raw_json")).alias("texts"))
+        .withColumn("total", total)
+        .selectExpr(
+            f"""concat('{{"{entity}":[', texts, '],"total":', total, ',"skip":', page * {per_page}, '}}') AS body""",
+            f"concat('{entity}/page=', page) AS page_source",
+        )
     )

@@ -61,22 +61,22 @@ def sales_by_client(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dim_client(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients of the newest of two batches."""
-    newest = latest_batch(adapter.raw_users(spark, sf_dir, newest=F.col("_balance") >= 0))
+    newest = latest_batch(adapter.raw_users(spark, sf_dir, newest="balance >= 0"))
     return plain(builds.dim_client(newest, ID))
 
 
 @query
 def dim_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = latest_batch(adapter.raw_products(spark, sf_dir, newest=F.col("_brand") != "Brand#1"))
+    newest = latest_batch(adapter.raw_products(spark, sf_dir, newest="brand <> 'Brand#1'"))
     return plain(builds.dim_product(newest, ID))
 
 
 @query
 def ft_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sale facts of the newest of two batches; some clients and products are unknown."""
-    newest = latest_batch(adapter.raw_carts(spark, sf_dir, newest=F.col("_status") != "F"))
-    users = latest_batch(adapter.raw_users(spark, sf_dir, newest=F.col("_balance") >= 0))
-    parts = latest_batch(adapter.raw_products(spark, sf_dir, newest=F.col("_brand") != "Brand#1"))
+    newest = latest_batch(adapter.raw_carts(spark, sf_dir, newest="status <> 'F'"))
+    users = latest_batch(adapter.raw_users(spark, sf_dir, newest="balance >= 0"))
+    parts = latest_batch(adapter.raw_products(spark, sf_dir, newest="brand <> 'Brand#1'"))
     clients = builds.dim_client(users, ID, only=["client_id"])
     products = builds.dim_product(parts, ID, only=["product_id"])
     return plain(builds.ft_sale(newest, products, clients, ID))
@@ -85,8 +85,8 @@ def ft_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sale_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the fact build leaves out: repeated lines, lines of unknown members."""
-    users = latest_batch(adapter.raw_users(spark, sf_dir, newest=F.col("_balance") >= 0))
-    parts = latest_batch(adapter.raw_products(spark, sf_dir, newest=F.col("_brand") != "Brand#1"))
+    users = latest_batch(adapter.raw_users(spark, sf_dir, newest="balance >= 0"))
+    parts = latest_batch(adapter.raw_products(spark, sf_dir, newest="brand <> 'Brand#1'"))
     clients = builds.dim_client(users, ID, only=["client_id"])
     products = builds.dim_product(parts, ID, only=["product_id"])
     return builds.sale_audit(adapter.raw_carts(spark, sf_dir), products, clients, ID)
@@ -112,8 +112,8 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         adapter.cart_fields(spark, sf_dir),
     )
     rounds = (
-        (adapter.OLD_BATCH_TIME, users.filter("_balance >= 0"), carts.filter("_status = 'F'")),
-        (adapter.BATCH_TIME, users, carts.filter("_status <> 'F'")),
+        (adapter.OLD_BATCH_TIME, users.filter("balance >= 0"), carts.filter("status = 'F'")),
+        (adapter.BATCH_TIME, users, carts.filter("status <> 'F'")),
     )
     for batch_time, some_users, some_carts in rounds:
         fields = {"users": some_users, "products": products, "carts": some_carts}
@@ -246,7 +246,7 @@ def explode_cart_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.floor(F.monotonically_increasing_id() / 8192)
     filled = (
         table(spark, sf_dir, "lineitem")
-        .select(F.col("l_orderkey").alias("id"), block.alias("block"), adapter.line_struct().alias("line"))
+        .select(F.col("l_orderkey").alias("id"), block.alias("block"), F.expr(adapter.LINE).alias("line"))
         .groupBy("id", "block")
         .agg(F.collect_list("line").alias("products"))
         .drop("block")
