@@ -16,14 +16,15 @@ def newest_batch_time(df: DataFrame, column: str = BATCH_COLUMN) -> DataFrame:
     return df.agg(F.max(column).alias("newest_batch"))
 
 
-def latest_batch(df: DataFrame, column: str = BATCH_COLUMN) -> DataFrame:
+def latest_batch(df: DataFrame, column: str = BATCH_COLUMN, batches: DataFrame | None = None) -> DataFrame:
     """Rows of the newest batch.
 
     The maximum is a scalar subquery of the same plan. On a table partitioned by ``column`` the filter
     prunes partitions at run time, so only the newest batch is read, and the subquery reads no data
-    column.
+    column. Where ``df`` is costly to derive, ``batches`` names a cheaper frame with the same batches.
     """
-    return df.filter(F.col(column) == newest_batch_time(df, column).scalar())
+    newest = newest_batch_time(df if batches is None else batches, column)
+    return df.filter(F.col(column) == newest.scalar())
 
 
 def require_batch(df: DataFrame, label: str, column: str = BATCH_COLUMN) -> DataFrame:

@@ -61,6 +61,12 @@ def sale_rows(bronze: DataFrame, id_type: str = "int") -> DataFrame:
     return project_fields(lines, fields, extra=[hash_key("id", "line.id").alias("hash_id")])
 
 
+def lines_with_members(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str) -> DataFrame:
+    """Every line, with the surrogates of its product and client where they are known."""
+    lines = lookup_key(sale_rows(bronze, id_type), products, "product_id", "sk_product")
+    return lookup_key(lines, clients, "client_id", "sk_client")
+
+
 def dim_client(
     bronze: DataFrame,
     id_type: str = "int",
@@ -87,30 +93,45 @@ def dimension(rows: DataFrame, key: str, entity: str, observation: Observation |
     return latest.select(surrogate_key(entity, key).alias(f"sk_{entity}"), "*")
 
 
-def sale_lines_latest(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str = "int") -> DataFrame:
+def sale_lines_latest(
+    bronze: DataFrame,
+    products: DataFrame,
+    clients: DataFrame,
+    id_type: str = "int",
+    observation: Observation | None = None,
+) -> DataFrame:
     """Newest line per ``hash_id`` with both surrogates, NULL where a member is unknown.
 
     The members are looked up in front of the deduplication. Left joins keep every line, so the winner
     per key is the same as when looking up afterwards; but the result leaves the window partitioned by
-    ``hash_id``, the key the upsert joins on.
+    ``hash_id``, the key the upsert joins on. ``observation`` counts lines and unknown members on the way.
     """
-    lines = sale_rows(bronze, id_type)
-    lines = lookup_key(lines, products, "product_id", "sk_product")
-    lines = lookup_key(lines, clients, "client_id", "sk_client")
+    lines = lines_with_members(bronze, products, clients, id_type)
+    if observation:
+        lines = lines.observe(
+            observation,
+            F.count(F.lit(1)).alias("lines_read"),
+            F.count_if(F.col("sk_product").isNull()).alias("lines_without_product"),
+            F.count_if(F.col("sk_client").isNull()).alias("lines_without_client"),
+        )
     return keep_latest(lines, ["hash_id"], BATCH_COLUMN, ["unit_price", "quantity", "net_amount", "row_id"])
 
 
-def ft_sale(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str = "int") -> DataFrame:
+def ft_sale(
+    bronze: DataFrame,
+    products: DataFrame,
+    clients: DataFrame,
+    id_type: str = "int",
+    observation: Observation | None = None,
+) -> DataFrame:
     """Sale facts: lines of an unknown client or product are dropped, natural keys are not stored."""
-    lines = sale_lines_latest(bronze, products, clients, id_type)
+    lines = sale_lines_latest(bronze, products, clients, id_type, observation)
     return resolved(lines, "sk_product", "sk_client").drop("client_id", "product_id")
 
 
 def sale_audit(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str = "int") -> DataFrame:
     """One row on what the fact build leaves out: repeated lines and lines of unknown members."""
-    lines = sale_rows(bronze, id_type)
-    lines = lookup_key(lines, products, "product_id", "sk_product")
-    lines = lookup_key(lines, clients, "client_id", "sk_client")
+    lines = lines_with_members(bronze, products, clients, id_type)
     per_key = lines.groupBy("hash_id").agg(
         F.count(F.lit(1)).alias("copies"),
         F.count_if(F.col("sk_product").isNull()).alias("no_product"),

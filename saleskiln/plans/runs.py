@@ -5,6 +5,8 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
@@ -85,8 +87,8 @@ def merge(
 
     The batch plan runs once, into staging; its report is judged there, before the target is touched.
     Counts come from row counts of stored files, which also hold after repeated tasks: keys are unique
-    and not NULL on both sides, hence rows after = rows before + inserted. ``unique=True`` says that the
-    batch is unique by construction and saves the key check.
+    and not NULL on both sides, hence rows after = rows before + inserted. ``unique=True`` says that
+    the batch has one row per key and no NULL keys by construction, and saves the key check.
     """
     layer, table, rule = contract.layer, contract.table, contract.rule
     schema = contract.schema(warehouse.id_type)
@@ -97,7 +99,8 @@ def merge(
         staged = warehouse.spark.read.table(staged_name)
         if observation is not None:
             judge(observation.get, f"{layer}.{table}")
-        check_keys(staged, contract, unique)
+        if not unique:
+            check_keys(staged, contract)
         source_rows = staged.count()
         target = warehouse.read(layer, table)
         if warehouse.native_merge:
@@ -116,15 +119,14 @@ def merge(
     return result
 
 
-def check_keys(staged: DataFrame, contract: TableContract, unique: bool) -> None:
+def check_keys(staged: DataFrame, contract: TableContract) -> None:
     keys = list(contract.rule.keys)
-    for key in keys:
-        if not staged.filter(F.col(key).isNull()).isEmpty():
-            raise QualityError(f"{contract.table}: NULL in key {key}")
-    if not unique:
-        repeated = duplicate_keys(staged, keys).count()
-        if repeated:
-            raise QualityError(f"{contract.table}: {repeated} keys occur more than once in the batch")
+    nulls = staged.filter(reduce(or_, [F.col(key).isNull() for key in keys])).count()
+    if nulls:
+        raise QualityError(f"{contract.table}: {nulls} rows with NULL in the key")
+    repeated = duplicate_keys(staged, keys).count()
+    if repeated:
+        raise QualityError(f"{contract.table}: {repeated} keys occur more than once in the batch")
 
 
 def merged_rows(
@@ -193,8 +195,11 @@ def run_dim_product(warehouse: Warehouse) -> MergeResult:
 
 def run_ft_sale(warehouse: Warehouse) -> MergeResult:
     products, clients = warehouse.read("silver", "dim_product"), warehouse.read("silver", "dim_client")
-    rows = builds.ft_sale(newest(warehouse, "carts"), products, clients, warehouse.id_type)
-    return merge(warehouse, FT_SALE, rows, unique=True)
+    lines = Observation()
+    rows = builds.ft_sale(newest(warehouse, "carts"), products, clients, warehouse.id_type, lines)
+    result = merge(warehouse, FT_SALE, rows, unique=True)
+    log.info("silver.ft_sale: lines %s", lines.get)
+    return result
 
 
 def run_sales_by_client(warehouse: Warehouse, measure: str = "unit_price") -> MergeResult:

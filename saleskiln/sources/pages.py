@@ -85,7 +85,7 @@ def page_metrics() -> list[Column]:
         F.count(F.lit(1)).alias("pages"),
         F.count_if(broken).alias("broken_pages"),
         F.min(F.when(broken, F.col("page_offset"))).alias("first_broken_offset"),
-        F.coalesce(F.sum(F.size("records").cast("bigint")), F.lit(0).cast("bigint")).alias("records_held"),
+        F.coalesce(F.sum(F.array_size("records").cast("bigint")), F.lit(0).cast("bigint")).alias("records_held"),
         F.max("page_total").alias("records_announced"),
     ]
 

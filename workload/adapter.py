@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from saleskiln.operators import latest_batch
 from saleskiln.sources.bronze import with_batch
+from saleskiln.sources.schemas import BATCH_COLUMN
 
 BATCH_TIME = "2024-05-01 08:00:00"
 OLD_BATCH_TIME = "2024-04-30 08:00:00"
@@ -86,10 +88,13 @@ def cart_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def batch_of(newest: str | None) -> str:
+    return f"IF({newest or 'true'}, '{BATCH_TIME}', '{OLD_BATCH_TIME}')"
+
+
 def raw(records: DataFrame, source: str, newest: str | None = None) -> DataFrame:
     """Bronze rows with repeatable row ids: one batch, or two where ``newest`` tells the newer rows."""
-    stamp = f"IF({newest or 'true'}, '{BATCH_TIME}', '{OLD_BATCH_TIME}') AS stamp"
-    texts = records.selectExpr("to_json(record) AS raw_json", stamp)
+    texts = records.selectExpr("to_json(record) AS raw_json", f"{batch_of(newest)} AS stamp")
     return with_batch(texts, F.col("stamp"), F.lit(source), row_id_from=["raw_json"])
 
 
@@ -105,6 +110,13 @@ def raw_carts(spark: SparkSession, sf_dir: str, newest: str | None = None) -> Da
     return raw(cart_fields(spark, sf_dir), "carts", newest)
 
 
+def newest_carts(spark: SparkSession, sf_dir: str, newest: str) -> DataFrame:
+    """Cart records of the newest batch; the batches are read off the orders, ahead of the join."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderstatus AS status")
+    batches = orders.selectExpr(f"{batch_of(newest)} AS {BATCH_COLUMN}")
+    return latest_batch(raw_carts(spark, sf_dir, newest), batches=batches)
+
+
 def pages_of(records: DataFrame, entity: str, per_page: int = 100) -> DataFrame:
     """Landed pages of ``records`` (``raw_json``): at most ``per_page`` records each, by construction.
 

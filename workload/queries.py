@@ -74,7 +74,7 @@ def dim_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ft_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sale facts of the newest of two batches; some clients and products are unknown."""
-    newest = latest_batch(adapter.raw_carts(spark, sf_dir, newest="status <> 'F'"))
+    newest = adapter.newest_carts(spark, sf_dir, newest="status <> 'F'")
     users = latest_batch(adapter.raw_users(spark, sf_dir, newest="balance >= 0"))
     parts = latest_batch(adapter.raw_products(spark, sf_dir, newest="brand <> 'Brand#1'"))
     clients = builds.dim_client(users, ID, only=["client_id"])
