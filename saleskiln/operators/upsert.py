@@ -71,9 +71,10 @@ def upsert(target: DataFrame, source: DataFrame, rule: UpsertRule, now: ColumnOr
 def upsert_small_batch(target: DataFrame, source: DataFrame, rule: UpsertRule, now: ColumnOrName | None = None) -> DataFrame:
     """Same rows as ``upsert`` for a source that is small next to the target.
 
-    A full outer join can never broadcast. A left join of the target can: where the source is below the
-    broadcast threshold the target is rewritten task by task without a shuffle, and a second, key-only
-    scan of it finds the source rows to insert. Above the threshold Spark shuffles; rows are the same.
+    A full outer join can never broadcast. A left join of the target can: the target is then rewritten
+    task by task without a shuffle, and a second, key-only scan of it finds the source rows to insert. A
+    caller that has checked the size of the source hints the broadcast; otherwise Spark decides by its own
+    threshold and shuffles above it, with the same rows.
     """
     rule.check(target.columns, source.columns)
     keys = list(rule.keys)

@@ -107,7 +107,10 @@ def merge(
             result = merge_into(warehouse, contract, staged, source_rows)
         else:
             rows_before = target.count()
-            merged = merged_rows(warehouse, contract, target, staged, rows_before, source_rows)
+            small = source_rows <= warehouse.small_batch_rows and (
+                warehouse.stored_bytes(staged_name) <= warehouse.small_batch_bytes
+            )
+            merged = merged_rows(warehouse, contract, target, rows_before, staged, small)
             version = warehouse.write_version(layer, table, merged, bucket_key)
             inserted = warehouse.spark.read.table(version).count() - rows_before
             warehouse.publish(layer, table, version)
@@ -133,11 +136,11 @@ def merged_rows(
     warehouse: Warehouse,
     contract: TableContract,
     target: DataFrame,
-    staged: DataFrame,
     target_rows: int,
-    source_rows: int,
+    staged: DataFrame,
+    small: bool,
 ) -> DataFrame:
-    """The cheapest plan for the upsert.
+    """The cheapest plan for the upsert; ``small`` says that the staged batch may be broadcast.
 
     A bucketed target is joined bucket by bucket: only the batch is shuffled, and because each task then
     holds exactly one bucket, the new version gets one file per bucket. That also asks for the first load
@@ -148,9 +151,11 @@ def merged_rows(
     if target_rows == 0:
         rows = insert_all(target, staged, contract.rule)
         return rows.repartition(warehouse.buckets, contract.rule.keys[0]) if bucketed else rows
-    small = source_rows <= warehouse.small_batch_rows and source_rows < target_rows
-    plan = upsert_small_batch if small and not bucketed else upsert
-    return plan(target, staged, contract.rule).select(*target.columns)
+    if small and not bucketed:
+        rows = upsert_small_batch(target, F.broadcast(staged), contract.rule)
+    else:
+        rows = upsert(target, staged, contract.rule)
+    return rows.select(*target.columns)
 
 
 def merge_into(warehouse: Warehouse, contract: TableContract, staged: DataFrame, source_rows: int) -> MergeResult:

@@ -37,7 +37,8 @@ class Warehouse:
     """Where the layers live: ``<prefix><layer>.<table>``, stored below ``root``.
 
     ``buckets`` is the bucket count of bucketed contracts (0 = none); size it so that one bucket of the
-    table is a few hundred MB. ``small_batch_rows`` bounds the batches merged by broadcast-friendly joins.
+    table is a few hundred MB. A staged batch within both ``small_batch_bytes`` (of files) and
+    ``small_batch_rows`` is merged by broadcasting it.
     """
 
     spark: SparkSession
@@ -47,7 +48,8 @@ class Warehouse:
     native_merge: bool = False
     id_type: str = "int"
     buckets: int = 0
-    small_batch_rows: int = 1_000_000
+    small_batch_bytes: int = 16 << 20
+    small_batch_rows: int = 500_000
     keep_versions: int = 2
 
     @classmethod
@@ -92,6 +94,13 @@ class Warehouse:
         batch.write.format("parquet").saveAsTable(name)
         return name
 
+    def stored_bytes(self, name: str) -> int:
+        """Size of a table's files, taken from the file system without reading them."""
+        self.spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS NOSCAN")
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}")
+        statistics = described.filter("col_name = 'Statistics'").first()
+        return int(statistics.data_type.split()[0])
+
     def drop_staged(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 

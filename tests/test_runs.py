@@ -251,14 +251,20 @@ def test_repeated_and_null_keys_in_a_batch_are_refused(spark, warehouse):
 def test_both_upsert_plans_give_the_same_table(spark):
     ddl = SALES_BY_CLIENT.schema()
     tables = []
-    for limit in (0, 1000):
-        warehouse = Warehouse.scratch(spark, small_batch_rows=limit)
+    for limits in ({"small_batch_rows": 0}, {"small_batch_bytes": 1}, {}):
+        warehouse = Warehouse.scratch(spark, **limits)
         runs.merge(warehouse, SALES_BY_CLIENT, spark.createDataFrame([(i, "A", "B", float(i)) for i in range(50)], ddl))
         batch = [(i, "A", "C", -float(i)) for i in range(40, 60)]
         result = runs.merge(warehouse, SALES_BY_CLIENT, spark.createDataFrame(batch, ddl))
         assert (result.rows_inserted, result.rows_updated) == (10, 10)
         tables.append(sorted(tuple(row) for row in warehouse.read("gold", "sales_by_client").collect()))
-    assert tables[0] == tables[1] and len(tables[0]) == 60
+    assert tables[0] == tables[1] == tables[2] and len(tables[0]) == 60
+
+
+def test_stored_bytes(spark, warehouse):
+    small = warehouse.stage(spark.range(10).toDF("id"), "a")
+    large = warehouse.stage(spark.range(100_000).toDF("id"), "b")
+    assert 0 < warehouse.stored_bytes(small) < warehouse.stored_bytes(large)
 
 
 def test_bucketed_upsert_does_not_shuffle_the_target(spark, tmp_path):

@@ -28,7 +28,7 @@ from saleskiln.operators import (
 )
 from saleskiln.plans import builds, runs
 from saleskiln.sources.bronze import with_batch
-from saleskiln.sources.pages import page_records, page_report
+from saleskiln.sources.pages import page_records, page_report, read_pages
 from saleskiln.sources.schemas import BATCH_COLUMN, prune, user_schema
 from saleskiln.sources.tables import Warehouse
 from workload import adapter
@@ -100,7 +100,7 @@ def totals_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds of landing, ingest, upserts and totals in a warehouse of its own; the final totals.
+    """Two rounds of landed page files, ingest, upserts and totals in a warehouse of its own; the final totals.
 
     Round one knows the clients with a balance and brings the carts with status F, round two brings all
     clients and the other carts. Lines of round one whose client was unknown then stay out.
@@ -115,9 +115,12 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         (adapter.OLD_BATCH_TIME, users.filter("balance >= 0"), carts.filter("status = 'F'")),
         (adapter.BATCH_TIME, users, carts.filter("status <> 'F'")),
     )
-    for batch_time, some_users, some_carts in rounds:
-        fields = {"users": some_users, "products": products, "carts": some_carts}
-        landed = {name: adapter.pages_of(adapter.raw(frame, name), name) for name, frame in fields.items()}
+    for number, (batch_time, some_users, some_carts) in enumerate(rounds):
+        landed = {}
+        for name, records in {"users": some_users, "products": products, "carts": some_carts}.items():
+            folder = f"{warehouse.root}/landing/{number}/{name}"
+            adapter.pages_of(adapter.raw(records, name), name).select("body").write.text(folder)
+            landed[name] = read_pages(spark, folder, one_page_per_line=True)
         runs.run_all(warehouse, landed, batch_time)
     return warehouse.read("gold", "sales_by_client")
 
