@@ -1,4 +1,4 @@
-"""Submit one run: ``spark-submit --py-files ... -m saleskiln``-style entry, also ``python -m saleskiln``.
+"""One run as a job: ``python -m saleskiln``, or this file under ``spark-submit`` with the package in ``--py-files``.
 
 Reads landed pages from ``<landing>/users``, ``<landing>/products`` and ``<landing>/carts`` and brings
 the tables below ``--root`` up to date. Steps run in the order given.

@@ -12,8 +12,13 @@ DIGEST_BITS = 256
 
 
 def hash_key(*parts: ColumnOrName) -> Column:
-    """Lower-case hex digest of the joined parts; NULL parts are skipped, not hashed as text."""
-    return F.sha2(F.concat_ws(KEY_SEPARATOR, *[as_column(part) for part in parts]), DIGEST_BITS)
+    """Lower-case hex digest of the joined parts; NULL parts are skipped, not hashed as text.
+
+    The digest is never NULL. ``coalesce`` tells the optimizer so; otherwise a join or filter on the key
+    would compute the digest a second time per row for an inferred not-null test.
+    """
+    digest = F.sha2(F.concat_ws(KEY_SEPARATOR, *[as_column(part) for part in parts]), DIGEST_BITS)
+    return F.coalesce(digest, F.lit(""))
 
 
 def surrogate_key(entity: str, natural_key: ColumnOrName) -> Column:

@@ -265,3 +265,14 @@ def test_small_batch_is_broadcast_to_the_target(spark):
     source = spark.createDataFrame([(1, "b", "new")], SOURCE_DDL).hint("broadcast")
     physical = plan_text(upsert_small_batch(target, source, RULE)).split("== Physical Plan ==")[1]
     assert "LeftOuter, BuildRight" in physical and "FullOuter" not in physical
+
+
+def test_surrogate_is_not_hashed_again_for_a_null_test(spark):
+    from saleskiln.functions import surrogate_key
+
+    dim = spark.range(5).select(F.col("id").alias("product_id"), surrogate_key("product", "id").alias("sk_product"))
+    lines = spark.range(9).select((F.col("id") % 7).alias("product_id"))
+    found = resolved(lookup_key(lines, dim, "product_id", "sk_product"), "sk_product")
+    optimized = plan_text(found).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("sha2") == 1
+    assert found.count() == 7
