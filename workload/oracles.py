@@ -270,7 +270,7 @@ ORACLES: dict[str, str] = {
     "safe_date_cast": """
         SELECT o_orderkey,
                CASE WHEN NOT starts_with(o_orderpriority, '1') THEN CAST(o_orderdate AS DATE) END AS day,
-               CASE WHEN NOT starts_with(o_orderpriority, '1') THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS moment,
+               CASE WHEN NOT starts_with(o_orderpriority, '1') THEN strftime(o_orderdate, '%Y-%m-%d 12:30:00') END AS moment,
                CASE WHEN NOT starts_with(o_orderpriority, '1') THEN CAST(floor(o_totalprice) AS INTEGER) END AS whole_price
         FROM orders
     """,

@@ -357,7 +357,7 @@ def safe_date_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.when(bad, "not a date").otherwise(text).alias("day_text"),
-        F.when(bad, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("time_text"),
+        F.when(bad, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd 12:30:00")).alias("time_text"),
         F.when(bad, "x").otherwise(F.floor("o_totalprice").cast("string")).alias("number_text"),
     )
     return orders.select(
