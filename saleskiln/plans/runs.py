@@ -92,8 +92,6 @@ def merge(
     """
     layer, table, rule = contract.layer, contract.table, contract.rule
     schema = contract.schema(warehouse.id_type)
-    bucket_key = rule.keys[0] if contract.bucketed else None
-    warehouse.ensure(layer, table, schema, bucket_key)
     staged_name = warehouse.stage(batch, table)
     try:
         staged = warehouse.spark.read.table(staged_name)
@@ -102,17 +100,23 @@ def merge(
         if not unique:
             check_keys(staged, contract)
         source_rows = staged.count()
-        target = warehouse.read(layer, table)
         if warehouse.native_merge:
+            warehouse.create_empty(layer, table, schema)
             result = merge_into(warehouse, contract, staged, source_rows)
         else:
-            rows_before = target.count()
+            if warehouse.exists(layer, table):
+                target = warehouse.read(layer, table)
+                rows_before = target.count()
+            else:
+                target, rows_before = warehouse.spark.createDataFrame([], schema), 0
             small = source_rows <= warehouse.small_batch_rows and (
                 warehouse.stored_bytes(staged_name) <= warehouse.small_batch_bytes
             )
             merged = merged_rows(warehouse, contract, target, rows_before, staged, small)
-            version = warehouse.write_version(layer, table, merged, bucket_key)
+            version = warehouse.write_version(layer, table, merged, rule.keys[0] if contract.bucketed else None)
             inserted = warehouse.spark.read.table(version).count() - rows_before
+            if not 0 <= inserted <= source_rows:
+                raise QualityError(f"{layer}.{table}: {inserted} rows more from a batch of {source_rows}, not published")
             warehouse.publish(layer, table, version)
             warehouse.drop_old_versions(layer, table)
             result = MergeResult(f"{layer}.{table}", inserted, source_rows - inserted, source_rows)

@@ -104,15 +104,10 @@ class Warehouse:
     def drop_staged(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def ensure(self, layer: str, table: str, schema: StructType, bucket_key: str | None = None) -> None:
-        """Create an empty table from its contract if it does not exist."""
-        if self.exists(layer, table):
-            return
-        empty = self.spark.createDataFrame([], schema)
-        if self.native_merge:
-            empty.write.format(self.fmt).saveAsTable(self.name(layer, table))
-        else:
-            self.publish(layer, table, self.write_version(layer, table, empty, bucket_key))
+    def create_empty(self, layer: str, table: str, schema: StructType) -> None:
+        """Create a table of a MERGE-capable format from its contract if it does not exist."""
+        if not self.exists(layer, table):
+            self.spark.createDataFrame([], schema).write.format(self.fmt).saveAsTable(self.name(layer, table))
 
     def write_version(self, layer: str, table: str, rows: DataFrame, bucket_key: str | None = None) -> str:
         """Store ``rows`` as a new version and return its table name; the public name still shows the old one."""

@@ -297,3 +297,12 @@ def test_schemas_cover_the_raw_records():
     assert user_schema()["company"].dataType["address"].dataType["coordinates"].dataType["lat"].dataType.typeName() == "double"
     assert product_schema()["reviews"].dataType.elementType["rating"].dataType.typeName() == "integer"
     assert [len(s.fieldNames()) for s in (user_schema(), product_schema(), cart_schema("bigint"))] == [28, 22, 7]
+
+
+def test_impossible_counts_are_not_published(spark, warehouse, monkeypatch):
+    ddl = SALES_BY_CLIENT.schema()
+    runs.merge(warehouse, SALES_BY_CLIENT, spark.createDataFrame([(1, "A", "B", 1.0)], ddl))
+    monkeypatch.setattr(runs, "upsert_small_batch", lambda target, source, rule: target.union(target).union(target))
+    with pytest.raises(QualityError, match="not published"):
+        runs.merge(warehouse, SALES_BY_CLIENT, spark.createDataFrame([(1, "A", "B", 2.0)], ddl))
+    assert gold(warehouse) == {1: 1.0}
