@@ -207,7 +207,7 @@ TARGET_DDL = "k int, v string, first_seen string, touched timestamp, extra int"
 SOURCE_DDL = "k int, v string, first_seen string"
 
 
-def reference_upsert(target, source):
+def expected_upsert(target, source):
     new = {row[0]: row for row in source}
     rows = []
     for k, v, seen, touched, extra in target:
@@ -227,7 +227,7 @@ def test_upsert_against_python(spark, plan):
     source = [(k, rng.choice([None, f"s{k}"]), "new") for k in rng.sample(range(100), 50)] + [(None, "s", "new")]
     merged = plan(spark.createDataFrame(target, TARGET_DDL), spark.createDataFrame(source, SOURCE_DDL), RULE)
     rows = [(r.k, r.v, r.first_seen, r.touched is not None, r.extra, r.merge_action) for r in merged.collect()]
-    assert sorted(rows, key=repr) == reference_upsert(target, source)
+    assert sorted(rows, key=repr) == expected_upsert(target, source)
     counts = merge_metrics(merged).first()
     assert counts.source_rows == len(source)
     assert counts.rows_inserted + counts.rows_updated + counts.rows_kept == len(rows)
