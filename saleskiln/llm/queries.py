@@ -12,6 +12,7 @@ from saleskiln.llm.decontaminate import find_contamination
 from saleskiln.llm.langid import identify_language, train_languages
 from saleskiln.llm.line_quality import clean_lines
 from saleskiln.llm.line_spread import drop_spread_lines
+from saleskiln.llm.minhash import near_duplicates
 from saleskiln.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +76,9 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten or more sites carry."""
     left = drop_spread_lines(documents(spark, sf_dir, "source"))
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
