@@ -14,6 +14,7 @@ from saleskiln.llm.line_quality import clean_lines
 from saleskiln.llm.line_spread import drop_spread_lines
 from saleskiln.llm.minhash import near_duplicates
 from saleskiln.llm.token_counts import count_tokens
+from saleskiln.llm.toxicity import score_toxicity, train_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +83,12 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    model = train_toxicity(docs, table(spark, sf_dir, "labels").where(fold(4) != 2))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
