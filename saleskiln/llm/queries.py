@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from saleskiln.llm.byte_bpe import bpe_round_trip
 from saleskiln.llm.common import table
 from saleskiln.llm.decontaminate import find_contamination
+from saleskiln.llm.html_extract import extract_main_text, train_extractor
 from saleskiln.llm.langid import identify_language, train_languages
 from saleskiln.llm.line_quality import clean_lines
 from saleskiln.llm.line_spread import drop_spread_lines
 from saleskiln.llm.minhash import near_duplicates
+from saleskiln.llm.pii import KINDS, pseudonymise
 from saleskiln.llm.token_counts import count_tokens
 from saleskiln.llm.toxicity import score_toxicity, train_toxicity
 
@@ -92,3 +94,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_toxicity(docs, table(spark, sf_dir, "labels").where(fold(4) != 2))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms, and how many of each kind."""
+    named = pseudonymise(documents(spark, sf_dir))
+    counts = [F.size(F.filter("entities", lambda e, k=kind: e["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
+    return named.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_found"), *counts)
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages, train_extractor(pages)).select("page_id", "url", "text", "n_chars")
