@@ -100,7 +100,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms, and how many of each kind."""
     named = pseudonymise(documents(spark, sf_dir))
-    counts = [F.size(F.filter("entities", lambda e, k=kind: e["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
+    count_of = lambda kind: F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    counts = [count_of(kind) for kind in KINDS]
     return named.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_found"), *counts)
 
 
