@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from saleskiln.llm.common import batch_udf
+from saleskiln.llm.common import batch_udf, hash_sample
 
 #: Pages to learn from (smallest hashes of their ids), and the longest of them in characters.
 TRAIN_PAGES, TRAIN_CHARS = 300, 200_000
@@ -310,7 +310,9 @@ def train_extractor(pages: DataFrame, html_column: str = "html", id_column: str
     """Trees from at most ``rows`` pages of at most TRAIN_CHARS characters, or None without any. In the changed copies
     the labels are those of the roles the elements had."""
     some = pages.select(F.col(id_column).alias("id"), F.col(html_column).alias("html")).where(F.length("html").between(1, TRAIN_CHARS))
-    found = some.orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(rows).collect()
+    chosen = hash_sample(some.where("id is not null").select("id").distinct(), "id", rows)
+    found = some.join(F.broadcast(chosen), "id").limit(2 * rows).collect()
+    found.sort(key=lambda r: (str(r.id), r.html))
     rng, x, y = random.Random(seed), [], []
     for row in found:
         for html in variants(row.html, rng):

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from saleskiln.llm.common import Memo, Scratch, batch_udf, with_struct
+from saleskiln.llm.common import Memo, Scratch, batch_udf, hash_sample, with_struct
 
 #: Labelled rows to learn from, drawn by a hash of the id; token buckets, which bound the model.
 LABELLED_ROWS, BUCKETS = 20_000, 1 << 18
@@ -170,7 +170,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, text_column: str = "text"
     bounded, and so is what is collected: counts of BUCKETS buckets, and two numbers per sampled row."""
     scratch = Scratch(docs.sparkSession)
     known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(F.col(label_column).cast("int")).alias("label"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    known = hash_sample(known, "id", rows)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
     sample = scratch.write(texts.join(F.broadcast(known), "id"))
     def all_forms(t):
