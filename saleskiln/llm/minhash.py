@@ -190,6 +190,19 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
     return sure
 
 
+def linkable(members: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """The nodes of ``members`` that can have a link among them, with their size (least) and how many shingles some other
+    member has too (common). An intersection of ``percent`` of a union is at least that share of either set, so a node
+    with too many shingles that no other member has is linked with none."""
+    wanted = members.select("node").distinct()
+    sets = full_sets(texts.join(wanted, "node", "left_semi"), "text", size).select("node", F.explode("hashes").alias("hash")).distinct()
+    lone = sets.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    sizes = nodes.select("node", "n_shingles").join(wanted, "node", "left_semi").join(lone, "node", "left")
+    sizes = sizes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.max("lone").alias("lone"))
+    sizes = sizes.select("node", F.col("least"), (F.col("most") - F.coalesce("lone", F.lit(0))).alias("common"))
+    return scratch.write(sizes.where(100 * F.col("common") >= percent * F.col("least")))
+
+
 def near_duplicates(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with n_shingles, component_id (smallest id reachable over links, itself included) and kept.
 
@@ -222,10 +235,13 @@ def near_duplicates(docs: DataFrame, text_column: str = "text", id_column: str =
     placed = scratch.write(members.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     open_ = scratch.write(placed.join(mixed, "band", "left_semi"))
+    open_ = scratch.write(open_.join(linkable(open_, nodes, texts, scratch, size, percent), "node"))
     largest = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"))
     outside = open_.join(largest.select("band", F.col("top")["component"].alias("home")), "band").where("component <> home")
-    outside = outside.select("band", F.col("node").alias("x"), F.col("component").alias("cx"))
-    rest = outside.join(open_, "band").where("cx <> component").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    outside = outside.select("band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("least").alias("lx"), F.col("common").alias("kx"))
+    # of sizes that sum to s, a pair needs s * percent / (100 + percent) shingles in common
+    enough = (100 + percent) * F.least("kx", "common") >= percent * (F.col("lx") + F.col("least"))
+    rest = outside.join(open_, "band").where((F.col("cx") != F.col("component")) & enough).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     more = confirmed(rest.join(spokes, ["a", "b"], "left_anti"), nodes, texts, scratch, size, percent)
 
     links = sure.unionByName(more).unionByName(same.select(F.col("node").alias("a"), F.col("id").alias("b")))
