@@ -35,7 +35,8 @@ def subwords(texts: Sequence[str], letters: np.ndarray) -> tuple[list[np.ndarray
     """Buckets of the subwords that begin at each character, one array per size (BUCKETS where there is none); the
     first character of each text; the letters in each."""
     parts = [f" {text.lower()} " for text in texts]
-    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    # spaces at the end, so that there are subwords of every size
+    codes = np.frombuffer(("".join(parts) + " " * max(SIZES)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
     is_letter = letters[codes]
     codes = np.where(is_letter, codes, np.uint32(32))
