@@ -31,7 +31,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--prefix", default="", help="put in front of the layer databases, e.g. shop_")
     parser.add_argument("--format", default="parquet")
     parser.add_argument("--native-merge", action="store_true", help="the format can MERGE")
-    parser.add_argument("--id-type", default="int", choices=("int", "bigint"))
+    parser.add_argument("--id-type", default="bigint", choices=("int", "bigint"))
     parser.add_argument("--buckets", type=int, default=0, help="buckets of the fact table")
     parser.add_argument("--page-per-line", action="store_true")
     parser.add_argument("--batch-time", default=None, help="yyyy-MM-dd HH:mm:ss, default: now")

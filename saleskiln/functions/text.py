@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Pattern of a well-formed address, characters a phone number keeps, and how many
-# characters after a leading "+" are looked at.
+# Pattern of a well-formed address, and what a phone number does not keep.
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 NOT_DIAL_CHARACTER = r"(?!^\+)[^0-9]"
-PHONE_WINDOW = 100
 
 ColumnOrName = Column | str
 
@@ -33,12 +31,9 @@ def clean_lower(value: ColumnOrName) -> Column:
 def phone_digits(value: ColumnOrName) -> Column:
     """Digits of a phone number; a ``+`` in the very first position survives.
 
-    The prefix test sees the untrimmed text, so a blank before the ``+`` loses it. An international
-    number is read up to ``PHONE_WINDOW`` characters after its ``+``, a domestic one in full.
+    The prefix test sees the untrimmed text, so a blank before the ``+`` loses it. The whole text is read.
     """
-    phone = as_column(value)
-    dialled = F.when(phone.startswith("+"), F.substring(phone, 1, 1 + PHONE_WINDOW)).otherwise(phone)
-    return F.regexp_replace(dialled, NOT_DIAL_CHARACTER, "")
+    return F.regexp_replace(as_column(value), NOT_DIAL_CHARACTER, "")
 
 
 def invalid_email(value: ColumnOrName) -> Column:

@@ -14,7 +14,11 @@ def total_by_member(facts: DataFrame, dimension: DataFrame, on: str, describe: l
 
     Facts are summed by the surrogate key before the join, so what meets the dimension is one row per
     member: a member with a large share of all facts arrives as a handful of partial sums. ``on`` is
-    unique in the dimension, hence no second aggregation.
+    unique in the dimension, hence no second aggregation. An amount that does not fit, or is no number,
+    fails the job instead of being left out.
     """
-    sums = facts.groupBy(on).agg(F.sum(F.col(measure).try_cast(MONEY)).cast("double").alias(total))
+    amount, exact = F.col(measure), F.col(measure).try_cast(MONEY)
+    lost = F.raise_error(F.concat(F.lit(f"{measure} does not fit {MONEY}: "), amount.cast("string"))).cast(MONEY)
+    summed = F.sum(F.when(amount.isNotNull() & exact.isNull(), lost).otherwise(exact))
+    sums = facts.groupBy(on).agg(summed.cast("double").alias(total))
     return dimension.select(on, *describe).join(sums, on, "inner").select(*describe, total)

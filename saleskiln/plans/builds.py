@@ -38,7 +38,7 @@ def raw_columns(bronze: DataFrame) -> DataFrame:
     return bronze.select("raw_json", BATCH_COLUMN, "row_id")
 
 
-def client_rows(bronze: DataFrame, id_type: str = "int", only: Sequence[str] | None = None) -> DataFrame:
+def client_rows(bronze: DataFrame, id_type: str = "bigint", only: Sequence[str] | None = None) -> DataFrame:
     """Cleaned client rows of a batch, one per raw record.
 
     ``only`` names the columns a reader needs; the optimizer cannot prune fields of a JSON text, so
@@ -48,12 +48,12 @@ def client_rows(bronze: DataFrame, id_type: str = "int", only: Sequence[str] | N
     return project_fields(parse_records(raw_columns(bronze), needed(user_schema(id_type), fields)), fields)
 
 
-def product_rows(bronze: DataFrame, id_type: str = "int", only: Sequence[str] | None = None) -> DataFrame:
+def product_rows(bronze: DataFrame, id_type: str = "bigint", only: Sequence[str] | None = None) -> DataFrame:
     fields = fields_for(PRODUCT_FIELDS, id_type, only)
     return project_fields(parse_records(raw_columns(bronze), needed(product_schema(id_type), fields)), fields)
 
 
-def sale_rows(bronze: DataFrame, id_type: str = "int") -> DataFrame:
+def sale_rows(bronze: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Cleaned sale lines of a batch, one per cart and line, with their natural keys."""
     fields = fields_for(SALE_FIELDS, id_type)
     carts = parse_records(raw_columns(bronze), needed(cart_schema(id_type), fields, "line", "products"))
@@ -73,7 +73,7 @@ def lines_with_members(bronze: DataFrame, products: DataFrame, clients: DataFram
 
 def dim_client(
     bronze: DataFrame,
-    id_type: str = "int",
+    id_type: str = "bigint",
     observation: Observation | None = None,
     only: Sequence[str] | None = None,
 ) -> DataFrame:
@@ -84,7 +84,7 @@ def dim_client(
 
 def dim_product(
     bronze: DataFrame,
-    id_type: str = "int",
+    id_type: str = "bigint",
     observation: Observation | None = None,
     only: Sequence[str] | None = None,
 ) -> DataFrame:
@@ -101,7 +101,7 @@ def sale_lines_latest(
     bronze: DataFrame,
     products: DataFrame,
     clients: DataFrame,
-    id_type: str = "int",
+    id_type: str = "bigint",
     observation: Observation | None = None,
 ) -> DataFrame:
     """Newest line per ``hash_id`` with both surrogates, NULL where a member is unknown.
@@ -117,15 +117,19 @@ def sale_lines_latest(
             F.count(F.lit(1)).alias("lines_read"),
             F.count_if(F.col("sk_product").isNull()).alias("lines_without_product"),
             F.count_if(F.col("sk_client").isNull()).alias("lines_without_client"),
+            F.count_if(F.col("cart_id").isNull()).alias("lines_without_cart"),
         )
-    return keep_latest(lines, ["hash_id"], BATCH_COLUMN, ["unit_price", "quantity", "net_amount", "row_id"])
+    # a digest skips NULLs, so lines of unknown carts would fuse into one
+    lines = lines.filter(F.col("cart_id").isNotNull())
+    ties = ["unit_price", "quantity", "net_amount", "gross_amount", "cart_total", "cart_discounted_total", "client_id", "row_id"]
+    return keep_latest(lines, ["hash_id"], BATCH_COLUMN, ties)
 
 
 def ft_sale(
     bronze: DataFrame,
     products: DataFrame,
     clients: DataFrame,
-    id_type: str = "int",
+    id_type: str = "bigint",
     observation: Observation | None = None,
 ) -> DataFrame:
     """Sale facts: lines of an unknown client or product are dropped, natural keys are not stored."""
@@ -133,7 +137,7 @@ def ft_sale(
     return resolved(lines, "sk_product", "sk_client").drop("client_id", "product_id")
 
 
-def sale_audit(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str = "int") -> DataFrame:
+def sale_audit(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str = "bigint") -> DataFrame:
     """One row on what the fact build leaves out: repeated lines and lines of unknown members."""
     lines = lines_with_members(bronze, products, clients, id_type)
     per_key = lines.groupBy("hash_id").agg(

@@ -120,7 +120,7 @@ class TableContract:
     # adaptive skew handling.
     bucketed: bool = False
 
-    def schema(self, id_type: str = "int") -> StructType:
+    def schema(self, id_type: str = "bigint") -> StructType:
         return StructType.fromDDL(self.ddl.format(id=id_type))
 
 

@@ -54,13 +54,14 @@ class MergeResult:
 def ingest(warehouse: Warehouse, entity: str, pages: DataFrame, batch_time: str) -> IngestResult:
     """Append all records of the landed ``pages`` as one bronze batch.
 
-    Row ids are digests of page, offset, position and batch, so that a retried task writes the same ids.
+    Row ids are digests of page file, offset, page body, position and batch, so that a retried task writes the same
+    ids and lines of one file never share one. A broken page of unknown offset fails the job before anything is written.
     """
     if entity not in ENTITIES:
         raise ValueError(f"unknown entity {entity!r}, expected one of {ENTITIES}")
     landing = Observation()
-    records = page_records(pages, entity, landing)
-    origin = ["page_source", "page_offset", "position"]
+    records = page_records(pages, entity, landing, strict=True)
+    origin = ["page_source", "page_offset", "page_digest", "position"]
     before = warehouse.batch_rows(entity, batch_time) if warehouse.exists("bronze", entity) else 0
     warehouse.append_batch(entity, with_batch(records, batch_time, "page_source", row_id_from=origin))
     report = landing.get
@@ -114,10 +115,15 @@ def merge(
             )
             merged = merged_rows(warehouse, contract, target, rows_before, staged, small)
             version = warehouse.write_version(layer, table, merged, rule.keys[0] if contract.bucketed else None)
-            inserted = warehouse.spark.read.table(version).count() - rows_before
-            if not 0 <= inserted <= source_rows:
-                raise QualityError(f"{layer}.{table}: {inserted} rows more from a batch of {source_rows}, not published")
-            warehouse.publish(layer, table, version)
+            try:
+                inserted = warehouse.spark.read.table(version).count() - rows_before
+                if not 0 <= inserted <= source_rows:
+                    raise QualityError(f"{layer}.{table}: {inserted} rows more from a batch of {source_rows}, not published")
+                warehouse.publish(layer, table, version)
+            except Exception:
+                if warehouse.published(layer, table) != version:
+                    warehouse.drop_staged(version)
+                raise
             warehouse.drop_old_versions(layer, table)
             result = MergeResult(f"{layer}.{table}", inserted, source_rows - inserted, source_rows)
     finally:

@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 MIB = 1 << 20
 PARTITION_BYTES = 128 * MIB
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def recommended_conf(shuffled_bytes: int, cores: int) -> dict[str, str]:
@@ -17,7 +16,7 @@ def recommended_conf(shuffled_bytes: int, cores: int) -> dict[str, str]:
     results.
     """
     wanted = max(2 * cores, -(-shuffled_bytes // PARTITION_BYTES))
-    partitions = min(MAX_SHUFFLE_PARTITIONS, -(-wanted // cores) * cores)
+    partitions = -(-wanted // cores) * cores
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -42,38 +42,45 @@ def open_pages(pages: DataFrame, entity: str) -> DataFrame:
     """
     envelope = f"total bigint, skip bigint, `{entity}` array<string>"
     named = pages if "name_offset" in pages.columns else pages.withColumn("name_offset", F.lit(None).cast("bigint"))
-    return named.select(
+    return named.filter(F.length(F.trim("body")) > 0).select(
         "page_source",
         "name_offset",
+        F.xxhash64("body").alias("page_digest"),
         F.inline(F.array(F.from_json("body", envelope))),
     ).select(
         "page_source",
-        F.coalesce("name_offset", "skip", F.lit(0)).alias("page_offset"),
+        F.coalesce("skip", "name_offset").alias("page_offset"),
+        "page_digest",
         F.col("total").alias("page_total"),
         F.col(entity).alias("records"),
     )
 
 
-def usable_pages(opened: DataFrame, observation: Observation | None = None) -> DataFrame:
+def usable_pages(opened: DataFrame, observation: Observation | None = None, strict: bool = False) -> DataFrame:
     """Pages in front of the first broken one.
 
     Paging stops at a page without its list, so whatever was landed behind that offset does not count.
     The cut-off is a one-row scalar subquery: it stays in the plan, nothing is collected.
+    A page names its own offset, else its file does; where neither says, a good page counts, and a broken
+    one cuts nothing off, but fails the job if ``strict``. Blank lines are no pages.
     ``observation`` picks up ``page_metrics`` of all pages on the way.
     """
     broken = opened.filter(F.col("records").isNull()).agg(F.min("page_offset").alias("cut"))
     seen = opened.observe(observation, *page_metrics()) if observation else opened
-    return seen.filter(
-        F.col("records").isNotNull()
-        & (F.col("page_offset") < F.coalesce(broken.scalar(), F.lit(2**63 - 1)))
-    )
+    if strict:
+        unplaced = F.col("records").isNull() & F.col("page_offset").isNull()
+        message = F.concat(F.lit("broken page of unknown offset in "), F.coalesce("page_source", F.lit("?")))
+        seen = seen.filter(F.when(unplaced, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    before_cut = F.col("page_offset").isNull() | (F.col("page_offset") < F.coalesce(broken.scalar(), F.lit(2**63 - 1)))
+    return seen.filter(F.col("records").isNotNull() & before_cut)
 
 
-def page_records(pages: DataFrame, entity: str, observation: Observation | None = None) -> DataFrame:
-    """One row per record of the usable pages: ``raw_json, page_source, page_offset, position``."""
-    return usable_pages(open_pages(pages, entity), observation).select(
+def page_records(pages: DataFrame, entity: str, observation: Observation | None = None, strict: bool = False) -> DataFrame:
+    """One row per record of the usable pages: ``raw_json, page_source, page_offset, page_digest, position``."""
+    return usable_pages(open_pages(pages, entity), observation, strict).select(
         "page_source",
         "page_offset",
+        "page_digest",
         F.posexplode("records").alias("position", "raw_json"),
     )
 

@@ -48,15 +48,15 @@ BRONZE_DDL = f"raw_json string, row_id string, source string, {BATCH_COLUMN} str
 ENTITIES = ("users", "products", "carts")
 
 
-def user_schema(id_type: str = "int") -> StructType:
+def user_schema(id_type: str = "bigint") -> StructType:
     return StructType.fromDDL(USER_DDL.format(id=id_type))
 
 
-def product_schema(id_type: str = "int") -> StructType:
+def product_schema(id_type: str = "bigint") -> StructType:
     return StructType.fromDDL(PRODUCT_DDL.format(id=id_type))
 
 
-def cart_schema(id_type: str = "int") -> StructType:
+def cart_schema(id_type: str = "bigint") -> StructType:
     return StructType.fromDDL(CART_DDL.format(id=id_type))
 
 

@@ -8,7 +8,6 @@ itself (Delta, Iceberg and the like) the table is an ordinary one and versions a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -23,9 +22,9 @@ LAYERS = ("bronze", "silver", "gold", "staging")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's setting, else (single machine) a fresh one."""
-    named = spark.conf.get(CHECKPOINT_SETTING, None)
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="saleskiln-")
+    """Folder every executor can reach: the cluster's setting, else the session's warehouse."""
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
 
 def fresh_suffix() -> str:
@@ -46,7 +45,7 @@ class Warehouse:
     prefix: str = ""
     fmt: str = "parquet"
     native_merge: bool = False
-    id_type: str = "int"
+    id_type: str = "bigint"
     buckets: int = 0
     small_batch_bytes: int = 16 << 20
     small_batch_rows: int = 500_000
@@ -126,9 +125,21 @@ class Warehouse:
         found = self.spark.sql(f"SHOW TABLES IN {self.database(layer)} LIKE '{table}__v*'").collect()
         return sorted(self.name(layer, row.tableName) for row in found)
 
+    def published(self, layer: str, table: str) -> str | None:
+        """Version the public name shows, or None without one."""
+        if not self.exists(layer, table):
+            return None
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(layer, table)}").filter("col_name = 'View Text'").first()
+        return described.data_type.rsplit(" ", 1)[-1].replace("`", "") if described else None
+
     def drop_old_versions(self, layer: str, table: str) -> list[str]:
-        """Drop versions beyond ``keep_versions``; the newest is the published one."""
-        old = self.versions(layer, table)[: -self.keep_versions]
+        """Drop what is older than the published version, but for the newest ``keep_versions`` - 1 of those.
+
+        Versions newer than the published one belong to a refused or a running upsert and are left alone.
+        """
+        published = self.published(layer, table)
+        older = [version for version in self.versions(layer, table) if published and version < published]
+        old = older[: len(older) - max(self.keep_versions - 1, 0)] if len(older) >= self.keep_versions else []
         for version in old:
             self.spark.sql(f"DROP TABLE IF EXISTS {version}")
         return old

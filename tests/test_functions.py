@@ -33,7 +33,7 @@ def test_cleaning(spark):
         ("+", "+"),
         ("", ""),
         (None, None),
-        ("+" + "1 " * 60, "+" + "1" * 50),
+        ("+" + "1 " * 60, "+" + "1" * 60),
         ("1 " * 60, "1" * 60),
     ],
 )

@@ -55,7 +55,7 @@ DIRTY = [
 
 def test_dirty_records_keep_their_row(spark):
     frame = spark.createDataFrame(DIRTY, "label string, raw_json string")
-    parsed = parse_records(frame, user_schema()).select("label", "id", "age").collect()
+    parsed = parse_records(frame, user_schema("int")).select("label", "id", "age").collect()
     got = {row.label: (row.id, row.age) for row in parsed}
     assert got == {
         "broken": (None, None),
@@ -72,16 +72,16 @@ def test_dirty_records_keep_their_row(spark):
 def test_narrow_schema_parses_the_same_values(spark):
     frame = spark.createDataFrame(DIRTY, "label string, raw_json string")
     columns = ["label", "id", "age", "email", "company.address.coordinates.lat"]
-    narrow = prune(user_schema(), columns[1:])
+    narrow = prune(user_schema("int"), columns[1:])
     assert narrow.simpleString() == (
         "struct<id:int,age:int,email:string,company:struct<address:struct<coordinates:struct<lat:double>>>>"
     )
-    full = parse_records(frame, user_schema()).select(*columns).collect()
+    full = parse_records(frame, user_schema("int")).select(*columns).collect()
     assert parse_records(frame, narrow).select(*columns).collect() == full
 
 
 def test_prune_arrays_and_unknown_paths():
-    assert prune(cart_schema(), ["id", "products.id", "products.price"]).simpleString() == (
+    assert prune(cart_schema("int"), ["id", "products.id", "products.price"]).simpleString() == (
         "struct<id:int,products:array<struct<id:int,price:double>>>"
     )
     assert prune(product_schema("bigint"), ["tags", "id"]).simpleString() == "struct<id:bigint,tags:array<string>>"
@@ -90,7 +90,7 @@ def test_prune_arrays_and_unknown_paths():
 
 
 def test_unread_personal_fields_are_not_parsed():
-    narrow = needed(user_schema(), fields_for(CLIENT_FIELDS, "int"))
+    narrow = needed(user_schema("int"), fields_for(CLIENT_FIELDS, "int"))
     assert not {"password", "ssn", "bank", "crypto", "ip"} & set(narrow.fieldNames())
 
 

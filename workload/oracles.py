@@ -247,7 +247,7 @@ ORACLES: dict[str, str] = {
     """,
     "phone_normalize": """
         SELECT c_custkey,
-               CASE WHEN starts_with(phone, '+') THEN '+' || regexp_replace(substring(phone, 2, 100), '[^0-9]', '', 'g')
+               CASE WHEN starts_with(phone, '+') THEN '+' || regexp_replace(substring(phone, 2), '[^0-9]', '', 'g')
                     ELSE regexp_replace(phone, '[^0-9]', '', 'g') END AS phone_clean
         FROM (
           SELECT c_custkey,
