@@ -32,6 +32,8 @@ PERCENT = 85
 LOG_BUCKETS, MANTISSA, ROWS = 7, 10, 5
 BUCKETS = 1 << LOG_BUCKETS
 BANDS = BUCKETS // ROWS
+#: Bits, as a power of two, of the bitmap that holds texts back before sets are fetched: 4 MB at every size of the input.
+LOG_BITMAP, BLOCK = 25, 1 << 15
 #: Estimates this many standard errors below the threshold are dropped before sets are fetched.
 ERRORS = 6
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
@@ -155,6 +157,20 @@ def full_sets(docs: DataFrame, text_column: str, size: int) -> DataFrame:
     return docs.withColumn("hashes", batch_udf("array<bigint>", start)(F.col(text_column)))
 
 
+def sets_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, hashes) of the rows of ``texts`` whose node is in ``wanted``.
+
+    The join would shuffle every text for the few that are wanted. So a bitmap of the hashes of the wanted nodes, of a
+    fixed size, is broadcast first; where it is dense it lets more texts through, and the join decides in any case.
+    """
+    place = lambda frame: frame.withColumn("place", F.pmod(F.xxhash64("node"), F.lit(1 << LOG_BITMAP))).withColumn("block", F.floor(F.col("place") / BLOCK))
+    at = F.col("place") % BLOCK
+    marks = place(wanted.select("node")).select("block", at.alias("at")).repartition("block").groupBy("block").agg(F.bitmap_construct_agg("at").alias("marks"))
+    byte = F.conv(F.hex(F.substring("marks", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = place(texts).join(F.broadcast(marks), "block").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return full_sets(held.select("node", "text"), "text", size).select("node", "hashes").join(wanted, "node", "left_semi")
+
+
 @arrow_udf(DoubleType())
 def estimate(left: pa.Array, right: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
     if not len(left):
@@ -180,7 +196,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
     near = near.withColumn("about", estimate("r_a", "r_b", "n_a", "n_b")).where(F.col("about") >= floor)
     near = scratch.write(near.select("a", "b"))
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    sets = scratch.write(full_sets(texts.join(wanted, "node", "left_semi"), "text", size).select("node", "hashes"))
+    sets = scratch.write(sets_of(texts, wanted, size))
     side = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h_{end}"))
     both = F.size(F.array_intersect("h_a", "h_b"))
     union = F.size("h_a") + F.size("h_b") - both
@@ -195,7 +211,7 @@ def linkable(members: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Sc
     member has too (common). An intersection of ``percent`` of a union is at least that share of either set, so a node
     with too many shingles that no other member has is linked with none."""
     wanted = members.select("node").distinct()
-    sets = full_sets(texts.join(wanted, "node", "left_semi"), "text", size).select("node", F.explode("hashes").alias("hash")).distinct()
+    sets = sets_of(texts, wanted, size).select("node", F.explode("hashes").alias("hash")).distinct()
     lone = sets.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
     sizes = nodes.select("node", "n_shingles").join(wanted, "node", "left_semi").join(lone, "node", "left")
     sizes = sizes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.max("lone").alias("lone"))
