@@ -40,6 +40,12 @@ def update_time(now: ColumnOrName | None) -> Column:
     return F.current_timestamp() if now is None else as_column(now)
 
 
+def as_stored(value: Column, target: DataFrame, name: str) -> Column:
+    """``value`` in the type of the target's column, in every form of the upsert: a batch of another width never changes
+    a stored type. Under ANSI a value that does not fit fails the job."""
+    return value.cast(target.schema[name].dataType).alias(name)
+
+
 def upsert(target: DataFrame, source: DataFrame, rule: UpsertRule, now: ColumnOrName | None = None) -> DataFrame:
     """Target after the upsert, plus ``merge_action``: one full outer join on the key.
 
@@ -65,7 +71,7 @@ def upsert(target: DataFrame, source: DataFrame, rule: UpsertRule, now: ColumnOr
         return F.when(is_new, after).otherwise(before) if name in updated else F.when(is_old, before).otherwise(after)
 
     action = F.when(~is_new, KEPT).when(is_old, UPDATED).otherwise(INSERTED)
-    return joined.select(*[value(name).alias(name) for name in target.columns], action.alias("merge_action"))
+    return joined.select(*[as_stored(value(name), target, name) for name in target.columns], action.alias("merge_action"))
 
 
 def upsert_small_batch(target: DataFrame, source: DataFrame, rule: UpsertRule, now: ColumnOrName | None = None) -> DataFrame:
@@ -90,15 +96,12 @@ def upsert_small_batch(target: DataFrame, source: DataFrame, rule: UpsertRule, n
         return F.when(hit, F.col(f"new.{name}")).otherwise(before) if name in updated else before
 
     rewritten = target.alias("old").join(new, same_key, "left").select(
-        *[value(name).alias(name) for name in target.columns],
+        *[as_stored(value(name), target, name) for name in target.columns],
         F.when(hit, UPDATED).otherwise(KEPT).alias("merge_action"),
     )
     present = target.select(keys).join(source.select(keys), keys, "left_semi")
     inserted = source.join(present, keys, "left_anti").select(
-        *[
-            (F.col(name) if name in source.columns else F.lit(None).cast(target.schema[name].dataType)).alias(name)
-            for name in target.columns
-        ],
+        *[as_stored(F.col(name) if name in source.columns else F.lit(None), target, name) for name in target.columns],
         F.lit(INSERTED).alias("merge_action"),
     )
     return rewritten.unionByName(inserted)
@@ -108,10 +111,7 @@ def insert_all(target: DataFrame, source: DataFrame, rule: UpsertRule) -> DataFr
     """Upsert into a target without rows: a projection, no join."""
     rule.check(target.columns, source.columns)
     return source.select(
-        *[
-            (F.col(name) if name in source.columns else F.lit(None)).cast(target.schema[name].dataType).alias(name)
-            for name in target.columns
-        ]
+        *[as_stored(F.col(name) if name in source.columns else F.lit(None), target, name) for name in target.columns]
     )
 
 

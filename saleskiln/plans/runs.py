@@ -193,7 +193,9 @@ def merge_into(warehouse: Warehouse, contract: TableContract, staged: DataFrame,
 
 
 def newest(warehouse: Warehouse, entity: str) -> DataFrame:
-    return latest_batch(require_batch(warehouse.read("bronze", entity), f"bronze.{entity}"))
+    """Newest batch of a bronze table; which one it is comes from the catalog, not from a scan of all history."""
+    batches = require_batch(warehouse.batches(entity), f"bronze.{entity}")
+    return latest_batch(warehouse.read("bronze", entity), batches=batches)
 
 
 def run_dim_client(warehouse: Warehouse) -> MergeResult:
@@ -224,12 +226,19 @@ def run_sales_by_client(warehouse: Warehouse, measure: str = "unit_price") -> Me
     return merge(warehouse, SALES_BY_CLIENT, rows, report)
 
 
-def run_all(warehouse: Warehouse, landed: Mapping[str, DataFrame], batch_time: str) -> list[IngestResult | MergeResult]:
-    """Ingest ``landed`` (entity to pages), then dimensions, facts and totals, in that order."""
-    results: list[IngestResult | MergeResult] = [
-        ingest(warehouse, entity, landed[entity], batch_time) for entity in ENTITIES if entity in landed
-    ]
-    return results + refresh(warehouse)
+def run_all(
+    warehouse: Warehouse, landed: Mapping[str, DataFrame], batch_time: str, allow_incomplete: bool = False
+) -> list[IngestResult | MergeResult]:
+    """Ingest ``landed`` (entity to pages), then dimensions, facts and totals, in that order.
+
+    A landing that lacks records raises in front of the tables, which stay as they are, unless ``allow_incomplete``.
+    What was ingested stays in bronze.
+    """
+    landings = [ingest(warehouse, entity, landed[entity], batch_time) for entity in ENTITIES if entity in landed]
+    lacking = [result for result in landings if not result.complete]
+    if lacking and not allow_incomplete:
+        raise QualityError(f"incomplete landings, no table was refreshed: {lacking}")
+    return landings + refresh(warehouse)
 
 
 def refresh(warehouse: Warehouse) -> list[MergeResult]:

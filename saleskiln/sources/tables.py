@@ -83,6 +83,16 @@ class Warehouse:
         writer = batch.select(*columns).write.format(self.fmt).mode("append")
         writer.partitionBy(BATCH_COLUMN).saveAsTable(name)
 
+    def batches(self, table: str) -> DataFrame:
+        """Batch times of a bronze table, from the catalog's partitions: one row per batch, and no data file is opened.
+        A format with its own MERGE keeps its own partition list, so there the column itself is read."""
+        if self.native_merge:
+            return self.read("bronze", table).select(BATCH_COLUMN)
+        listed = self.spark.sql(f"SHOW PARTITIONS {self.name('bronze', table)}")
+        value = F.regexp_replace(F.substring_index("partition", "=", -1), r"\+", "%2B")
+        named = listed.filter(value != "__HIVE_DEFAULT_PARTITION__")
+        return named.select(F.url_decode(value).alias(BATCH_COLUMN))
+
     def batch_rows(self, table: str, batch_time: str) -> int:
         """Rows stored of one batch; reads file footers of that partition only."""
         return self.read("bronze", table).filter(F.col(BATCH_COLUMN) == batch_time).count()

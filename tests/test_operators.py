@@ -252,6 +252,14 @@ def test_insert_all_has_the_target_shape(spark):
     assert insert_all(target, source, RULE).first()[:] == (1, "b", "new", None, None)
 
 
+def test_every_upsert_form_keeps_the_stored_types(spark):
+    target = spark.createDataFrame([(1, "a", "old", None, 1)], TARGET_DDL)
+    wide = spark.createDataFrame([(1, 5, "new"), (2, 6, "new")], "k bigint, v int, first_seen string")
+    for merged in (upsert(target, wide, RULE), upsert_small_batch(target, wide, RULE), insert_all(target, wide, RULE)):
+        assert merged.drop("merge_action").dtypes == target.dtypes
+    assert sorted((r.k, r.v) for r in upsert(target, wide, RULE).collect()) == [(1, "5"), (2, "6")]
+
+
 def test_upsert_rejects_foreign_columns(spark):
     target = spark.createDataFrame([], TARGET_DDL)
     with pytest.raises(ValueError):

@@ -133,6 +133,26 @@ def test_newest_batch_read_prunes_partitions(spark, warehouse):
     assert "PartitionFilters: [isnotnull(ingestion_timestamp" in scan and "Subquery" in scan
 
 
+def test_newest_batch_comes_from_the_catalog(spark, warehouse):
+    for stamp in (SECOND, "2023-12-31 23:59:59+01:00 %", FIRST):
+        frame = spark.range(3).select(F.to_json(F.struct("id")).alias("raw_json"))
+        warehouse.append_batch("users", with_batch(frame, stamp, F.lit("s")))
+    assert {row[0] for row in warehouse.batches("users").collect()} == {FIRST, SECOND, "2023-12-31 23:59:59+01:00 %"}
+    rows = runs.newest(warehouse, "users")
+    assert [row[0] for row in rows.select("ingestion_timestamp").distinct().collect()] == [SECOND]
+    assert plan_text(rows).split("== Physical Plan ==")[1].count("FileScan") == 1
+
+
+def test_incomplete_landing_stops_the_run(spark, tmp_path, warehouse):
+    landed = landing(spark, tmp_path / "a", [user(1)], [product(1)], [cart(1, 1, (1, 2.0))])
+    landed["carts"] = read_pages(spark, land(tmp_path / "b", "carts", [cart(i, 1, (1, 2.0)) for i in range(4)], broken_at=2))
+    with pytest.raises(QualityError, match="incomplete"):
+        runs.run_all(warehouse, landed, FIRST)
+    assert not warehouse.exists("silver", "ft_sale")
+    runs.run_all(warehouse, landed, SECOND, allow_incomplete=True)
+    assert gold(warehouse) == {1: 4.0}
+
+
 # --- whole runs ---------------------------------------------------------------------------------
 
 
