@@ -7,9 +7,10 @@ similarity. Bands of registers propose pairs, the share of equal registers, less
 the similarity, and full sets decide.
 
 Of a group of documents with equal sets only one goes on. In a bucket of a band, documents are held against one hub,
-the member that shares most buckets with others; only documents that this leaves outside the bucket's largest component
-are held against all its members. So a group of thousands of copies costs a comparison each, and no link between
-components is lost: every pair that a band proposes is either compared or already connected.
+the member that shares most buckets with others. Buckets that this leaves with several components are open: their
+members are held against those of other components that share one of their rarest shingles, which linked sets must. So
+a group of thousands of copies costs a comparison each, near misses cost few, and no link between components is lost:
+every pair that a band proposes is either compared, already connected, or known to be below the threshold.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BUCKETS = 1 << LOG_BUCKETS
 BANDS = BUCKETS // ROWS
 #: Bits, as a power of two, of the bitmap that holds texts back before sets are fetched: 4 MB at every size of the input.
 LOG_BITMAP, BLOCK = 25, 1 << 15
+#: Shingles that more members than this have are not ordered by how many.
+RARE = 32
 #: Estimates this many standard errors below the threshold are dropped before sets are fetched.
 ERRORS = 6
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
@@ -206,17 +209,46 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
     return sure
 
 
-def linkable(members: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
-    """The nodes of ``members`` that can have a link among them, with their size (least) and how many shingles some other
-    member has too (common). An intersection of ``percent`` of a union is at least that share of either set, so a node
-    with too many shingles that no other member has is linked with none."""
-    wanted = members.select("node").distinct()
-    sets = sets_of(texts, wanted, size).select("node", F.explode("hashes").alias("hash")).distinct()
-    lone = sets.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
-    sizes = nodes.select("node", "n_shingles").join(wanted, "node", "left_semi").join(lone, "node", "left")
-    sizes = sizes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.max("lone").alias("lone"))
-    sizes = sizes.select("node", F.col("least"), (F.col("most") - F.coalesce("lone", F.lit(0))).alias("common"))
-    return scratch.write(sizes.where(100 * F.col("common") >= percent * F.col("least")))
+def rarest_shingles(members: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """(node, length, hash, place): those shingles of each set of ``members``, in an order that is the same for all sets,
+    one of which any linked set must have too.
+
+    An intersection of ``percent`` of a union leaves out few of either set's shingles, so the first shingles in any order
+    cannot all be missing from it. Rare ones come first: those that no other member has, which only take up places, then
+    those that up to RARE members have, by their number, then all others. Near misses differ in rare shingles, so they
+    have none of the first ones in common.
+    """
+    none = F.array().cast("array<bigint>")
+    sets = scratch.write(sets_of(texts, members.select("node").distinct(), size).distinct())
+    held = sets.select("node", F.explode("hashes").alias("hash")).distinct()
+    counts = scratch.write(held.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where(F.col("n") <= RARE))
+    length = F.size("hashes")
+    own = counts.where("n = 1").groupBy("node").agg(F.collect_list("hash").alias("lone"))
+    left = sets.join(own, "node", "left").withColumn("lone", F.array_intersect("hashes", F.coalesce("lone", none)))
+    left = scratch.write(left.where(100 * (length - F.size("lone")) >= percent * length))
+    held = left.select("node", F.explode(F.array_except("hashes", "lone")).alias("hash")).distinct()
+    few = held.join(counts.where("n > 1").select("hash", "n"), "hash").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("few"))
+    few = few.select("node", F.col("few")["hash"].alias("few"))
+    order = F.concat(F.array_intersect("few", "hashes"), F.array_sort(F.array_except(F.array_except("hashes", "lone"), "few")))
+    first = (length - F.ceil(percent * length / 100) + 1 - F.size("lone")).cast("int")
+    left = left.join(few, "node", "left").withColumn("few", F.coalesce("few", none))
+    out = left.select("node", length.alias("length"), F.size("lone").alias("before"), F.posexplode(F.slice(order, F.lit(1), first)).alias("at", "hash"))
+    return out.select("node", "length", "hash", (F.col("before") + F.col("at") + 1).alias("place"))
+
+
+def leftover_pairs(members: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``members`` (node, component) in different components that can be linked: they have one of
+    their rarest shingles in common, with enough shingles of both behind it. Of those that have a shingle in common,
+    only the ones outside its largest component are held against all."""
+    firsts = scratch.write(rarest_shingles(members, texts, scratch, size, percent).join(members, "node"))
+    largest = firsts.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("many"))
+    outside = firsts.join(largest.where("many > 1").select("hash", F.col("top")["component"].alias("home")), "hash").where("component <> home")
+    outside = outside.select("hash", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("length").alias("lx"), F.col("place").alias("px"))
+    # of sizes that sum to s, a pair needs s * percent / (100 + percent) shingles in common
+    behind = 1 + F.least(F.col("lx") - F.col("px"), F.col("length") - F.col("place"))
+    enough = (100 + percent) * behind >= percent * (F.col("lx") + F.col("length"))
+    pairs = outside.join(firsts, "hash").where((F.col("cx") != F.col("component")) & enough)
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -247,17 +279,11 @@ def near_duplicates(docs: DataFrame, text_column: str = "text", id_column: str =
     sure = confirmed(spokes, nodes, texts, scratch, size, percent)
     labels = components(sure, scratch)
 
-    # buckets that still hold several components: what is outside the largest one against all members
+    # buckets that still hold several components: their members by their rarest shingles
     placed = scratch.write(members.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    open_ = scratch.write(placed.join(mixed, "band", "left_semi"))
-    open_ = scratch.write(open_.join(linkable(open_, nodes, texts, scratch, size, percent), "node"))
-    largest = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"))
-    outside = open_.join(largest.select("band", F.col("top")["component"].alias("home")), "band").where("component <> home")
-    outside = outside.select("band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("least").alias("lx"), F.col("common").alias("kx"))
-    # of sizes that sum to s, a pair needs s * percent / (100 + percent) shingles in common
-    enough = (100 + percent) * F.least("kx", "common") >= percent * (F.col("lx") + F.col("least"))
-    rest = outside.join(open_, "band").where((F.col("cx") != F.col("component")) & enough).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    open_ = scratch.write(placed.join(mixed, "band", "left_semi").select("node", "component").distinct())
+    rest = leftover_pairs(open_, texts, scratch, size, percent)
     more = confirmed(rest.join(spokes, ["a", "b"], "left_anti"), nodes, texts, scratch, size, percent)
 
     links = sure.unionByName(more).unionByName(same.select(F.col("node").alias("a"), F.col("id").alias("b")))

@@ -67,6 +67,28 @@ def test_near_duplicates_against_all_pairs(docs, texts, percent):
             assert (r.n_shingles, r.component_id) == expected[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize("percent", [70, 85])
+def test_leftover_pairs_lose_no_link_and_spare_near_misses(spark, percent):
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(120)]
+
+    def edited(edits):
+        words = list(passage)
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    made = [edited(rng.choice([1, 2, 3, 4, 8])) for _ in range(120)] + ["one two", "one two three", "", None]
+    rows = [(k, text) for k, text in enumerate(made)] + [(0, made[1]), (3, made[3])]
+    members = spark.createDataFrame([(k, k // 2 * 2) for k in range(len(made))], "node int, component int")
+    texts = spark.createDataFrame(rows, "node int, text string").repartition(3)
+    found = {(r.a, r.b) for r in minhash.leftover_pairs(members, texts, Scratch(spark), 5, percent).collect()}
+    sets = [(k, shingles(text)) for k, text in rows]
+    apart = [(a, b, x, y) for a, x in sets for b, y in sets if a < b and a // 2 != b // 2 and x and y]
+    linked = {(a, b) for a, b, x, y in apart if 100 * len(x & y) >= percent * len(x | y)}
+    assert linked and linked <= found and len(found) < len({(a, b) for a, b, *_ in apart})
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (3, 4), (None, 4)]
     frame = spark.createDataFrame(edges, "a bigint, b bigint")
