@@ -18,6 +18,8 @@ from saleskiln.llm.line_spread import drop_spread_lines
 from saleskiln.llm.minhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents whose sets of five-word shingles share this percentage of their union are near copies here.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies."""
-    return near_duplicates(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    return near_duplicates(docs.select(*COLUMNS), percent=NEAR_PERCENT).where("kept").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

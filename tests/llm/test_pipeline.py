@@ -26,6 +26,21 @@ def test_stages_keep_columns_and_one_of_each_group(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_near_dedup_takes_copies_from_80_percent_on(spark):
+    rows = []
+    for k, (n, edits) in enumerate([(120, 2), (100, 2), (90, 2), (300, 6), (300, 7)]):
+        words = [f"t{k}w{j}" for j in range(n)]
+        copy = list(words)
+        for e in range(edits):
+            copy[10 + e * 12] = f"t{k}edit{e}"
+        a, b = ({tuple(x[j : j + 5]) for j in range(n - 4)} for x in (words, copy))
+        rows += [(10 * k, " ".join(words), len(a & b) / len(a | b)), (10 * k + 1, " ".join(copy), len(a & b) / len(a | b))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert sum(0.8 <= s < 0.85 for *_, s in rows) >= 4 and any(s < 0.8 for *_, s in rows)
+    assert kept == {i for i, _, s in rows if i % 10 == 0 or s < 0.8}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
