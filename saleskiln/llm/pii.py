@@ -7,6 +7,7 @@ pseudonyms in every document, and who has the key can turn them back. No table o
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -25,6 +26,26 @@ KEY_SETTING, DEMO_KEY = "spark.saleskiln.pii.key", "demonstration key, not secre
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date", "secret")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
+#: Characters of an IBAN by country. Other countries' numbers are tried at every length.
+IBAN_LENGTHS = {c: int(n) for n, cs in (part.split(":") for part in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,FK,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA"
+    " 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM"
+    " 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+#: Numbers by pattern, in the order in which they are tried where one begins; a card in the groups of cards goes before a
+#: phone, in others behind it.
+NUMBERS = {
+    "iban": r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
+    "aws": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
+    "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?![.]\d)",
+    "iso": r"(?:19|20)\d\d-\d\d?-\d\d?",
+    "dotted": r"\d\d?[./]\d\d?[./](?:19|20)\d\d",
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "card": r"\d{13,19}|\d{4}(?P<by>[ -])\d{4}(?P=by)\d{4}(?P=by)\d{1,4}(?:(?P=by)\d{3})?|\d{4}(?P<of>[ -])\d{6}(?P=of)\d{4,5}",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4}",
+    "loose": r"\d(?:[ -]?\d){12,18}",
+}
+#: Kinds whose pattern may run on into what stands behind the value.
+RUN_ON = {"iban", "card", "phone", "loose"}
 
 
 class Feistel:
@@ -81,17 +102,15 @@ class Pseudonyms:
     def __init__(self, key: str, back: bool = False) -> None:
         self.key, self.back = key, back
         self.networks: dict[tuple[str, int], Feistel] = {}
-        self.numbers = re.compile(
-            r"(?<![\w@/-])(?<!\d\.)(?:"
-            r"(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)"
-            r"|(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})"
-            r"|(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![.]\d)"
-            r"|(?P<iso>(?:19|20)\d\d-\d\d?-\d\d?)|(?P<dotted>\d\d?[./]\d\d?[./](?:19|20)\d\d)"
-            r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-            r"|(?P<card>\d(?:[ -]?\d){12,18})"
-            r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4})"
-            r")(?!\w)"
-        )
+        # capturing groups are of no use in the search, and their names may stand only once
+        some = "|".join(re.sub(r"\(\?P<\w+>\[ -\]\)|\(\?P=\w+\)", "[ -]", p) for p in NUMBERS.values())
+        self.numbers = re.compile(rf"(?<![\w@/-])(?<!\d\.)(?:{some})(?!\w)")
+        self.by_name = {name: re.compile(rf"(?:{p})(?!\w)") for name, p in NUMBERS.items()}
+        self.makers: dict[str, tuple[str, Callable[[str], str | None]]] = {
+            "iban": ("iban", self.value_iban), "aws": ("secret", lambda v: v[:4] + self.text_value("secret", v[4:])), "ip": ("ip", self.value_ip),
+            "iso": ("date", lambda v: self.value_date(v, True)), "dotted": ("date", lambda v: self.value_date(v, False)),
+            "ssn": ("ssn", self.value_ssn), "card": ("card", self.value_card), "phone": ("phone", self.value_phone), "loose": ("card", self.value_card),
+        }
         self.mails = re.compile(r"(?<![\w.%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_])?)@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![\w-])")
         self.secrets = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{8,200})")
 
@@ -186,31 +205,41 @@ class Pseudonyms:
             if re.search(r"\d", value):
                 out.append((m.start(1), m.end(1), "secret", self.text_value("secret", value, not re.search(r"[g-zA-Z]", value))))
         if re.search(r"\d", text):
-            for m in self.numbers.finditer(text):
-                out += self.checked(m)
-        out.sort()
+            taken, at = sorted(span[:2] for span in out), 0
+            while m := self.numbers.search(text, at):
+                span = self.number_at(text, m.start(), taken)
+                if span:
+                    out.append(span)
+                at = span[1] if span else m.start() + 1
+        # the longer one of what begins at one place
+        out.sort(key=lambda span: (span[0], -span[1]))
         kept: list[tuple[int, int, str, str]] = []
         for span in out:
             if not kept or span[0] >= kept[-1][1]:
                 kept.append(span)
         return kept
 
-    def checked(self, m: re.Match) -> list[tuple[int, int, str, str]]:
-        name, value = m.lastgroup, m.group()
-        by_name: dict[str, tuple[str, Callable[[str], str | None]]] = {
-            "iban": ("iban", self.value_iban), "aws": ("secret", lambda v: v[:4] + self.text_value("secret", v[4:])), "ip": ("ip", self.value_ip),
-            "iso": ("date", lambda v: self.value_date(v, True)), "dotted": ("date", lambda v: self.value_date(v, False)),
-            "ssn": ("ssn", self.value_ssn), "card": ("card", self.value_card), "phone": ("phone", self.value_phone),
-        }
-        kind, make = by_name[name]
-        new = make(value)
-        if new is None and name == "card":  # two numbers side by side, or a longer run of which a part is valid
-            for part in re.finditer(r"\d[\d-]*|\d+", value):
-                digits = re.sub(r"\D", "", part.group())
-                if 13 <= len(digits) <= 19 and (new := self.value_card(part.group())) is not None:
-                    return [(m.start() + part.start(), m.start() + part.end(), kind, new)]
-            return []
-        return [] if new is None else [(m.start(), m.end(), kind, new)]
+    def number_at(self, text: str, at: int, taken: list[tuple[int, int]]) -> tuple[int, int, str, str] | None:
+        """The first kind of number that validates from ``at`` on, at its longest; of an IBAN, at its country's length
+        first. A number does not reach into a span of ``taken`` (mails and secrets)."""
+        behind = bisect.bisect_right(taken, (at, len(text)))
+        if behind and at < taken[behind - 1][1]:
+            return None
+        limit = taken[behind][0] if behind < len(taken) else len(text)
+        for name, pattern in self.by_name.items():
+            kind, make = self.makers[name]
+            m = pattern.match(text, at)
+            if not m:
+                continue
+            ends = [m.end()]
+            if name in RUN_ON:
+                ends += [e for e in range(m.end() - 1, at, -1) if text[e - 1].isalnum() and not (text[e].isalnum() or text[e] == "_")]
+            if name == "iban" and (length := IBAN_LENGTHS.get(text[at : at + 2])):
+                ends.sort(key=lambda e: len(text[at:e].replace(" ", "")) != length)
+            for end in ends:
+                if end <= limit and pattern.fullmatch(text, at, end) and (new := make(text[at:end])) is not None:
+                    return at, end, kind, new
+        return None
 
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
         spans = self.found(text)

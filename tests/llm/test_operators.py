@@ -235,6 +235,32 @@ def test_pseudonyms_keep_format_link_and_go_back(spark):
         assert sorted(map(network.permute, range(size))) == list(range(size)) and all(network.permute(network.permute(v), True) == v for v in range(size))
 
 
+def spans_of(text):
+    names, back = pii.Pseudonyms("k"), pii.Pseudonyms("k", True)
+    changed, spans = names.replace(text)
+    assert back.replace(changed)[0] == text
+    return [(kind, text[a:b]) for a, b, kind, _ in spans]
+
+
+def test_pseudonyms_retry_behind_failed_candidates():
+    assert spans_of("555-123-4567 2024") == [("phone", "555-123-4567")]
+    assert spans_of("555-123-4567 555-123-4568") == [("phone", "555-123-4567"), ("phone", "555-123-4568")]
+    for tail in (" EUR", " EURO", " 2024", " EUR 2024 AND MORE"):
+        assert spans_of(f"BE68539007547034{tail}") == [("iban", "BE68539007547034")]
+        assert spans_of(f"to BE68 5390 0754 7034{tail}") == [("iban", "BE68 5390 0754 7034")]
+    assert spans_of("GB82 WEST 1234 5698 7654 32 GBP") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert spans_of("AB12 CDEF 4111111111111111") == spans_of("1 4111111111111111") == [("card", "4111111111111111")]
+    assert spans_of("4111 1111 1111 1111 20 2020-12-25") == [("card", "4111 1111 1111 1111"), ("date", "2020-12-25")]
+    assert spans_of("7 123-45-6789 000-12-3456") == [("ssn", "123-45-6789")]
+    assert spans_of("2020-02-30 2020-02-29") == [("date", "2020-02-29")]
+    assert spans_of("4111 1111 1111 1111.bob@x.org") == [("email", "1111.bob")]
+    rng = random.Random(9)
+    values = {"phone": lambda: f"{rng.randint(200, 999)}-{rng.randint(100, 999)}-{rng.randint(0, 9999):04d}", "card": lambda: (p := f"4{rng.randrange(10**14):014d}") + pii.luhn_digit(p)}
+    for _ in range(300):
+        planted = [(kind, values[kind]()) for kind in rng.choices(list(values), k=3)]
+        assert spans_of(" ".join(v for _, v in planted)) == planted
+
+
 def test_main_text(spark):
     page = "<html><body><nav><ul><li><a href=/x>Menu one</a></li></ul></nav><div class=ad>Buy this now.</div><article><h1>Title {k}</h1><p><b>First &amp; best\n part {k} of the story.<br><p>Second part, which is longer than the first one {k}.</article><footer>&copy; foot.</footer></body>"
     rows = [(k, "u", page.replace("{k}", str(k))) for k in range(60)]
