@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import datetime
+import functools
 import hashlib
 import re
 import string
@@ -38,10 +39,10 @@ NUMBERS = {
     "aws": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?![.]\d)",
     "iso": r"(?:19|20)\d\d-\d\d?-\d\d?",
-    "dotted": r"\d\d?[./]\d\d?[./](?:19|20)\d\d",
+    "dotted": r"\d\d?[./]\d\d?[./](?:19|20)\d\d|\d\d?-\d\d?-(?:19|20)\d\d",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "card": r"\d{13,19}|\d{4}(?P<by>[ -])\d{4}(?P=by)\d{4}(?P=by)\d{1,4}(?:(?P=by)\d{3})?|\d{4}(?P<of>[ -])\d{6}(?P=of)\d{4,5}",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4}",
+    "phone": r"(?:(?:\+\d{1,3}|1)[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}",
     "loose": r"\d(?:[ -]?\d){12,18}",
 }
 #: Kinds whose pattern may run on into what stands behind the value.
@@ -96,6 +97,13 @@ def refill(shape: str, characters: str) -> str:
     return "".join(next(rest) if c.isascii() and c.isalnum() else c for c in shape)
 
 
+@functools.cache
+def days_of(late: bool) -> tuple[list[int], dict[int, int]]:
+    """All days behind the 12th of their months, or up to it, and the rank of each."""
+    days = [d for d in range(FIRST_DAY, LAST_DAY + 1) if (datetime.date.fromordinal(d).day > 12) == late]
+    return days, {d: k for k, d in enumerate(days)}
+
+
 class Pseudonyms:
     """Finds and permutes. Every ``value_*`` method returns the pseudonym of a match, or None if it doesn't validate."""
 
@@ -169,30 +177,33 @@ class Pseudonyms:
         return refill(text, digits[:kept] + self.number("phone", digits[kept:]))
 
     def value_ip(self, text: str) -> str | None:
-        parts = [int(p) for p in text.split(".")]
-        if max(parts) > 255 or not 1 <= parts[0] <= 223 or parts[0] == 127 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
+        """Leading zeros are kept as far as numbers of three digits have any."""
+        parts = text.split(".")
+        if max(map(int, parts)) > 255:
             return None
-        first = parts[0] - 1 - (parts[0] > 127)
-        rank = self.permute("ip", ((first * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3], 222 << 24)
-        first = rank >> 24
-        return f"{first + 1 + (first >= 126)}.{rank >> 16 & 255}.{rank >> 8 & 255}.{rank & 255}"
+        rank = self.permute("ip", int.from_bytes(bytes(map(int, parts))), 1 << 32)
+        width = max((len(p) for p in parts if len(p) > 1 and p[0] == "0"), default=1)
+        return ".".join(str(n).zfill(width) for n in rank.to_bytes(4))
 
     def value_date(self, text: str, iso: bool) -> str | None:
-        parts = re.split(r"[-./]", text)
-        numbers = [int(p) for p in parts]
-        year, month, day = numbers if iso else (numbers[2], numbers[1], numbers[0])
-        american = not iso and "/" in text
-        if american:
-            month, day = day, month
-        try:
-            at = datetime.date(year, month, day).toordinal()
-        except ValueError:
-            return None
-        new = datetime.date.fromordinal(FIRST_DAY + self.permute("date", at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-        values = [new.year, new.month, new.day] if iso else [new.month, new.day, new.year] if american else [new.day, new.month, new.year]
-        marks = re.findall(r"[-./]", text)
-        padded = [str(v).zfill(2) for v in values]
-        return f"{padded[0]}{marks[0]}{padded[1]}{marks[1]}{padded[2]}"
+        """With '/' the month is read first, with '.' and '-' the day, and the other way round where that is no date.
+
+        Days up to the 12th stay among each other, and so do later ones: a pseudonym reads in the order of its value."""
+        first, mark, second, other, third = re.split(r"([-./])", text)
+        numbers = [int(first), int(second), int(third)]
+        orders = [(0, 1, 2)] if iso else [(2, 0, 1), (2, 1, 0)] if "/" in text else [(2, 1, 0), (2, 0, 1)]
+        for order in orders:
+            try:
+                day = datetime.date(*(numbers[k] for k in order))
+            except ValueError:
+                continue
+            days, ranks = days_of(day.day > 12)
+            new = datetime.date.fromordinal(days[self.permute(f"date {day.day > 12}", ranks[day.toordinal()], len(days))])
+            values = ["", "", ""]
+            for k, value in zip(order, (new.year, new.month, new.day)):
+                values[k] = str(value).zfill(2)
+            return f"{values[0]}{mark}{values[1]}{other}{values[2]}"
+        return None
 
     def found(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, stop, kind, pseudonym) of everything that validates, in order and without overlaps."""

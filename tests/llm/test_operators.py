@@ -261,6 +261,21 @@ def test_pseudonyms_retry_behind_failed_candidates():
         assert spans_of(" ".join(v for _, v in planted)) == planted
 
 
+def test_pseudonyms_take_all_addresses_date_orders_and_phone_forms():
+    for kind, values in {
+        "ip": ["248.40.198.62", "233.254.104.120", "0.0.0.0", "127.0.0.1", "255.255.255.255", "10.1.2.3"],
+        "date": ["25/12/2020", "12/25/2020", "05/06/2020", "25-12-2020", "12-25-2020", "05-06-2020", "25.12.2020", "2020-12-25"],
+        "phone": ["555 123 4567", "1-800-555-0199", "1 800 555 0199", "1.800.555.0199", "1-(800) 555-0199", "555-123 4567", "+1 (988) 555-2485"],
+    }.items():
+        for value in values:
+            assert spans_of(f"at {value}, so") == spans_of(value) == [(kind, value)]
+        assert spans_of(" or ".join(values)) == [(kind, v) for v in values]
+    names = pii.Pseudonyms("k")
+    assert names.replace("010.001.002.003")[1] and not names.replace("256.1.1.1 1.2.3.4.5 31/02/2020 13-13-2020 1234 5678")[1]
+    first, second, iso = (names.replace(v)[0] for v in ("12/25/2020", "25/12/2020", "2020-12-25"))
+    assert first.split("/") == [second.split("/")[k] for k in (1, 0, 2)] == [iso.split("-")[k] for k in (1, 2, 0)]
+
+
 def test_main_text(spark):
     page = "<html><body><nav><ul><li><a href=/x>Menu one</a></li></ul></nav><div class=ad>Buy this now.</div><article><h1>Title {k}</h1><p><b>First &amp; best\n part {k} of the story.<br><p>Second part, which is longer than the first one {k}.</article><footer>&copy; foot.</footer></body>"
     rows = [(k, "u", page.replace("{k}", str(k))) for k in range(60)]
