@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from saleskiln.llm.common import batch_udf, with_struct
 
 ROUNDS = 10
+#: Letters and digits permuted at once; longer values are permuted in blocks. Networks kept.
+BLOCK, NETWORKS = 64, 20_000
 #: Where a cluster keeps the key; the fallback serves tests and demonstrations only.
 KEY_SETTING, DEMO_KEY = "spark.saleskiln.pii.key", "demonstration key, not secret"
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date", "secret")
@@ -58,26 +60,27 @@ class Feistel:
         self.right = -(-size // self.left)
         self.key = hashlib.blake2b(f"{kind}|{size}|{key}".encode()).digest()
 
-    def draw(self, step: int, value: int, size: int) -> int:
-        text = b"%d|%d" % (step, value)
+    def draw(self, step: int, value: int, size: int, tweak: bytes) -> int:
+        text = b"%d|%d%s" % (step, value, tweak)
         return int.from_bytes(hashlib.blake2b(text, key=self.key, digest_size=32).digest()) % size
 
-    def once(self, value: int, back: bool) -> int:
+    def once(self, value: int, back: bool, tweak: bytes) -> int:
         a, b = divmod(value, self.right)
         for step in reversed(range(ROUNDS)) if back else range(ROUNDS):
             sign = -1 if back else 1
             if step % 2:
-                b = (b + sign * self.draw(step, a, self.right)) % self.right
+                b = (b + sign * self.draw(step, a, self.right, tweak)) % self.right
             else:
-                a = (a + sign * self.draw(step, b, self.left)) % self.left
+                a = (a + sign * self.draw(step, b, self.left, tweak)) % self.left
         return a * self.right + b
 
-    def permute(self, value: int, back: bool = False) -> int:
+    def permute(self, value: int, back: bool = False, tweak: bytes = b"") -> int:
+        """Another permutation for each ``tweak``."""
         if self.size < 2:
             return value
-        value = self.once(value, back)
+        value = self.once(value, back, tweak)
         while value >= self.size:
-            value = self.once(value, back)
+            value = self.once(value, back, tweak)
         return value
 
 
@@ -120,26 +123,48 @@ class Pseudonyms:
             "ssn": ("ssn", self.value_ssn), "card": ("card", self.value_card), "phone": ("phone", self.value_phone), "loose": ("card", self.value_card),
         }
         self.mails = re.compile(r"(?<![\w.%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_])?)@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![\w-])")
-        self.secrets = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{8,200})")
+        self.secrets = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?([A-Z0-9+/_-]++(?:[.=]++[A-Z0-9+/_-]++)*+)")
 
-    def permute(self, kind: str, value: int, size: int) -> int:
-        network = self.networks.get((kind, size)) or self.networks.setdefault((kind, size), Feistel(self.key, kind, size))
-        return network.permute(value, self.back)
+    def permute(self, kind: str, value: int, size: int, tweak: bytes = b"") -> int:
+        network = self.networks.get((kind, size))
+        if network is None:
+            if len(self.networks) >= NETWORKS:
+                self.networks.clear()
+            network = self.networks[kind, size] = Feistel(self.key, kind, size)
+        return network.permute(value, self.back, tweak)
 
     def text_value(self, kind: str, text: str, hexadecimal: bool = False) -> str:
-        """Letters and digits permuted together, each within its class; other characters stay."""
+        """Letters and digits permuted together, each within its class; other characters stay.
+
+        More than BLOCK of them are permuted in blocks, each linked to the one before it and then to the one behind it,
+        so that every block of a pseudonym depends on the whole value."""
         low = "abcdef" if hexadecimal else LOWER
-        classes = [DIGITS if c in DIGITS else low if c in LOWER else UPPER for c in text if c.isascii() and c.isalnum()]
+        characters = [c for c in text if c.isascii() and c.isalnum()]
+        if len(characters) <= BLOCK:
+            return refill(text, self.block(kind, "".join(characters), low))
+        count = -(-len(characters) // BLOCK)
+        edges = [k * len(characters) // count for k in range(count + 1)]
+        blocks = ["".join(characters[a:b]) for a, b in zip(edges, edges[1:])]
+        for step in ("back", "on") if self.back else ("on", "back"):
+            # what a block is linked to is what has been permuted already, and in undoing it what still is
+            side = -1 if step == "on" else 1
+            for k in range(count) if (step == "on") != self.back else reversed(range(count)):
+                beside = blocks[k + side] if 0 <= k + side < count else ""
+                blocks[k] = self.block(kind, blocks[k], low, f"|{step}|{k}|{count}|{beside}".encode())
+        return refill(text, "".join(blocks))
+
+    def block(self, kind: str, characters: str, low: str, tweak: bytes = b"") -> str:
+        classes = [DIGITS if c in DIGITS else low if c in LOWER else UPPER for c in characters]
         rank = 0
-        for c, letters in zip((c for c in text if c.isascii() and c.isalnum()), classes):
+        for c, letters in zip(characters, classes):
             rank = rank * len(letters) + letters.index(c)
         pattern = "".join("d" if x is DIGITS else "u" if x is UPPER else "l" for x in classes)
-        rank = self.permute(f"{kind} {pattern}", rank, prod(map(len, classes)))
+        rank = self.permute(f"{kind} {pattern}", rank, prod(map(len, classes)), tweak)
         out = []
         for letters in reversed(classes):
             rank, at = divmod(rank, len(letters))
             out.append(letters[at])
-        return refill(text, "".join(reversed(out)))
+        return "".join(reversed(out))
 
     def number(self, kind: str, digits: str) -> str:
         return str(self.permute(kind, int(digits), 10 ** len(digits))).zfill(len(digits)) if digits else ""
@@ -211,10 +236,13 @@ class Pseudonyms:
         if "@" in text:
             for m in self.mails.finditer(text):
                 out.append((m.start(1), m.end(1), "email", self.text_value("email", m.group(1))))
-        for m in self.secrets.finditer(text):
-            value = m.group(1)
-            if re.search(r"\d", value):
+        at = 0
+        while m := self.secrets.search(text, at):
+            value, at = m.group(1), m.end()
+            if len(value) >= 8 and re.search(r"[0-9]", value):
                 out.append((m.start(1), m.end(1), "secret", self.text_value("secret", value, not re.search(r"[g-zA-Z]", value))))
+            else:
+                at = m.start(1)
         if re.search(r"\d", text):
             taken, at = sorted(span[:2] for span in out), 0
             while m := self.numbers.search(text, at):
@@ -268,8 +296,8 @@ def key_of(docs: DataFrame) -> str:
 def pseudonymise(docs: DataFrame, text_column: str = "text", key: str | None = None, back: bool = False) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and entities: kind, start and stop in the original text, and
     the pseudonym of each. ``back`` turns pseudonyms into the values they stand for. Null texts stay null and have no
-    entities, as have texts without personal data, which stay as they are; numbers that fail their checksum, calendar
-    or range are left. Equal values get equal pseudonyms wherever they stand; a column entities is replaced."""
+    entities, as have texts without personal data, which stay as they are; numbers that fail their checksum or calendar
+    are left. Equal values get equal pseudonyms wherever they stand; a column entities is replaced."""
     key = key if key is not None else key_of(docs)
 
     def start():

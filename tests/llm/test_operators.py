@@ -276,6 +276,22 @@ def test_pseudonyms_take_all_addresses_date_orders_and_phone_forms():
     assert first.split("/") == [second.split("/")[k] for k in (1, 0, 2)] == [iso.split("-")[k] for k in (1, 2, 0)]
 
 
+def test_pseudonyms_take_whole_secrets():
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    part = lambda n: "7" + "".join(rng.choices(letters, k=n - 2)) + "z"
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{part(300)}.{part(43)}"
+    for value in ("hunter22", part(64), part(65), part(201), part(1000), jwt, f"{part(20)}={part(20)}", "0a1b" * 60, "2020-12-25-abcdefgh", "Zz9" * 30):
+        for text in (f"token={value}", f'my password: "{value}". End.', f"secret: password: {value}, x", f"api_key = {value}=="):
+            assert spans_of(text) == [("secret", value)]
+    a, b = (pii.Pseudonyms("k").replace(f"token={v}")[0] for v in ("x1" * 300, "x1" * 299 + "x2"))
+    assert len(a) == len(b) and all(sum(x != y for x, y in zip(a[k : k + 60], b[k : k + 60])) > 30 for k in range(6, 600, 60))
+    plain = "q7" * 300
+    hidden = pii.Pseudonyms("k").replace(f"token={plain}")[0][6:]
+    assert all(sum(x != y for x, y in zip(hidden[k : k + 60], plain[k : k + 60])) > 30 for k in range(0, 600, 60))
+    assert pii.Pseudonyms("k").replace("token: short1 secret=nodigitshere.")[1] == []
+
+
 def test_main_text(spark):
     page = "<html><body><nav><ul><li><a href=/x>Menu one</a></li></ul></nav><div class=ad>Buy this now.</div><article><h1>Title {k}</h1><p><b>First &amp; best\n part {k} of the story.<br><p>Second part, which is longer than the first one {k}.</article><footer>&copy; foot.</footer></body>"
     rows = [(k, "u", page.replace("{k}", str(k))) for k in range(60)]
