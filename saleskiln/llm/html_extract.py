@@ -29,13 +29,18 @@ TREES, DEPTH, RATE, BINS, LEAF = 40, 4, 0.2, 32, 8
 TOKEN_BUCKETS = 12
 
 # Elements of HTML by their role.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br tspan".split())
+MATH = set("math mi mn mo ms mtext mspace mrow mfrac msup msub msubsup msqrt mroot munder mover munderover mtable mtr mlabeledtr mtd mstyle mpadded mphantom menclose mfenced merror maction mmultiscripts mprescripts semantics annotation annotation-xml".split())
+INLINE |= MATH
+SPACED = set("br mtr mtd annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe select button svg math object canvas audio video".split())
+RAW = set("script style textarea title".split())
+#: Embedded parts, fallbacks and controls: elements as any other where they have text and an end.
+PARTS = set("noscript template iframe select button svg object canvas audio video".split())
 ENDS_PARAGRAPH = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
-FENCES = set("ul ol dl table body article section div main aside nav header footer form blockquote".split())
-DROP_TAGS = set("nav footer aside form menu dialog head".split())
+FENCES = set("ul ol dl table body article section div main aside nav header footer form blockquote".split()) | PARTS
+DROP_TAGS = set("nav footer aside form menu dialog head button select".split())
 KEEP_TAGS = set("article main".split())
 # Tokens of class, id and role that say what an element is.
 DROP_TOKENS = set(
@@ -49,6 +54,9 @@ MARKUP = re.compile(
     r"|<([a-zA-Z][^\s>/]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>|<([a-zA-Z][^\s>/]*)([^>]*)>",
     re.S,
 )
+RAW_PART = re.compile(r"<(script|style|textarea|title)\b.*?(?:</\1\b[^>]*>|\Z)", re.S | re.I)
+SAME = {tag: re.compile(rf"<(/?){tag}\b(?:[^>]*>|\Z)", re.I) for tag in RAW | PARTS}
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 SIGNS = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PART = re.compile(r"[a-z]+")
 SENTENCE = re.compile(r"[.!?…。](?=\s|$)")
@@ -65,8 +73,16 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+def has_text(inner: str) -> bool:
+    return bool(references.unescape(MARKUP.sub("", RAW_PART.sub("", inner))).strip())
+
+
 def parse(html: str) -> Page:
-    """Lenient: unclosed and stray tags are mended as browsers do for paragraphs, lists and tables."""
+    """Lenient: unclosed and stray tags are mended as browsers do for paragraphs, lists and tables.
+
+    Only an unclosed script, style, textarea or title takes the rest of the page with it, as in browsers. Formulas are
+    text of their paragraph; an embedded part, fallback or control without text is passed over, and one without an end
+    leaves its content to its parent."""
     page, stack, names, parts, anchors, at, size = Page(), [0], {}, [], 0, 0, len(html)
 
     def close_block() -> None:
@@ -101,20 +117,25 @@ def parse(html: str) -> Page:
         closing, opening = match.group(1), match.group(2) or match.group(4)
         if opening:
             tag = opening.lower()
+            empty = (tag in ("svg", "math") or names.get("svg", 0) > 0) and (match.group(3) or match.group(5) or "").rstrip().endswith("/")
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else size
+                end = None if empty else RAW_END[tag].search(html, at)
+                at = at if empty else end.end() if end else size
             elif tag in INLINE:
-                anchors += tag == "a"
-                if tag == "br":
+                anchors += tag == "a" and not empty
+                if tag in SPACED:
                     parts.append(" ")
+            elif tag in PARTS and (empty or not (end := SAME[tag].search(html, at)) or not end.group(1)):
+                parts.append(" ")
+            elif tag in PARTS and (tag == "iframe" or not has_text(html[at : end.start()])):
+                at = end.end()
             else:
                 close_block()
                 if tag in ENDS_PARAGRAPH and names.get("p"):
                     pop_to({"p"}, FENCES)
                 if tag in CLOSES and any(names.get(t) for t in CLOSES[tag]):
                     pop_to(CLOSES[tag], FENCES - {tag})
-                if tag not in VOID:
+                if tag not in VOID and not empty:
                     signs = " ".join(m.group(1) for m in SIGNS.finditer(match.group(3) or match.group(5) or ""))
                     page.tags.append(tag)
                     page.parents.append(stack[-1])

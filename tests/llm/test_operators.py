@@ -302,3 +302,23 @@ def test_main_text(spark):
     assert found[100].text == found[101].text == "" and html_extract.train_extractor(pages.limit(0)) is None
     kept = html_extract.decode([-1, 0, 1, 0], __import__("numpy").array([1.0, -5.0, 2.0, 1.0]))
     assert kept.tolist() == [True, False, False, True]
+
+
+def test_main_text_behind_and_in_embedded_parts(spark):
+    long = "This is part {k} of the story, and it is long enough to be told from a menu."
+    page = "<html><body><nav><ul><li><a href=/x>Menu one</a></li></ul></nav><article><h1>Title {k}</h1><p>" + long + "</p><p>" + long + "</p></article><footer>foot.</footer></body>"
+    pages = spark.createDataFrame([(k, "u", page.replace("{k}", str(k))) for k in range(60)], "page_id bigint, url string, html string")
+    a, b, c = (long.replace("{k}", k) for k in ("one", "two", "three"))
+    around = lambda part: f"<html><body><nav><ul><li><a href=/x>Menu</a></li></ul></nav><article><p>{a}</p>{part}<p>{b}</p></article><footer>foot.</footer></body>"
+    lost = ["<svg class=i/>", "<svg class='i' />", "<math/>", "<button>", "<select>", "<object>", "<video src=x>", "<canvas>", "<noscript>", "<iframe src=x>", "<audio>", "<template>"]
+    whole = [around(p) for p in [*lost, "<svg><title>Icon</title><path d='M0'/></svg>", "<video><source src=x></video>", "<svg/><svg><path/></svg>", "<iframe>old</iframe>"]]
+    asked = [*whole, around(f"<object><p>{c}</p></object>"), around(f"<video>{c}</video>"), around("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, as <svg><path/></svg> says the story.</p>")]
+    frame = spark.createDataFrame(list(enumerate(asked)), "page_id bigint, html string")
+    found = {r.page_id: r.text for r in html_extract.extract_main_text(frame, html_extract.train_extractor(pages)).collect()}
+    for k in range(len(whole)):
+        assert found[k] == f"{a}\n\n{b}", asked[k]
+    n = len(whole)
+    assert found[n] == found[n + 1] == f"{a}\n\n{c}\n\n{b}" and found[n + 2] == f"{a}\n\nSo x=1 holds, as says the story.\n\n{b}"
+    assert html_extract.parse("<p>a</p><script>x<p>b</p>").blocks == [(1, "a")]
+    words = " ".join(t for _, t in html_extract.parse("<p>a<button>b<p>c</p></button><select><option>d<option>e</select><noscript>f</noscript>").blocks)
+    assert words == "a b c d e f"
