@@ -7,18 +7,24 @@ embedding is multiplied with the layer once, and a text costs one table lookup p
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from saleskiln.llm.common import batch_udf, with_struct
+from saleskiln.llm.common import batch_udf, unused_name, with_struct
 
 BUCKETS, DIM, SIZES = 1 << 15, 12, (1, 2, 3, 4)
-#: Training rows taken per language (about; drawn by a hash of the id), and languages, most frequent first.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES = 600, 200
+#: Training rows taken per language (about; drawn by a hash of the id): so many where that makes no more than TRAIN_ROWS
+#: over all languages, else fewer, but no fewer than LEAST_ROWS, so that each is learnt.
+ROWS_PER_LANGUAGE, TRAIN_ROWS, LEAST_ROWS = 600, 120_000, 64
+#: Rows of a language in an epoch at least; where there are fewer, they are repeated.
+LEAST_SEEN = 120
+#: Chances that are calculated at once for temperature and rejection.
+HELD_CHANCES = 5_000_000
 EPOCHS, BATCH, RATE = 6, 32, 0.5
 #: Share of rightly named validation texts that rejection may cost.
 REJECT_RIGHT = 0.001
@@ -60,23 +66,26 @@ def subwords(texts: Sequence[str], letters: np.ndarray) -> tuple[list[np.ndarray
 
 @dataclass
 class LanguageModel:
-    """``table`` has each bucket's share of the logits, a row of zeros at the end; ``floor`` is the least score kept."""
+    """``table`` has each bucket's share of the logits, a row of zeros at the end, or with ``layer`` its embedding, which
+    is the shorter one where there are many languages; ``floor`` is the least score kept."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     floor: float
+    layer: np.ndarray | None = None
 
     def scores(self, texts: Sequence[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities, and whether a text has letters."""
         found, starts, count = subwords(texts, letters)
-        logits = np.zeros((len(texts), len(self.languages)))
+        logits = np.zeros((len(texts), self.table.shape[1]))
         total = np.zeros(len(texts))
         for bucket in found:
             logits += np.add.reduceat(self.table[bucket], starts, axis=0)
             total += np.add.reduceat((bucket < BUCKETS).astype(np.int64), starts)
-        return softmax((logits / np.maximum(total, 1)[:, None] + self.bias) / self.temperature), count > 0
+        logits /= np.maximum(total, 1)[:, None]
+        return softmax(((logits if self.layer is None else logits @ self.layer) + self.bias) / self.temperature), count > 0
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -85,11 +94,16 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], languages: list[str], seed: int = 7) -> LanguageModel:
-    """SGD on (buckets, counts, language); every fifth row is kept for temperature and rejection."""
+    """SGD on (buckets, counts, language); every fifth row is kept for temperature and rejection, and learnt from where
+    its language has no other."""
     rng = np.random.default_rng(seed)
     classes = {name: k for k, name in enumerate(languages)}
     train, held = [r for k, r in enumerate(rows) if k % 5], [r for k, r in enumerate(rows) if k % 5 == 0]
-    train, held = train or rows, held or rows
+    learnt = {r[2] for r in train}
+    train = train + [r for r in held if r[2] not in learnt]
+    least, own = min(LEAST_SEEN, max(1, TRAIN_ROWS // len(languages))), Counter(r[2] for r in train)
+    train = [r for r in train for _ in range(max(1, -(-least // own[r[2]])))]
+    held = held[:: 1 + len(held) * len(languages) // HELD_CHANCES]
     embed = rng.normal(0, 0.1, (BUCKETS + 1, DIM)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (DIM, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
 
@@ -124,6 +138,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], languages: list[str], se
     chances = softmax(logits / temperature)
     right = chances.max(axis=1)[chances.argmax(axis=1) == truth]
     floor = float(min(np.quantile(right, REJECT_RIGHT), 0.5)) if len(right) else 0.0
+    if len(languages) > DIM:
+        return LanguageModel(languages, embed, bias.astype(float), temperature, floor, layer)
     return LanguageModel(languages, (embed @ layer).astype(np.float32), bias.astype(float), temperature, floor)
 
 
@@ -148,20 +164,22 @@ def sparse_counts(docs: DataFrame, text_column: str) -> DataFrame:
 
 
 def train_languages(rows: DataFrame, text_column: str = "text", language_column: str = "lang", id_column: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel | None:
-    """Model of the labelled ``rows``, or None where there are none. Languages are counted over all rows; of each, about
-    ``rows_per_language`` whole texts are drawn by a hash of the id, so that the draw doesn't depend on partitions."""
+    """Model of the labelled ``rows``, or None where there are none. Languages are counted over all rows, and all are
+    learnt; of each, about ``rows_per_language`` whole texts, fewer with many languages, are drawn by a hash of the id, so
+    that the draw doesn't depend on partitions."""
     labelled = rows.where(F.col(language_column).isNotNull() & F.col(text_column).isNotNull() & F.col(id_column).isNotNull())
-    counts = labelled.groupBy(F.col(language_column).alias("language")).count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy(F.col(language_column).alias("language")).count().orderBy(F.desc("count"), "language").collect()
     if not counts:
         return None
     scale = 1 << 30
-    share: Column = F.lit(0)
-    for row in counts:
-        part = min(scale, int(scale * rows_per_language / row["count"]) + 1)
-        share = F.when(F.col(language_column) == row.language, F.lit(part)).otherwise(share)
-    drawn = labelled.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(scale)) < share)
+    each = min(rows_per_language, max(LEAST_ROWS, TRAIN_ROWS // len(counts)))
+    parts = [(row.language, min(scale, int(scale * each / row["count"]) + 1)) for row in counts]
+    share, language = unused_name(rows, "_share"), unused_name(rows, "_language")
+    shares = rows.sparkSession.createDataFrame(parts, f"`{language}` string, `{share}` bigint")
+    drawn = labelled.join(F.broadcast(shares), F.col(language_column) == F.col(language))
+    drawn = drawn.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(scale)) < F.col(share))
     drawn = drawn.select(F.col(id_column).alias("id"), F.col(language_column).alias("language"), F.col(text_column).alias("text"))
-    most = 4 * rows_per_language * len(counts)  # far above what the hash can draw unless ids repeat
+    most = 4 * each * len(counts)  # far above what the hash can draw unless ids repeat
     drawn = sparse_counts(drawn.limit(most), "text").select("id", "language", "buckets", "counts")
     found = [(np.array(r.buckets, np.int32), np.array(r.counts, np.int32), r.language) for r in sorted(drawn.collect(), key=lambda r: (str(r.id), r.language)) if r.buckets]
     return fit(found, [r.language for r in counts]) if found else None

@@ -194,6 +194,20 @@ def test_language_model(spark, docs):
     assert langid.train_languages(docs.limit(0)) is None and langid.identify_language(asked, None).where("rejected").count() == 5
 
 
+def test_every_language_is_learnt(spark):
+    rng = random.Random(21)
+    words = {f"l{k:03d}": [chr(0x4E00 + 40 * k + j) * 2 for j in range(12)] for k in range(230)}
+    rows = [(code, " ".join(rng.choice(w) for _ in range(10))) for code, w in words.items() for _ in range(10 if code < "l200" else 6)]
+    rows.append(("only", " ".join("ßßöö" for _ in range(10))))
+    model = langid.train_languages(spark.createDataFrame([(k, t, code) for k, (code, t) in enumerate(rows)], "doc_id bigint, text string, lang string"))
+    assert sorted(model.languages) == [*sorted(words), "only"]
+    chances, _ = model.scores([" ".join(w) for w in words.values()], langid.letter_table())
+    named = [model.languages[k] for k in chances.argmax(axis=1)]
+    assert sum(a == b for a, b in zip(named[200:], list(words)[200:])) >= 27
+    few = langid.fit([(langid.np.array([5], "int32"), langid.np.array([2], "int32"), "one")], ["one"])
+    assert few.scores(["abc"], langid.letter_table())[0].shape == (1, 1)
+
+
 def test_segments_against_brute_force():
     rng = random.Random(6)
     for _ in range(300):
