@@ -15,6 +15,7 @@ from saleskiln.llm.line_quality import clean_lines
 from saleskiln.llm.line_spread import drop_spread_lines
 from saleskiln.llm.minhash import near_duplicates
 from saleskiln.llm.pii import KINDS, pseudonymise
+from saleskiln.llm.substring import drop_repeats
 from saleskiln.llm.token_counts import count_tokens
 from saleskiln.llm.toxicity import score_toxicity, train_toxicity
 
@@ -110,3 +111,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_main_text(pages, train_extractor(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op12_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 35 words that stand anywhere else."""
+    left = drop_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
