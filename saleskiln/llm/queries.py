@@ -15,6 +15,7 @@ from saleskiln.llm.line_quality import clean_lines
 from saleskiln.llm.line_spread import drop_spread_lines
 from saleskiln.llm.minhash import near_duplicates
 from saleskiln.llm.pii import KINDS, pseudonymise
+from saleskiln.llm.spelling import TYPO, group_spellings
 from saleskiln.llm.substring import drop_repeats
 from saleskiln.llm.token_counts import count_tokens
 from saleskiln.llm.toxicity import score_toxicity, train_toxicity
@@ -118,3 +119,9 @@ def op12_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the windows of 35 words that stand anywhere else."""
     left = drop_repeats(documents(spark, sf_dir))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, some of which lose a letter first."""
+    return group_spellings(documents(spark, sf_dir), typo=TYPO).select("word", "form", "root", "n", "n_near", "form_n")
