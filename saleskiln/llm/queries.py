@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from saleskiln.llm.byte_bpe import bpe_round_trip
 from saleskiln.llm.common import table
+from saleskiln.llm.conversations import damaged, repair_pieces, summarise
 from saleskiln.llm.decontaminate import find_contamination
 from saleskiln.llm.html_extract import extract_main_text, train_extractor
 from saleskiln.llm.langid import identify_language, train_languages
@@ -125,3 +126,10 @@ def op12_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents, some of which lose a letter first."""
     return group_spellings(documents(spark, sf_dir), typo=TYPO).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged first, with its faults and its cheapest repair."""
+    rows = damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return summarise(repair_pieces(rows, copies="copies"))

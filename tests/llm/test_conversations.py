@@ -1,0 +1,189 @@
+"""Conversation repair against exhaustive search and a plain program, in one piece and in many, and over whole tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from itertools import product
+
+import pytest
+from pyspark.sql import functions as F
+
+from saleskiln.llm import conversations as C
+from saleskiln.llm.queries import QUERIES
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+BLANK = re.compile(r"[\x20\x09-\x0D]*")
+
+
+def hurt(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        draw = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if draw == 1 else re.sub("[.!?]", "", text) if draw == 2 else text
+        out += [(conv, turn, "user" if draw == 4 else role, text)] * (0 if draw == 0 else 2 if draw == 3 else 1)
+    return out
+
+
+def faults(rows):
+    seen, out = set(), []
+    for role, text in rows:
+        if BLANK.fullmatch(text):
+            out.append("b")
+        elif (role, text) in seen:
+            out.append("d")
+        else:
+            out.append("" if text.rstrip(" \t\n\x0b\x0c\r")[-1] in ".!?" else "t")
+        seen.add((role, text))
+    return out
+
+
+def apply(rows, marks, audit):
+    """Cost, initials and lines of an audit, or None if it doesn't fit; changed and inserted roles alternate."""
+    cost, roles, lines, rest = 0, "", [], list(zip(rows, marks))
+    for letter in audit:
+        follow = "assistant" if roles[-1:] == "u" else "user"
+        if letter == "I":
+            cost, roles, lines = cost + 3, roles + follow[0], [*lines, f"{follow}:"]
+            continue
+        if not rest:
+            return None
+        (role, text), mark = rest.pop(0)
+        if letter == "D":
+            cost += 4
+            continue
+        if mark in ("b", "d"):
+            return None
+        cost += 3 * (mark == "t") + 3 * (letter == "R")
+        role = follow if letter == "R" else role
+        roles, lines = roles + role[:1], [*lines, f"{role}:{text}"]
+    return None if rest or not re.fullmatch("(s?(ua)+)?", roles) else (cost, audit, "\n".join(lines))
+
+
+def exhaustive(rows):
+    marks = faults(rows)
+    tries = (apply(rows, marks, "".join(a)) for n in range(len(rows), 2 * len(rows) + 3) for a in product("DIKR", repeat=n) if sum(c != "I" for c in a) == len(rows))
+    return min(t for t in tries if t)
+
+
+def plain(rows):
+    """The same by keeping, for every state, the cheapest and least string as it is."""
+    marks, follow = faults(rows), {"": "user", "s": "user", "u": "assistant", "a": "user"}
+    best = {"": (0, "", ())}
+
+    def put(cells, state, cell):
+        if state not in cells or cell[:2] < cells[state][:2]:
+            cells[state] = cell
+
+    def opened(cells):
+        cells = dict(cells)
+        for _ in range(3):
+            for state, (cost, audit, lines) in list(cells.items()):
+                put(cells, follow[state][0], (cost + 3, audit + "I", (*lines, f"{follow[state]}:")))
+        return cells
+
+    for (role, text), mark in zip(rows, marks):
+        new = {}
+        for state, (cost, audit, lines) in opened(best).items():
+            put(new, state, (cost + 4, audit + "D", lines))
+            if mark not in ("b", "d"):
+                more = 3 * (mark == "t")
+                put(new, follow[state][0], (cost + 3 + more, audit + "R", (*lines, f"{follow[state]}:{text}")))
+                if role[:1] == follow[state][0] or (role[:1] == "s" and state == ""):
+                    put(new, role[:1], (cost + more, audit + "K", (*lines, f"{role}:{text}")))
+        best = new
+    cost, audit, lines = min(cell for state, cell in opened(best).items() if state in ("", "a"))
+    return cost, audit, "\n".join(lines)
+
+
+def expected(rows):
+    out = {}
+    after = hurt(rows)
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r for r in after if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), r[3].encode()))
+        pairs = [(role, text) for *_, role, text in mine]
+        marks, turns = faults(pairs), [r[1] for r in mine if r[1] is not None]
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(pairs, pairs[1:]))
+        cost, audit, text = plain(pairs)
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        out[conv] = (gaps, marks.count("b"), marks.count("d"), marks.count("t"), illegal, cost, audit, hashlib.sha256(text.encode()).hexdigest())
+    return out
+
+
+def as_rows(frame):
+    found = frame.collect()
+    assert len({r.conv_id for r in found}) == len(found)
+    return {r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired_sha256) for r in found}
+
+
+def made(rng, convs, most):
+    texts = ["Hi.", "Why?", "no end", "", " \t", "Yes!", "no end \n", None, "x" * 300 + "."]
+    rows = []
+    for conv in convs:
+        for turn in range(rng.randint(1, most)):
+            role = rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "User", None, ""])
+            rows.append((conv, rng.choice([turn, turn, turn, turn + 3, None]), role, rng.choice(texts) if rng.random() < 0.4 else f"text {rng.random()}."))
+    return rows
+
+
+def test_program_is_cheapest_and_least():
+    rng = random.Random(1)
+    for _ in range(150):
+        rows = [(rng.choice(["user", "assistant", "system", "tool"]), rng.choice(["A.", "B.", "cut", ""])) for _ in range(rng.randint(0, 4))]
+        marks = [{"": 0, "b": 1, "d": 2, "t": 3}[m] for m in faults(rows)]
+        coded = [(*r, m) for r, m in zip(rows, marks)]
+        cost, audit, _ = C.Program(coded, C.START).finished()
+        assert (cost, audit, "\n".join(C.replay(coded, audit, C.START))) == exhaustive(rows) == plain(rows)
+    for _ in range(200):
+        rows = [(rng.choice(["user", "assistant", "system", "tool"]), rng.choice(["A.", "B.", "cut", "", str(k)])) for k in range(rng.randint(0, 40))]
+        marks = [{"": 0, "b": 1, "d": 2, "t": 3}[m] for m in faults(rows)]
+        coded = [(*r, m) for r, m in zip(rows, marks)]
+        # in pieces of any size the way through is the same
+        cuts = sorted(rng.choices(range(len(rows) + 1), k=rng.randint(0, 6)))
+        pieces = [coded[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        ways = [[C.Program(p, entry).ways() for entry in range(4)] for p in pieces]
+        path = C.chain([([c for costs, _ in w for c in costs], [r for _, ranks in w for r in ranks]) for w in ways])
+        audit = "".join((g := C.Program(p, entry)).audits.text(g.cells[out][1]) for p, (entry, out) in zip(pieces, path)) + "I" * C.TAILS[path[-1][1]]
+        assert audit == C.Program(coded, C.START).finished()[1] == plain(rows)[1]
+
+
+def test_audits_compare_as_strings_even_when_hashes_collide(monkeypatch):
+    rng = random.Random(2)
+    for prime in (C.PRIME, 3):
+        monkeypatch.setattr(C, "PRIME", prime)
+        audits, nodes = C.Audits(), [0]
+        for _ in range(400):
+            nodes.append(audits.add(rng.choice(nodes[-9:]), rng.choice("DK")))
+        for _ in range(3000):
+            a, b = rng.choice(nodes), rng.choice(nodes)
+            assert audits.less(a, b) == (audits.text(a) < audits.text(b))
+            depth = rng.randint(0, audits.depth[a])
+            assert audits.text(audits.ancestor(a, depth)) == audits.text(a)[:depth]
+
+
+@pytest.mark.parametrize("seed, piece", [(1, 4096), (2, 3), (3, 1), (4, 50)])
+def test_conversations_against_a_plain_program(spark, seed, piece):
+    rng = random.Random(seed)
+    rows = made(rng, [*range(40), None], 9) + made(rng, [100], 900) + [(200, None, None, None)]
+    rows += rng.choices(rows, k=30) + [(7, 3, "user", "Same."), (7, 3, "user", "Same.")] * 4
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"copies": F.lit("clash"), "task": F.lit(1), "repaired": F.lit(2)}).repartition(5)
+    pieces = C.repair_pieces(C.damaged(docs), copies="copies", piece_rows=piece)
+    assert as_rows(C.summarise(pieces)) == expected(rows) and (piece > 900 or pieces.where("conv_id = 100").count() >= 900 // (2 * piece))
+    assert C.summarise(C.repair_pieces(C.damaged(docs.limit(0)), copies="copies")).count() == 0
+
+
+def test_undamaged_rows_and_text_ids(spark):
+    rows = [("a", 0, "user", "Hi."), ("a", 1, "assistant", "Yes."), ("b", 0, "assistant", "Only."), ("c", 2, "system", "Be brief.")]
+    found = {r.conv_id: r for r in C.repair_pieces(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()}
+    assert {k: (r.cost, r.audit, r.repaired) for k, r in found.items()} == {
+        "a": (0, "KK", "user:Hi.\nassistant:Yes."), "b": (3, "IK", "user:\nassistant:Only."), "c": (4, "D", None),
+    }
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_over_a_whole_table(spark, testdata, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{testdata}/{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert as_rows(QUERIES["op11_conversations"](spark, f"{testdata}/{sf}")) == expected(rows)
