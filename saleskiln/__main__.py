@@ -33,6 +33,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--native-merge", action="store_true", help="the format can MERGE")
     parser.add_argument("--id-type", default="bigint", choices=("int", "bigint"))
     parser.add_argument("--buckets", type=int, default=0, help="buckets of the fact table")
+    parser.add_argument("--partitions", type=int, default=0, help="partitions by key of upserted tables, in place of versions")
     parser.add_argument("--page-per-line", action="store_true")
     parser.add_argument("--batch-time", default=None, help="yyyy-MM-dd HH:mm:ss, default: now")
     parser.add_argument("--shuffled-gb", type=int, default=1)
@@ -54,6 +55,7 @@ def main(argv: list[str] | None = None) -> list[runs.IngestResult | runs.MergeRe
         native_merge=args.native_merge,
         id_type=args.id_type,
         buckets=args.buckets,
+        partitions=args.partitions,
     )
     batch_time = args.batch_time or f"{datetime.now():%Y-%m-%d %H:%M:%S}"
     results = []

@@ -16,7 +16,16 @@ def keep_latest(df: DataFrame, keys: Sequence[str], newest_first: str, tie_break
     order = [F.col(newest_first).desc()]
     order += [F.col(each).asc() if isinstance(each, str) else each for each in tie_breakers]
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") == 1).drop("_rank")
+    rank = free_name(df, "rank")
+    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) == 1).drop(rank)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {name.lower() for name in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

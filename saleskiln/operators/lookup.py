@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from saleskiln.operators.dedup import free_name
+
 
 def lookup_key(lines: DataFrame, dimension: DataFrame, on: str, fetch: str) -> DataFrame:
     """``lines`` plus ``fetch`` of the matching dimension member, NULL where there is none.
@@ -12,8 +14,9 @@ def lookup_key(lines: DataFrame, dimension: DataFrame, on: str, fetch: str) -> D
     broadcasts a dimension whose measured size is below ``spark.sql.autoBroadcastJoinThreshold``, and
     otherwise shuffles both sides and splits hot keys of ``lines`` (adaptive skew join).
     """
-    member = dimension.select(F.col(on).alias("_member"), F.col(fetch))
-    return lines.join(member, lines[on] == member["_member"], "left").drop("_member")
+    key = free_name(lines, "member")
+    member = dimension.select(F.col(on).alias(key), F.col(fetch))
+    return lines.join(member, lines[on] == member[key], "left").drop(key)
 
 
 def resolved(lines: DataFrame, *fetched: str) -> DataFrame:

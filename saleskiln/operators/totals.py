@@ -17,8 +17,10 @@ def total_by_member(facts: DataFrame, dimension: DataFrame, on: str, describe: l
     unique in the dimension, hence no second aggregation. An amount that does not fit, or is no number,
     fails the job instead of being left out.
     """
-    amount, exact = F.col(measure), F.col(measure).try_cast(MONEY)
-    lost = F.raise_error(F.concat(F.lit(f"{measure} does not fit {MONEY}: "), amount.cast("string"))).cast(MONEY)
-    summed = F.sum(F.when(amount.isNotNull() & exact.isNull(), lost).otherwise(exact))
-    sums = facts.groupBy(on).agg(summed.cast("double").alias(total))
+    amounts = facts.select(on, F.col(measure).alias("amount"), F.col(measure).try_cast(MONEY).alias("exact"))
+    # each amount is converted once; whether one got lost is asked once per member, not per fact
+    sums = amounts.groupBy(on).agg(F.sum("exact").cast("double").alias("sum"), (F.count("amount") - F.count("exact")).alias("lost"))
+    message = F.concat(F.col("lost").cast("string"), F.lit(f" amounts of {measure} do not fit {MONEY}"))
+    whole = F.when(F.col("lost") == 0, F.col("sum")).otherwise(F.raise_error(message).cast("double"))
+    sums = sums.select(on, whole.alias(total))
     return dimension.select(on, *describe).join(sums, on, "inner").select(*describe, total)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from saleskiln.functions.text import ColumnOrName, as_column
+from saleskiln.operators.dedup import free_name
 
 INSERTED, UPDATED, KEPT = "inserted", "updated", "kept"
 
@@ -53,12 +54,13 @@ def upsert(target: DataFrame, source: DataFrame, rule: UpsertRule, now: ColumnOr
     match nothing and are therefore inserted.
     """
     rule.check(target.columns, source.columns)
-    old = target.withColumn("_old", F.lit(True)).alias("old")
-    new = source.withColumn("_new", F.lit(True)).alias("new")
+    was, now_in = free_name(target, "in_target"), free_name(source, "in_source")
+    old = target.withColumn(was, F.lit(True)).alias("old")
+    new = source.withColumn(now_in, F.lit(True)).alias("new")
     same_key = [F.col(f"old.{key}") == F.col(f"new.{key}") for key in rule.keys]
     joined = old.join(new, same_key, "full")
 
-    is_new, is_old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    is_new, is_old = F.col(f"new.{now_in}").isNotNull(), F.col(f"old.{was}").isNotNull()
     updated = set(rule.updated_columns(source.columns))
 
     def value(name: str) -> Column:
@@ -84,9 +86,10 @@ def upsert_small_batch(target: DataFrame, source: DataFrame, rule: UpsertRule, n
     """
     rule.check(target.columns, source.columns)
     keys = list(rule.keys)
-    new = source.withColumn("_new", F.lit(True)).alias("new")
+    now_in = free_name(source, "in_source")
+    new = source.withColumn(now_in, F.lit(True)).alias("new")
     same_key = [F.col(f"old.{key}") == F.col(f"new.{key}") for key in keys]
-    hit = F.col("_new").isNotNull()
+    hit = F.col(f"new.{now_in}").isNotNull()
     updated = set(rule.updated_columns(source.columns))
 
     def value(name: str) -> Column:

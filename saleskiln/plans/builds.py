@@ -24,6 +24,9 @@ from saleskiln.plans.contracts import CLIENT_FIELDS, PRODUCT_FIELDS, SALE_FIELDS
 from saleskiln.sources.schemas import BATCH_COLUMN, cart_schema, product_schema, prune, user_schema
 
 BRONZE_ONLY = {"row_id", BATCH_COLUMN}
+MEASURE = "unit_price"
+#: What the totals show of a client.
+DESCRIBED = ("client_id", "client_first_name", "client_last_name")
 
 
 def needed(schema: StructType, fields: list[Field], item: str | None = None, array: str | None = None) -> StructType:
@@ -154,8 +157,17 @@ def sale_audit(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_ty
     )
 
 
-def sales_by_client(sales: DataFrame, clients: DataFrame, measure: str = "unit_price", observation: Observation | None = None) -> DataFrame:
+def sales_by_client(sales: DataFrame, clients: DataFrame, measure: str = MEASURE, observation: Observation | None = None) -> DataFrame:
     """Total per client. ``measure`` is summed as it is, not multiplied by the quantity."""
-    describe = ["client_id", "client_first_name", "client_last_name"]
-    totals = total_by_member(sales, clients, "sk_client", describe, measure, "total_carrinho")
+    totals = client_totals(sales, clients, measure)
     return gate(totals, "client_id", observation) if observation else drop_null_keys(totals, "client_id")
+
+
+def client_totals(sales: DataFrame, clients: DataFrame, measure: str = MEASURE) -> DataFrame:
+    """Totals in front of the gate: members without a client id are still there."""
+    return total_by_member(sales, clients, "sk_client", list(DESCRIBED), measure, "total_carrinho")
+
+
+def sales_of(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the clients in ``members`` (distinct ``sk_client``), reduced before anything is summed."""
+    return rows.join(members, "sk_client", "left_semi")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -23,24 +23,35 @@ from saleskiln.operators import (
 from saleskiln.plans import builds
 from saleskiln.plans.contracts import DIM_CLIENT, DIM_PRODUCT, FT_SALE, SALES_BY_CLIENT, TableContract
 from saleskiln.sources.bronze import with_batch
-from saleskiln.sources.pages import page_records
+from saleskiln.sources.pages import coverage_report, kept_records, staged_pages
 from saleskiln.sources.schemas import ENTITIES
-from saleskiln.sources.tables import Warehouse
+from saleskiln.sources.tables import PART, Warehouse
 
 log = logging.getLogger(__name__)
 
+Touches = Callable[[DataFrame, DataFrame | None], None]
+
 
 @dataclass(frozen=True)
 class IngestResult:
+    """What became of a landing: gaps are announced records that no page holds, and a page at an offset where
+    another one landed is a repeated page, of which one is ingested."""
+
     entity: str
     rows_written: int
-    broken_pages: int
     first_broken_offset: int | None
     records_announced: int | None
+    records_missing: int = 0
+    records_overlapping: int = 0
+    repeated_pages: int = 0
 
     @property
     def complete(self) -> bool:
-        return not self.broken_pages and self.rows_written == self.records_announced
+        return (
+            self.first_broken_offset is None
+            and not self.records_missing
+            and self.rows_written - self.records_overlapping == self.records_announced
+        )
 
 
 @dataclass(frozen=True)
@@ -54,26 +65,41 @@ class MergeResult:
 def ingest(warehouse: Warehouse, entity: str, pages: DataFrame, batch_time: str) -> IngestResult:
     """Append all records of the landed ``pages`` as one bronze batch.
 
-    Row ids are digests of page file, offset, page body, position and batch, so that a retried task writes the same
-    ids and lines of one file never share one. A broken page of unknown offset fails the job before anything is written.
+    The pages are parsed once, into staging; what lies behind the first broken one is left out, pages that landed
+    repeatedly count once, and their offsets are swept for gaps and overlaps. Row ids are digests of page file,
+    offset, page body, position and batch, so that a retried task writes the same ids and lines of one file never
+    share one. A broken page of unknown offset fails the job before anything is written.
     """
     if entity not in ENTITIES:
         raise ValueError(f"unknown entity {entity!r}, expected one of {ENTITIES}")
     landing = Observation()
-    records = page_records(pages, entity, landing, strict=True)
-    origin = ["page_source", "page_offset", "page_digest", "position"]
-    before = warehouse.batch_rows(entity, batch_time) if warehouse.exists("bronze", entity) else 0
-    warehouse.append_batch(entity, with_batch(records, batch_time, "page_source", row_id_from=origin))
-    report = landing.get
+    staged_name = warehouse.stage(staged_pages(pages, entity, landing), f"{entity}_pages")
+    try:
+        staged = warehouse.spark.read.table(staged_name)
+        cut, announced = landing.get["first_broken_offset"], landing.get["records_announced"]
+        usable = staged if cut is None else staged.filter(F.col("page_offset").isNull() | (F.col("page_offset") < cut))
+        seen = coverage_report(usable, announced).first()
+        origin = ["page_source", "page_offset", "page_digest", "position"]
+        before = warehouse.batch_rows(entity, batch_time) if warehouse.exists("bronze", entity) else 0
+        records = kept_records(usable, repeats=seen.repeated_pages > 0)
+        warehouse.append_batch(entity, with_batch(records, batch_time, "page_source", row_id_from=origin))
+    finally:
+        warehouse.drop_staged(staged_name)
     result = IngestResult(
         entity,
         warehouse.batch_rows(entity, batch_time) - before,
-        report["broken_pages"],
-        report["first_broken_offset"],
-        report["records_announced"],
+        cut,
+        announced,
+        # pages that name no offset may be anywhere, so what they hold may fill a gap
+        max(seen.records_missing - seen.records_unplaced, 0),
+        seen.records_overlapping,
+        seen.repeated_pages,
     )
     if not result.complete:
         log.warning("%s: incomplete landing %s", entity, result)
+    warehouse.log_run(
+        step="ingest", table=f"bronze.{entity}", rows_written=result.rows_written, source_rows=announced, complete=result.complete, detail=batch_time
+    )
     return result
 
 
@@ -83,6 +109,8 @@ def merge(
     batch: DataFrame,
     observation: Observation | None = None,
     unique: bool = False,
+    touches: Touches | None = None,
+    detail: str | None = None,
 ) -> MergeResult:
     """Upsert ``batch`` into the contract's table.
 
@@ -90,10 +118,13 @@ def merge(
     Counts come from row counts of stored files, which also hold after repeated tasks: keys are unique
     and not NULL on both sides, hence rows after = rows before + inserted. ``unique=True`` says that
     the batch has one row per key and no NULL keys by construction, and saves the key check.
+    ``touches`` sees the staged batch and the table before the upsert. The result is also logged.
     """
     layer, table, rule = contract.layer, contract.table, contract.rule
     schema = contract.schema(warehouse.id_type)
-    staged_name = warehouse.stage(batch, table)
+    if warehouse.dealt:
+        warehouse.replace_parts(layer, table)
+    staged_name = warehouse.stage(batch, table, rule.keys[0] if contract.bucketed else None)
     try:
         staged = warehouse.spark.read.table(staged_name)
         if observation is not None:
@@ -101,37 +132,75 @@ def merge(
         if not unique:
             check_keys(staged, contract)
         source_rows = staged.count()
+        if touches and source_rows:
+            touches(staged, warehouse.read(layer, table) if warehouse.exists(layer, table) else None)
         if warehouse.native_merge:
             warehouse.create_empty(layer, table, schema)
             result = merge_into(warehouse, contract, staged, source_rows)
+        elif warehouse.dealt:
+            result = merge_parts(warehouse, contract, staged, source_rows)
         else:
-            if warehouse.exists(layer, table):
-                target = warehouse.read(layer, table)
-                rows_before = target.count()
-            else:
-                target, rows_before = warehouse.spark.createDataFrame([], schema), 0
-            small = source_rows <= warehouse.small_batch_rows and (
-                warehouse.stored_bytes(staged_name) <= warehouse.small_batch_bytes
-            )
-            merged = merged_rows(warehouse, contract, target, rows_before, staged, small)
-            version = warehouse.write_version(layer, table, merged, rule.keys[0] if contract.bucketed else None)
-            try:
-                inserted = warehouse.spark.read.table(version).count() - rows_before
-                if not 0 <= inserted <= source_rows:
-                    raise QualityError(f"{layer}.{table}: {inserted} rows more from a batch of {source_rows}, not published")
-                warehouse.publish(layer, table, version)
-            except Exception:
-                if warehouse.published(layer, table) != version:
-                    warehouse.drop_staged(version)
-                raise
-            warehouse.drop_old_versions(layer, table)
-            result = MergeResult(f"{layer}.{table}", inserted, source_rows - inserted, source_rows)
+            result = merge_version(warehouse, contract, staged, staged_name, source_rows)
     finally:
         warehouse.drop_staged(staged_name)
     log.info("%s", result)
+    warehouse.log_run(
+        step="merge", table=result.table, rows_written=result.rows_inserted + result.rows_updated, source_rows=result.source_rows,
+        rows_inserted=result.rows_inserted, rows_updated=result.rows_updated, complete=True, detail=detail,
+    )
     return result
 
 
+def merge_version(warehouse: Warehouse, contract: TableContract, staged: DataFrame, staged_name: str, source_rows: int) -> MergeResult:
+    """The upsert as a new version of the table, published once it is whole."""
+    layer, table, rule = contract.layer, contract.table, contract.rule
+    if warehouse.exists(layer, table):
+        target = warehouse.read(layer, table)
+        rows_before = target.count()
+    else:
+        target, rows_before = warehouse.spark.createDataFrame([], contract.schema(warehouse.id_type)), 0
+    small = source_rows <= warehouse.small_batch_rows and warehouse.stored_bytes(staged_name) <= warehouse.small_batch_bytes
+    merged = merged_rows(warehouse, contract, target, rows_before, staged, small)
+    version = warehouse.write_version(layer, table, merged, rule.keys[0] if contract.bucketed else None)
+    try:
+        inserted = checked_growth(contract, warehouse.spark.read.table(version).count() - rows_before, source_rows)
+        warehouse.publish(layer, table, version)
+    except Exception:
+        if warehouse.published(layer, table) != version:
+            warehouse.drop_staged(version)
+        raise
+    warehouse.drop_old_versions(layer, table)
+    return MergeResult(f"{layer}.{table}", inserted, source_rows - inserted, source_rows)
+
+
+def merge_parts(warehouse: Warehouse, contract: TableContract, staged: DataFrame, source_rows: int) -> MergeResult:
+    """The upsert of a dealt table: only the partitions with keys of the batch are read, merged and replaced.
+
+    The merged partitions are stored before any is replaced. A job that fails in front of that leaves the table as
+    it was; one that fails behind it leaves some partitions new, some old, and perhaps one of them gone, until the
+    next upsert, which finds the stored rows and puts them in place first. ``Warehouse.replace_parts`` does so alone.
+    """
+    layer, table, rule = contract.layer, contract.table, contract.rule
+    name = warehouse.create_parts(layer, table, contract.schema(warehouse.id_type))
+    held = warehouse.touched_parts(name, staged, rule.keys[0]).drop(PART)
+    rows_before = held.count()
+    merged = upsert(held, staged, rule).select(*held.columns, warehouse.part_of(rule.keys[0]).alias(PART))
+    pending = warehouse.store_pending(layer, table, merged)
+    try:
+        inserted = checked_growth(contract, warehouse.spark.read.table(pending).count() - rows_before, source_rows)
+    except Exception:
+        warehouse.drop_staged(pending)
+        raise
+    warehouse.replace_parts(layer, table)
+    return MergeResult(f"{layer}.{table}", inserted, source_rows - inserted, source_rows)
+
+
+def checked_growth(contract: TableContract, inserted: int, source_rows: int) -> int:
+    if not 0 <= inserted <= source_rows:
+        raise QualityError(f"{contract.layer}.{contract.table}: {inserted} rows more from a batch of {source_rows}, not published")
+    return inserted
+
+
 def check_keys(staged: DataFrame, contract: TableContract) -> None:
     keys = list(contract.rule.keys)
     nulls = staged.filter(reduce(or_, [F.col(key).isNull() for key in keys])).count()
@@ -152,15 +221,13 @@ def merged_rows(
 ) -> DataFrame:
     """The cheapest plan for the upsert; ``small`` says that the staged batch may be broadcast.
 
-    A bucketed target is joined bucket by bucket: only the batch is shuffled, and because each task then
-    holds exactly one bucket, the new version gets one file per bucket. That also asks for the first load
-    to be shuffled into buckets, and rules out the map-only rewrite, whose tasks would each write to all
-    buckets.
+    A bucketed target is joined bucket by bucket with a batch that was staged in the same buckets: nothing is
+    shuffled, and because each task then holds exactly one bucket, the new version gets one file per bucket.
+    That rules out the map-only rewrite, whose tasks would each write to all buckets.
     """
     bucketed = contract.bucketed and warehouse.buckets > 0
     if target_rows == 0:
-        rows = insert_all(target, staged, contract.rule)
-        return rows.repartition(warehouse.buckets, contract.rule.keys[0]) if bucketed else rows
+        return insert_all(target, staged, contract.rule)
     if small and not bucketed:
         rows = upsert_small_batch(target, F.broadcast(staged), contract.rule)
     else:
@@ -198,10 +265,36 @@ def newest(warehouse: Warehouse, entity: str) -> DataFrame:
     return latest_batch(warehouse.read("bronze", entity), batches=batches)
 
 
+def renamed(warehouse: Warehouse) -> Touches:
+    """Notes clients whose totals show another name now."""
+
+    def note(staged: DataFrame, table: DataFrame | None) -> None:
+        if table is None:
+            return
+        old = table.select("sk_client", *[F.col(name).alias(f"old_{name}") for name in builds.DESCRIBED])
+        changed = reduce(or_, [~F.col(name).eqNullSafe(F.col(f"old_{name}")) for name in builds.DESCRIBED])
+        warehouse.note_touched("clients", staged.join(old, "sk_client").filter(changed).select("sk_client"))
+
+    return note
+
+
+def sold_to(warehouse: Warehouse) -> Touches:
+    """Notes the clients of a batch's lines, and those who had one of them before."""
+
+    def note(staged: DataFrame, table: DataFrame | None) -> None:
+        members = staged.select("sk_client")
+        if table is not None:
+            moved = table.select("hash_id", "sk_client").join(staged.select("hash_id", F.col("sk_client").alias("new")), "hash_id")
+            members = members.unionByName(moved.filter(F.col("sk_client") != F.col("new")).select("sk_client"))
+        warehouse.note_touched("clients", members.distinct())
+
+    return note
+
+
 def run_dim_client(warehouse: Warehouse) -> MergeResult:
     report = Observation()
     rows = builds.dim_client(newest(warehouse, "users"), warehouse.id_type, report)
-    return merge(warehouse, DIM_CLIENT, rows, report, unique=True)
+    return merge(warehouse, DIM_CLIENT, rows, report, unique=True, touches=renamed(warehouse))
 
 
 def run_dim_product(warehouse: Warehouse) -> MergeResult:
@@ -214,16 +307,36 @@ def run_ft_sale(warehouse: Warehouse) -> MergeResult:
     products, clients = warehouse.read("silver", "dim_product"), warehouse.read("silver", "dim_client")
     lines = Observation()
     rows = builds.ft_sale(newest(warehouse, "carts"), products, clients, warehouse.id_type, lines)
-    result = merge(warehouse, FT_SALE, rows, unique=True)
+    result = merge(warehouse, FT_SALE, rows, unique=True, touches=sold_to(warehouse))
     log.info("silver.ft_sale: lines %s", lines.get)
     return result
 
 
-def run_sales_by_client(warehouse: Warehouse, measure: str = "unit_price") -> MergeResult:
-    report = Observation()
+def run_sales_by_client(warehouse: Warehouse, measure: str = builds.MEASURE) -> MergeResult:
+    """Bring the totals up to date: those of the clients that batches touched since the last time, or all of them
+    where there are none yet or where the last ones summed another measure.
+
+    The touched clients are forgotten only after their totals are in place, so a failed run loses none.
+    """
     sales, clients = warehouse.read("silver", "ft_sale"), warehouse.read("silver", "dim_client")
-    rows = builds.sales_by_client(sales, clients, measure, report)
-    return merge(warehouse, SALES_BY_CLIENT, rows, report)
+    touched = warehouse.touched("clients")
+    known = warehouse.exists("gold", "sales_by_client") and touched is not None and last_measure(warehouse) == measure
+    if known:
+        members = touched.distinct()
+        rows = builds.sales_by_client(builds.sales_of(sales, members), builds.sales_of(clients, members), measure)
+        result = merge(warehouse, SALES_BY_CLIENT, rows, unique=True, detail=measure)
+    else:
+        report = Observation()
+        rows = builds.sales_by_client(sales, clients, measure, report)
+        result = merge(warehouse, SALES_BY_CLIENT, rows, report, unique=True, detail=measure)
+    warehouse.forget_touched("clients")
+    return result
+
+
+def last_measure(warehouse: Warehouse) -> str | None:
+    """What the totals sum, from the table of runs."""
+    last = warehouse.newest_runs().filter((F.col("step") == "merge") & (F.col("table") == "gold.sales_by_client")).first()
+    return last.detail if last else None
 
 
 def run_all(

@@ -6,7 +6,7 @@ a landing folder, and everything from there on is a distributed read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from saleskiln.functions.text import ColumnOrName, as_column
 
@@ -100,3 +100,92 @@ def page_metrics() -> list[Column]:
 def page_report(pages: DataFrame, entity: str) -> DataFrame:
     """One row of ``page_metrics``."""
     return open_pages(pages, entity).agg(*page_metrics())
+
+
+# --- coverage of the announced range -------------------------------------------------------------
+
+#: Records of a stretch of offsets that is swept by itself.
+SWEEP_BLOCK = 1_000_000
+
+
+def staged_pages(pages: DataFrame, entity: str, observation: Observation) -> DataFrame:
+    """Parsed pages to be written once: ``page_id`` and the columns of ``open_pages`` and ``record_count``.
+
+    ``observation`` gets the smallest offset of a broken page and the largest total: a minimum and a maximum, which
+    a task that is run again cannot falsify. A broken page of unknown offset fails the job.
+    """
+    opened = open_pages(pages, entity)
+    broken = F.col("records").isNull()
+    seen = opened.observe(
+        observation,
+        F.min(F.when(broken, F.col("page_offset"))).alias("first_broken_offset"),
+        F.max("page_total").alias("records_announced"),
+    )
+    message = F.concat(F.lit("broken page of unknown offset in "), F.coalesce("page_source", F.lit("?")))
+    unplaced = F.when(broken & F.col("page_offset").isNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return seen.filter(unplaced).select(
+        F.monotonically_increasing_id().alias("page_id"), "*", F.array_size("records").cast("bigint").alias("record_count")
+    )
+
+
+def repeated_pages(staged: DataFrame) -> DataFrame:
+    """``page_offset, page_id, stop, copies``: of the pages at one offset that which counts, the one with most records.
+
+    Partial maxima are taken before the exchange, so a page landed a million times is one row per task.
+    """
+    placed = staged.filter(F.col("records").isNotNull() & F.col("page_offset").isNotNull())
+    best = F.max(F.struct("record_count", "page_digest", "page_id"))
+    grouped = placed.groupBy("page_offset").agg(best.alias("best"), F.count(F.lit(1)).alias("copies"))
+    return grouped.select(
+        "page_offset", F.col("best.page_id").alias("page_id"), (F.col("page_offset") + F.col("best.record_count")).alias("stop"), "copies"
+    )
+
+
+def swept(kept: DataFrame) -> DataFrame:
+    """``kept`` (page_offset, stop, ...) with ``reached``: how far the pages at smaller offsets reach.
+
+    The sweep runs by blocks of offsets; between them goes one number per block, so only as many rows as there are
+    blocks meet in one task.
+    """
+    blocked = kept.withColumn("block", F.floor(F.col("page_offset") / SWEEP_BLOCK))
+    before = Window.partitionBy("block").orderBy("page_offset").rowsBetween(Window.unboundedPreceding, -1)
+    ends = blocked.groupBy("block").agg(F.max("stop").alias("block_stop"))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("block", F.max("block_stop").over(earlier).alias("carried"))
+    inside = blocked.withColumn("inside", F.max("stop").over(before))
+    reached = F.greatest(F.lit(0).cast("bigint"), F.col("inside"), F.col("carried"))
+    return inside.join(carried, "block").withColumn("reached", reached).drop("block", "inside", "carried")
+
+
+def coverage_findings(staged: DataFrame, announced: Column | int | None = None) -> DataFrame:
+    """``kind, from_offset, to_offset, pages``: a gap that no page covers, an overlap of pages at different offsets,
+    a page that landed more than once. ``announced`` (else the largest total) says where the last page should end."""
+    kept = repeated_pages(staged)
+    pages = swept(kept)
+    none = F.lit(1).cast("bigint")
+    gaps = pages.filter("page_offset > reached").select(F.lit("gap").alias("kind"), F.col("reached").alias("from_offset"), F.col("page_offset").alias("to_offset"), none.alias("pages"))
+    overlaps = pages.filter("page_offset < reached and stop > page_offset").select(F.lit("overlap").alias("kind"), F.col("page_offset").alias("from_offset"), F.least("reached", "stop").alias("to_offset"), none.alias("pages"))
+    repeats = kept.filter("copies > 1").select(F.lit("repeat").alias("kind"), F.col("page_offset").alias("from_offset"), F.col("stop").alias("to_offset"), F.col("copies").alias("pages"))
+    total = staged.agg(F.max("page_total")).scalar() if announced is None else announced if isinstance(announced, Column) else F.lit(announced)
+    tail = kept.agg(F.coalesce(F.max("stop"), F.lit(0)).cast("bigint").alias("reached")).select(F.lit("gap").alias("kind"), F.col("reached").alias("from_offset"), total.cast("bigint").alias("to_offset"), none.alias("pages"))
+    return gaps.unionByName(overlaps).unionByName(repeats).unionByName(tail.filter("to_offset > from_offset"))
+
+
+def coverage_report(staged: DataFrame, announced: int | None) -> DataFrame:
+    """One row: records held once (overlaps and repeats taken off), missing, overlapping, and repeated pages."""
+    found = coverage_findings(staged, F.lit(announced).cast("bigint"))
+    size = F.col("to_offset") - F.col("from_offset")
+    summed = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0)).cast("bigint")
+    per_kind = found.agg(summed("gap", size).alias("records_missing"), summed("overlap", size).alias("records_overlapping"), summed("repeat", F.col("pages") - 1).alias("repeated_pages"))
+    unplaced = staged.filter("records is not null and page_offset is null").agg(F.coalesce(F.sum("record_count"), F.lit(0)).cast("bigint").alias("records_unplaced"))
+    held = repeated_pages(staged).agg(F.coalesce(F.sum(F.col("stop") - F.col("page_offset")), F.lit(0)).cast("bigint").alias("records_placed"))
+    return per_kind.select("*", unplaced.scalar().alias("records_unplaced"), held.scalar().alias("records_placed"))
+
+
+def kept_records(staged: DataFrame, repeats: bool) -> DataFrame:
+    """Records of staged good pages, those of a page that landed more than once only once."""
+    good = staged.filter(F.col("records").isNotNull())
+    if repeats:
+        counts = repeated_pages(staged).select("page_id")
+        good = good.filter(F.col("page_offset").isNull()).unionByName(good.join(counts, "page_id", "left_semi").select(*good.columns))
+    return good.select("page_source", "page_offset", "page_digest", F.posexplode("records").alias("position", "raw_json"))

@@ -4,6 +4,11 @@ Bronze tables are appended to. Upserted tables are kept as immutable versions: e
 new table and then moves the view that carries the public name, so readers see the old version or the
 new one and a failed job leaves nothing behind the name. Where the configured format can MERGE by
 itself (Delta, Iceberg and the like) the table is an ordinary one and versions are not used.
+
+With ``partitions`` set, an upserted table is one table dealt by a hash of its key, and an upsert replaces only
+the partitions its batch touches. Such a replacement is not atomic: readers may meet new and old partitions
+side by side, and a failed job may leave them so. What was to be written is therefore stored first, and stays
+until all of it is in place; the next upsert puts it in place before anything else.
 """
 
 from __future__ import annotations
@@ -12,18 +17,26 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from saleskiln.sources.schemas import BATCH_COLUMN, BRONZE_DDL
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
-LAYERS = ("bronze", "silver", "gold", "staging")
+LAYERS = ("bronze", "silver", "gold", "staging", "ops")
+PART = "key_part"
+RUNS_DDL = (
+    "logged_at timestamp, step string, table string, rows_written bigint, source_rows bigint, rows_inserted bigint, "
+    "rows_updated bigint, complete boolean, detail string"
+)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's setting, else the session's warehouse."""
+    """Folder every executor can reach: the cluster's setting, else the session's warehouse, which on a cluster
+    must not be a folder of the driver's machine."""
     named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
+    if named.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{named} is not shared by the executors; set {CHECKPOINT_SETTING}")
     return named.rstrip("/")
 
 
@@ -37,7 +50,8 @@ class Warehouse:
 
     ``buckets`` is the bucket count of bucketed contracts (0 = none); size it so that one bucket of the
     table is a few hundred MB. A staged batch within both ``small_batch_bytes`` (of files) and
-    ``small_batch_rows`` is merged by broadcasting it.
+    ``small_batch_rows`` is merged by broadcasting it. ``partitions`` (0 = none) deals upserted tables by their
+    key, so that a batch rewrites only what it touches; it takes the place of versions and buckets.
     """
 
     spark: SparkSession
@@ -50,6 +64,7 @@ class Warehouse:
     small_batch_bytes: int = 16 << 20
     small_batch_rows: int = 500_000
     keep_versions: int = 2
+    partitions: int = 0
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, **options) -> Warehouse:
@@ -64,6 +79,20 @@ class Warehouse:
         suffix = fresh_suffix()
         return cls.open(spark, f"{shared_folder(spark)}/kiln_{suffix}", prefix=f"kiln_{suffix}_", **options)
 
+    @property
+    def dealt(self) -> bool:
+        """Whether upserted tables are dealt by key and replaced by partition."""
+        return self.partitions > 0 and not self.native_merge
+
+    def drop(self) -> None:
+        """Remove the databases with all their tables; files beside them below ``root`` stay."""
+        for layer in LAYERS:
+            self.spark.sql(f"DROP DATABASE IF EXISTS {self.database(layer)} CASCADE")
+
+    def drop_folder(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
     def database(self, layer: str) -> str:
         return f"{self.prefix}{layer}"
 
@@ -97,10 +126,18 @@ class Warehouse:
         """Rows stored of one batch; reads file footers of that partition only."""
         return self.read("bronze", table).filter(F.col(BATCH_COLUMN) == batch_time).count()
 
-    def stage(self, batch: DataFrame, table: str) -> str:
-        """Write a batch to the staging layer: its plan runs once, and lineage ends on shared storage."""
+    def stage(self, batch: DataFrame, table: str, bucket_key: str | None = None) -> str:
+        """Write a batch to the staging layer: its plan runs once, and lineage ends on shared storage.
+
+        With ``bucket_key`` (and ``buckets``) it is bucketed as the table is that it goes into, one file per
+        bucket, so that the join with that table needs no exchange on either side.
+        """
         name = self.name("staging", f"{table}_{fresh_suffix()}")
-        batch.write.format("parquet").saveAsTable(name)
+        if bucket_key and self.buckets:
+            dealt = batch.repartition(self.buckets, bucket_key).write.format("parquet")
+            dealt.bucketBy(self.buckets, bucket_key).sortBy(bucket_key).saveAsTable(name)
+        else:
+            batch.write.format("parquet").saveAsTable(name)
         return name
 
     def stored_bytes(self, name: str) -> int:
@@ -153,3 +190,79 @@ class Warehouse:
         for version in old:
             self.spark.sql(f"DROP TABLE IF EXISTS {version}")
         return old
+
+    # --- tables dealt by key ------------------------------------------------------------------------
+
+    def parts_name(self, layer: str, table: str) -> str:
+        return self.name(layer, f"{table}__parts")
+
+    def part_of(self, key: str) -> Column:
+        """Partition of a key; the hash is the one Spark shuffles by."""
+        return F.pmod(F.hash(key), F.lit(self.partitions)).cast("int")
+
+    def create_parts(self, layer: str, table: str, schema: StructType) -> str:
+        """The dealt table behind a public name and the view without its partition column, made if need be."""
+        name = self.parts_name(layer, table)
+        if not self.spark.catalog.tableExists(name):
+            empty = self.spark.createDataFrame([], StructType([*schema.fields, StructField(PART, IntegerType())]))
+            empty.write.format("parquet").partitionBy(PART).saveAsTable(name)
+        columns = ", ".join(f"`{column}`" for column in schema.fieldNames())
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name(layer, table)} AS SELECT {columns} FROM {name}")
+        return name
+
+    def touched_parts(self, name: str, batch: DataFrame, key: str) -> DataFrame:
+        """Rows of a dealt table in the partitions that ``batch`` has keys of. Which those are is a scalar subquery
+        of at most ``partitions`` numbers, by which the scan is pruned at run time; nothing else is listed or read."""
+        touched = batch.agg(F.collect_set(self.part_of(key)).alias("parts"))
+        return self.spark.read.table(name).where(F.array_contains(touched.scalar(), F.col(PART)))
+
+    def pending_name(self, layer: str, table: str) -> str:
+        return self.name("ops", f"pending__{layer}__{table}")
+
+    def store_pending(self, layer: str, table: str, rows: DataFrame) -> str:
+        """Keep what is to replace partitions until it has; only a finished write gets the name."""
+        name = self.pending_name(layer, table)
+        rows.hint("rebalance", PART).write.format("parquet").saveAsTable(name)
+        return name
+
+    def replace_parts(self, layer: str, table: str) -> bool:
+        """Put pending rows in place: their partitions are overwritten, others keep their files. May be repeated."""
+        pending = self.pending_name(layer, table)
+        if not self.spark.catalog.tableExists(pending):
+            return False
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(mode)
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            name = self.parts_name(layer, table)
+            rows = self.spark.read.table(pending).select(*self.spark.read.table(name).columns)
+            rows.hint("rebalance", PART).write.insertInto(name, overwrite=True)
+        finally:
+            self.spark.conf.set(mode, before)
+        self.drop_staged(pending)
+        return True
+
+    # --- what runs leave for later ones ---------------------------------------------------------------
+
+    def log_run(self, **entry) -> None:
+        """Append one entry to the table of runs."""
+        fields = StructType.fromDDL(RUNS_DDL).fieldNames()
+        row = tuple(datetime.now() if name == "logged_at" else entry.get(name) for name in fields)
+        frame = self.spark.createDataFrame([row], RUNS_DDL).coalesce(1)
+        frame.write.format("parquet").mode("append").saveAsTable(self.name("ops", "runs"))
+
+    def newest_runs(self) -> DataFrame:
+        """The newest entry of each step and table."""
+        entry = F.max_by(F.struct("*"), "logged_at").alias("entry")
+        return self.read("ops", "runs").groupBy("step", "table").agg(entry).select("entry.*")
+
+    def note_touched(self, what: str, members: DataFrame) -> None:
+        """Remember members whose totals have to be made anew."""
+        members.write.format("parquet").mode("append").saveAsTable(self.name("ops", f"touched_{what}"))
+
+    def touched(self, what: str) -> DataFrame | None:
+        name = self.name("ops", f"touched_{what}")
+        return self.spark.read.table(name) if self.spark.catalog.tableExists(name) else None
+
+    def forget_touched(self, what: str) -> None:
+        self.drop_staged(self.name("ops", f"touched_{what}"))

@@ -287,24 +287,184 @@ def test_stored_bytes(spark, warehouse):
     assert 0 < warehouse.stored_bytes(small) < warehouse.stored_bytes(large)
 
 
-def test_bucketed_upsert_does_not_shuffle_the_target(spark, tmp_path):
-    warehouse = Warehouse.scratch(spark, buckets=4)
-    users = [user(i) for i in range(1, 9)]
-    carts = [cart(i, 1 + i % 8, (1, 1.0)) for i in range(30)]
-    runs.run_all(warehouse, landing(spark, tmp_path, users, [product(1)], carts), FIRST)
-    target = warehouse.read("silver", "ft_sale")
-    source = spark.read.table(warehouse.versions("silver", "dim_client")[-1]).select(F.col("sk_client").alias("hash_id"))
+def without_adaptive(spark, frame):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        physical = plan_text(upsert(target, source, FT_SALE.rule)).split("== Physical Plan ==")[1]
+        return plan_text(frame).split("== Physical Plan ==")[1]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert physical.count("Exchange hashpartitioning") == 1
-    assert "Bucketed: true" in physical
+
+
+def test_bucketed_upsert_shuffles_nothing(spark, tmp_path, monkeypatch):
+    warehouse = Warehouse.scratch(spark, buckets=4)
+    users = [user(i) for i in range(1, 9)]
+    carts = [cart(i, 1 + i % 8, (1, 1.0)) for i in range(30)]
+    runs.run_all(warehouse, landing(spark, tmp_path, users, [product(1)], carts), FIRST)
+    plans = []
+    merged_rows = runs.merged_rows
+    monkeypatch.setattr(runs, "merged_rows", lambda *args: plans.append(without_adaptive(spark, rows := merged_rows(*args))) or rows)
+    batch = warehouse.read("silver", "ft_sale").drop("updated_timestamp").limit(9).selectExpr("* except (hash_id)", "IF(cart_id < 3, hash_id, concat('new', hash_id)) AS hash_id")
+    result = runs.merge(warehouse, FT_SALE, batch, unique=True)
+    assert result.rows_inserted + result.rows_updated == 9 and warehouse.read("silver", "ft_sale").count() == 30 + result.rows_inserted
+    assert len(plans) == 1 and "Exchange" not in plans[0] and plans[0].count("Bucketed: true") == 2
     files = spark.read.table(warehouse.versions("silver", "ft_sale")[-1]).inputFiles()
     assert len(files) <= 4
 
 
+# --- tables dealt by key --------------------------------------------------------------------------
+
+
+def files_by_part(spark, warehouse):
+    found = {}
+    for path in spark.read.table(warehouse.parts_name("gold", "sales_by_client")).inputFiles():
+        part, name = path.split("key_part=")[1].split("/")
+        found.setdefault(int(part), set()).add(name)
+    return found
+
+
+def totals_frame(spark, keys, value):
+    return spark.createDataFrame([(k, "A", "B", value) for k in keys], SALES_BY_CLIENT.schema())
+
+
+def test_upsert_of_a_dealt_table_leaves_other_partitions_alone(spark):
+    warehouse = Warehouse.scratch(spark, partitions=16)
+    first = runs.merge(warehouse, SALES_BY_CLIENT, totals_frame(spark, range(200), 1.0))
+    assert (first.rows_inserted, first.rows_updated) == (200, 0)
+    before = files_by_part(spark, warehouse)
+    batch = totals_frame(spark, [3, 5, 1000], 2.0)
+    touched = {row[0] for row in batch.select(warehouse.part_of("client_id")).collect()}
+    result = runs.merge(warehouse, SALES_BY_CLIENT, batch)
+    assert (result.rows_inserted, result.rows_updated, result.source_rows) == (1, 2, 3)
+    after = files_by_part(spark, warehouse)
+    assert len(before) == 16 and {part for part in before if before[part] != after[part]} == touched and len(touched) < 4
+    assert gold(warehouse) == {k: 1.0 for k in range(200)} | {3: 2.0, 5: 2.0, 1000: 2.0}
+    assert warehouse.read("gold", "sales_by_client").columns == SALES_BY_CLIENT.schema().fieldNames()
+
+
+def test_reads_of_a_dealt_table_are_pruned_by_the_batch(spark):
+    warehouse = Warehouse.scratch(spark, partitions=16)
+    runs.merge(warehouse, SALES_BY_CLIENT, totals_frame(spark, range(200), 1.0))
+    batch = totals_frame(spark, [3], 2.0)
+    held = warehouse.touched_parts(warehouse.parts_name("gold", "sales_by_client"), batch, "client_id")
+    scan = [line for line in plan_text(held).split("== Physical Plan ==")[1].splitlines() if "FileScan" in line][0]
+    assert "PartitionFilters" in scan and "Subquery" in scan.split("PartitionFilters")[1]
+    rows = held.collect()
+    assert {row.key_part for row in rows} == {batch.select(warehouse.part_of("client_id")).first()[0]} and len(rows) < 40
+    metrics = held._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" in metrics
+
+
+def test_a_replacement_that_broke_off_is_made_good_by_the_next_upsert(spark, monkeypatch):
+    warehouse = Warehouse.scratch(spark, partitions=4)
+    runs.merge(warehouse, SALES_BY_CLIENT, totals_frame(spark, range(40), 1.0))
+    with monkeypatch.context() as patch:
+        patch.setattr(Warehouse, "replace_parts", lambda *args: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            runs.merge_parts(warehouse, SALES_BY_CLIENT, totals_frame(spark, [1, 50], 2.0), 2)
+    assert gold(warehouse) == {k: 1.0 for k in range(40)}
+    runs.merge(warehouse, SALES_BY_CLIENT, totals_frame(spark, [2], 3.0))
+    assert gold(warehouse) == {k: 1.0 for k in range(40)} | {1: 2.0, 50: 2.0, 2: 3.0}
+    assert not warehouse.replace_parts("gold", "sales_by_client")
+
+
+def test_dealt_tables_hold_the_same_as_versions(spark, tmp_path):
+    users, products = [user(1), user(2)], [product(1), product(2)]
+    stored = []
+    for options in ({}, {"partitions": 3}):
+        warehouse = Warehouse.scratch(spark, **options)
+        folder = tmp_path / str(len(stored))
+        runs.run_all(warehouse, landing(spark, folder / "one", users, products, [cart(10, 1, (1, 5.0), (2, 7.5)), cart(11, 2, (1, 5.0))]), FIRST)
+        runs.run_all(warehouse, landing(spark, folder / "two", users[:1], products, [cart(10, 1, (2, 1.0)), cart(12, 2, (2, 2.0))]), SECOND)
+        kept = [c for c in FT_SALE.schema().fieldNames() if c not in ("updated_timestamp", "row_id")]
+        stored.append((gold(warehouse), sorted(map(tuple, warehouse.read("silver", "ft_sale").select(*kept).collect()))))
+    assert stored[0] == stored[1] and stored[0][0] == {1: 6.0, 2: 7.0}
+
+
+# --- totals of touched clients ------------------------------------------------------------------
+
+
+def test_only_touched_clients_are_summed_again(spark, tmp_path, warehouse):
+    users, products = [user(i) for i in (1, 2, 3)], [product(1), product(2)]
+    carts = [cart(10 + i, i, (1, float(i))) for i in (1, 2, 3)]
+    runs.run_all(warehouse, landing(spark, tmp_path / "one", users, products, carts), FIRST)
+    assert warehouse.touched("clients") is None
+    # the second batch moves cart 11 from client 1 to client 2 and gives client 3 another name
+    more = [cart(11, 2, (1, 10.0))]
+    renamed = [user(1), user(2), user(3, lastName="Ray")]
+    results = runs.run_all(warehouse, landing(spark, tmp_path / "two", renamed, products, more), SECOND)
+    assert [(r.rows_inserted, r.rows_updated) for r in results if getattr(r, "table", "") == "gold.sales_by_client"] == [(0, 2)]
+    assert gold(warehouse) == {1: 1.0, 2: 12.0, 3: 3.0}
+    names = {row.client_id: row.client_last_name for row in warehouse.read("gold", "sales_by_client").collect()}
+    assert names == {1: "LEE", 2: "LEE", 3: "RAY"}
+    # another measure is summed for everybody, and so is the first one after it
+    runs.run_sales_by_client(warehouse, measure="gross_amount")
+    assert gold(warehouse) == {1: 1.0, 2: 24.0, 3: 6.0}
+    warehouse.note_touched("clients", warehouse.read("silver", "dim_client").filter("client_id = 3").select("sk_client"))
+    assert runs.run_sales_by_client(warehouse).source_rows == 2
+    assert gold(warehouse) == {1: 1.0, 2: 12.0, 3: 3.0}
+
+
+def test_facts_of_other_clients_do_not_reach_the_sums(spark, tmp_path, warehouse):
+    from saleskiln.plans import builds
+
+    runs.run_all(warehouse, {"users": read_pages(spark, land(tmp_path / "a", "users", [user(1)]))} | others(spark, tmp_path), FIRST)
+    members = warehouse.read("silver", "dim_client").select("sk_client").distinct()
+    rows = builds.sales_by_client(builds.sales_of(warehouse.read("silver", "ft_sale"), members), warehouse.read("silver", "dim_client"))
+    physical = without_adaptive(spark, rows)
+    assert "LeftSemi" in physical and physical.index("HashAggregate") < physical.index("LeftSemi")
+
+
+# --- coverage of landings -------------------------------------------------------------------------
+
+
+def test_a_page_twice_and_one_missing_is_incomplete(spark, tmp_path, warehouse):
+    path = land(tmp_path / "a", "carts", [cart(i, 1) for i in range(8)])
+    (tmp_path / "a" / "carts" / "again.json").write_text((tmp_path / "a" / "carts" / "skip=2.json").read_text())
+    (tmp_path / "a" / "carts" / "skip=4.json").unlink()
+    result = runs.ingest(warehouse, "carts", read_pages(spark, path), FIRST)
+    assert (result.rows_written, result.records_announced, result.records_missing, result.repeated_pages, result.complete) == (6, 8, 2, 1, False)
+    stored = sorted(json.loads(row.raw_json)["id"] for row in warehouse.read("bronze", "carts").collect())
+    assert stored == [0, 1, 2, 3, 6, 7]
+
+
+def test_a_repeated_page_alone_is_complete_and_comes_once(spark, tmp_path, warehouse):
+    path = land(tmp_path / "a", "carts", [cart(i, 1) for i in range(5)])
+    for name in ("again", "and again"):
+        (tmp_path / "a" / "carts" / f"{name}.json").write_text((tmp_path / "a" / "carts" / "skip=0.json").read_text())
+    result = runs.ingest(warehouse, "carts", read_pages(spark, path), FIRST)
+    assert (result.rows_written, result.repeated_pages, result.complete) == (5, 2, True)
+    assert warehouse.newest_runs().select("step", "table", "rows_written", "complete").collect() == [("ingest", "bronze.carts", 5, True)]
+
+
+def test_sweep_over_blocks_and_overlaps(spark, monkeypatch):
+    from saleskiln.sources import pages as P
+
+    monkeypatch.setattr(P, "SWEEP_BLOCK", 7)
+    spans = [(0, 5), (5, 30), (10, 12), (28, 33), (40, 41), (41, 41), (55, 70), (55, 60)]
+    rows = [(k, f"f{k}", start, 9, 80, ["r"] * (stop - start), stop - start) for k, (start, stop) in enumerate(spans)]
+    rows += [(90, "no offset", None, 1, 80, ["r"], 1), (91, "broken", 99, 1, None, None, None)]
+    staged = spark.createDataFrame(rows, "page_id bigint, page_source string, page_offset bigint, page_digest bigint, page_total bigint, records array<string>, record_count bigint")
+    found = sorted(tuple(row) for row in P.coverage_findings(staged).collect())
+    assert found == [("gap", 33, 40, 1), ("gap", 41, 55, 1), ("gap", 70, 80, 1), ("overlap", 10, 12, 1), ("overlap", 28, 30, 1), ("repeat", 55, 70, 2)]
+    assert P.coverage_report(staged, 70).first().asDict() == {
+        "records_missing": 21, "records_overlapping": 4, "repeated_pages": 1, "records_unplaced": 1, "records_placed": 53,
+    }
+    assert P.kept_records(staged, repeats=True).count() == 54
+    assert P.coverage_findings(staged.limit(0)).count() == 0 and P.coverage_report(staged.limit(0), None).first().records_missing == 0
+
+
+def test_a_landing_is_parsed_once(spark, tmp_path, warehouse, monkeypatch):
+    plans = []
+    stage, append = Warehouse.stage, Warehouse.append_batch
+    monkeypatch.setattr(Warehouse, "stage", lambda self, frame, *more: plans.append(plan_text(frame)) or stage(self, frame, *more))
+    monkeypatch.setattr(Warehouse, "append_batch", lambda self, name, frame: plans.append(plan_text(frame)) or append(self, name, frame))
+    pages = read_pages(spark, land(tmp_path, "carts", [cart(i, 1) for i in range(10)], broken_at=4))
+    result = runs.ingest(warehouse, "carts", pages, FIRST)
+    assert (result.rows_written, result.first_broken_offset, result.records_missing, result.complete) == (4, 4, 6, False)
+    physical = [text.split("== Physical Plan ==")[1] for text in plans]
+    assert [text.count("from_json") for text in physical] == [1, 0]
+
+
 def test_native_merge_is_left_to_the_format(spark):
     """Plain parquet cannot MERGE: the request has to reach the engine and be refused there."""
     warehouse = Warehouse.scratch(spark, native_merge=True)

@@ -6,7 +6,7 @@ row by row; no group of lines is gathered, however many lines one order has.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from saleskiln.operators import latest_batch
 from saleskiln.sources.bronze import with_batch
@@ -28,7 +28,7 @@ USER_FIELDS = """
     IF(c_custkey % 11 <> 0, CAST(c_custkey % 90 AS INT), NULL) AS age,
     element_at(array('male', ' Female ', 'other', 'unknown'), CAST(c_custkey % 4 + 1 AS INT)) AS gender,
     IF(c_custkey % 13 = 0, 'bad-mail', concat('User', c_custkey, '@Example.COM ')) AS email,
-    concat(' user', c_custkey, ' ') AS username,
+    concat(' user', c_custkey, copy, ' ') AS username,
     IF(c_custkey % 2 = 0, concat('+', c_custkey, ' (11) ', substring(c_name, 10, 20)), concat(' 0-', c_name)) AS phone,
     IF(c_custkey % 17 = 0, 'not a date',
        concat_ws('-', 1950 + c_custkey % 50, 1 + c_custkey % 12, 1 + c_custkey % 28)) AS birthDate,
@@ -50,19 +50,26 @@ USER_FIELDS = """
 """
 
 
-def user_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer: the ``record`` a user has, and the balance that tells batches apart."""
+def copies_of(key: str, repeats: bool) -> str:
+    """Marks of the records of one key: every tenth key has a second one, if ``repeats``."""
+    return f"explode(IF({key} % 10 = 0, array('', ' again'), array(''))) AS copy" if repeats else "'' AS copy"
+
+
+def user_fields(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
+    """One row per customer: the ``record`` a user has, and the balance that tells batches apart. With ``repeats``
+    some customers have two records that differ."""
     people = (
         table(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr("*", copies_of("c_custkey", repeats))
     )
     return people.selectExpr(f"struct({USER_FIELDS}) AS record", "c_acctbal AS balance")
 
 
-def product_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(
-        """struct(p_partkey AS id, concat(' ', p_name) AS title, p_type AS category, lower(p_brand) AS brand,
+def product_fields(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("*", copies_of("p_partkey", repeats)).selectExpr(
+        """struct(p_partkey AS id, concat(' ', p_name, copy) AS title, p_type AS category, lower(p_brand) AS brand,
                   p_retailprice AS price, p_size AS stock) AS record""",
         "p_brand AS brand",
     )
@@ -72,15 +79,28 @@ LINE = """struct(l_partkey AS id, l_extendedprice AS price, CAST(l_quantity AS I
                  l_extendedprice AS total, l_extendedprice * (1 - l_discount) AS discountedTotal)"""
 
 
-def cart_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cart record per order line: an order's lines arrive in several records of the same cart.
+#: Lines of one cart record, on average at most; a larger order is several records of one cart.
+CART_LINES = 50
+
+
+def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``l_orderkey, products``: the lines of an order together. Orders with many lines are dealt by a hash of their
+    lines into groups of about CART_LINES, so that no group grows with an order."""
+    lines = table(spark, sf_dir, "lineitem")
+    large = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CART_LINES)
+    spread = F.pmod(F.xxhash64("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"), F.ceil(F.col("n") / CART_LINES))
+    dealt = lines.join(large, "l_orderkey", "left").withColumn("part", F.coalesce(spread, F.lit(0)))
+    return dealt.groupBy("l_orderkey", "part").agg(F.collect_list(F.expr(LINE)).alias("products")).drop("part")
+
+
+def cart_fields(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
+    """One cart record per order line, or with ``grouped`` per group of an order's lines.
 
-    Gathering them into one list would put all lines of an order into one task. Both tables grow with the
-    data, hence the merge hint; and only an inner join lets adaptive execution split a hot order on the
-    side of the lines. Orders without lines would vanish in the explode anyway.
+    Both tables grow with the data, hence the merge hint; and only an inner join lets adaptive execution split a hot
+    order on the side of the lines. Orders without lines would vanish in the explode anyway.
     """
     orders = table(spark, sf_dir, "orders")
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"array({LINE}) AS products")
+    lines = line_groups(spark, sf_dir) if grouped else table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"array({LINE}) AS products")
     return orders.join(lines.hint("merge"), F.expr("o_orderkey = l_orderkey")).selectExpr(
         """struct(o_orderkey AS id, o_custkey AS userId, o_totalprice AS total, o_totalprice * 0.5D AS discountedTotal,
                   products) AS record""",
@@ -98,16 +118,16 @@ def raw(records: DataFrame, source: str, newest: str | None = None) -> DataFrame
     return with_batch(texts, F.col("stamp"), F.lit(source), row_id_from=["raw_json"])
 
 
-def raw_users(spark: SparkSession, sf_dir: str, newest: str | None = None) -> DataFrame:
-    return raw(user_fields(spark, sf_dir), "users", newest)
+def raw_users(spark: SparkSession, sf_dir: str, newest: str | None = None, repeats: bool = False) -> DataFrame:
+    return raw(user_fields(spark, sf_dir, repeats), "users", newest)
 
 
-def raw_products(spark: SparkSession, sf_dir: str, newest: str | None = None) -> DataFrame:
-    return raw(product_fields(spark, sf_dir), "products", newest)
+def raw_products(spark: SparkSession, sf_dir: str, newest: str | None = None, repeats: bool = False) -> DataFrame:
+    return raw(product_fields(spark, sf_dir, repeats), "products", newest)
 
 
-def raw_carts(spark: SparkSession, sf_dir: str, newest: str | None = None) -> DataFrame:
-    return raw(cart_fields(spark, sf_dir), "carts", newest)
+def raw_carts(spark: SparkSession, sf_dir: str, newest: str | None = None, grouped: bool = False) -> DataFrame:
+    return raw(cart_fields(spark, sf_dir, grouped), "carts", newest)
 
 
 def newest_carts(spark: SparkSession, sf_dir: str, newest: str) -> DataFrame:
@@ -117,20 +137,26 @@ def newest_carts(spark: SparkSession, sf_dir: str, newest: str) -> DataFrame:
     return latest_batch(raw_carts(spark, sf_dir, newest), batches=batches)
 
 
-def pages_of(records: DataFrame, entity: str, per_page: int = 100) -> DataFrame:
-    """Landed pages of ``records`` (``raw_json``): at most ``per_page`` records each, by construction.
+def land_pages(records: DataFrame, entity: str, folder: str, per_page: int = 100) -> str:
+    """Write ``records`` (``raw_json``) as pages of at most ``per_page`` whose offsets follow each other; the folder.
 
-    Page membership follows the position of a record in its input split, so a page is bounded whatever
-    the values are.
+    The records are stored first: their numbers within a task, and how many each task has, must not change between
+    the two reads that make offsets of them. Only one row per task meets in one place.
     """
-    total = records.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return (
-        records.selectExpr("raw_json", f"monotonically_increasing_id() DIV {per_page} AS page")
+    spark = records.sparkSession
+    records.selectExpr("raw_json", "monotonically_increasing_id() AS number").write.parquet(f"{folder}/records")
+    stored = spark.read.parquet(f"{folder}/records").selectExpr("raw_json", "shiftright(number, 33) AS task", "number & 8589934591 AS place")
+    sizes = stored.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    total = stored.agg(F.count(F.lit(1)).alias("total")).scalar()
+    pages = (
+        stored.join(starts, "task")
+        .selectExpr("raw_json", f"(start + place) DIV {per_page} AS page")
         .groupBy("page")
         .agg(F.concat_ws(",", F.collect_list("raw_json")).alias("texts"))
         .withColumn("total", total)
-        .selectExpr(
-            f"""concat('{{"{entity}":[', texts, '],"total":', total, ',"skip":', page * {per_page}, '}}') AS body""",
-            f"concat('{entity}/page=', page) AS page_source",
-        )
+        .selectExpr(f"""concat('{{"{entity}":[', texts, '],"total":', total, ',"skip":', page * {per_page}, '}}') AS body""")
     )
+    pages.write.text(f"{folder}/pages")
+    return f"{folder}/pages"

@@ -75,6 +75,17 @@ paged AS (
   FROM orders
 )"""
 
+# Pages that landed: those named 50 too early overlap their predecessor, the others follow each other.
+LANDED = r"""
+landed AS (
+  SELECT page, start, start + n AS stop
+  FROM (
+    SELECT page, CASE WHEN page % 1100 = 200 THEN page - 50 ELSE page END AS start, n
+    FROM (SELECT o_orderkey // 100 * 100 AS page, count(*) AS n FROM orders GROUP BY ALL)
+    WHERE page % 1000 <> 300
+  )
+)"""
+
 ORACLES: dict[str, str] = {
     "sales_by_client": f"""
         WITH {USERS}, {LINES}
@@ -92,7 +103,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN k % 11 <> 0 THEN k % 90 >= 18 END AS is_adult,
                CASE k % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'O' END AS client_gender,
                CASE WHEN k % 17 <> 0 THEN make_date(1950 + k % 50, 1 + k % 12, 1 + k % 28) END AS client_birthdate,
-               lower(trim(email)) AS client_email, 'user' || k AS client_username,
+               lower(trim(email)) AS client_email, 'user' || k || copy AS client_username,
                trim(phone) AS client_phone,
                CASE WHEN starts_with(phone, '+') THEN '+' ELSE '' END || regexp_replace(phone, '[^0-9]', '', 'g') AS client_phone_clean,
                k || ' MAIN STREET' AS client_address, upper(n_name) AS client_city, upper(r_name) AS client_state,
@@ -113,7 +124,7 @@ ORACLES: dict[str, str] = {
               || CASE WHEN k % 5 <> 0 THEN '"maidenName":"of ' || n_name || '",' ELSE '' END
               || CASE WHEN k % 11 <> 0 THEN '"age":' || k % 90 || ',' ELSE '' END
               || '"gender":"' || CASE k % 4 WHEN 0 THEN 'male' WHEN 1 THEN ' Female ' WHEN 2 THEN 'other' ELSE 'unknown' END
-              || '","email":"' || email || '","username":" user' || k || ' ","phone":"' || phone
+              || '","email":"' || email || '","username":" user' || k || copy || ' ","phone":"' || phone
               || '","birthDate":"' || CASE WHEN k % 17 = 0 THEN 'not a date'
                    ELSE (1950 + k % 50) || '-' || (1 + k % 12) || '-' || (1 + k % 28) END
               || '","password":"secret","address":{{"address":"' || k || ' main street ","city":"' || n_name
@@ -126,19 +137,24 @@ ORACLES: dict[str, str] = {
               || '","coordinates":{{"lat":' || CAST(k % 90 AS DOUBLE) || ',"lng":' || (k % 45) * 0.5::DOUBLE
               || '}},"country":"' || lower(r_name) || '"}}}},"role":"' || CASE WHEN k % 3 = 0 THEN ' Admin ' ELSE 'User' END
               || '"}}' AS raw_json
-          FROM users
+          FROM users, unnest(CASE WHEN k % 10 = 0 THEN ['', ' again'] ELSE [''] END) AS c(copy)
         )
         WHERE id IS NOT NULL AND c_acctbal >= 0
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY sha256(raw_json || '|{BATCH}')) = 1
     """,
     "dim_product": f"""
         SELECT sha256('product-' || p_partkey) AS sk_product, p_partkey AS product_id,
-               upper(p_name) AS product_name, CAST(NULL AS VARCHAR) AS product_description,
+               upper(p_name || copy) AS product_name, CAST(NULL AS VARCHAR) AS product_description,
                upper(p_type) AS product_category, upper(p_brand) AS product_brand,
                p_retailprice AS product_price, p_size AS product_stock,
-               CAST('{BATCH}' AS DATE) AS ingestion_timestamp,
-               sha256('{{"id":' || p_partkey || ',"title":" ' || p_name || '","category":"' || p_type || '","brand":"'
+               CAST('{BATCH}' AS DATE) AS ingestion_timestamp, row_id
+        FROM (
+          SELECT *, sha256('{{"id":' || p_partkey || ',"title":" ' || p_name || copy || '","category":"' || p_type || '","brand":"'
                       || lower(p_brand) || '","price":' || p_retailprice || ',"stock":' || p_size || '}}|{BATCH}') AS row_id
-        FROM part WHERE p_brand <> 'Brand#1'
+          FROM part, unnest(CASE WHEN p_partkey % 10 = 0 THEN ['', ' again'] ELSE [''] END) AS c(copy)
+        )
+        WHERE p_brand <> 'Brand#1'
+        QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY row_id) = 1
     """,
     "ft_sale": f"""
         WITH {LINES}
@@ -167,10 +183,11 @@ ORACLES: dict[str, str] = {
     """,
     "totals_quality": f"""
         WITH {USERS}, {LINES}, totals AS (
-          SELECT u.id AS client_id FROM sales s JOIN users u ON u.id = s.client_id GROUP BY ALL
+          SELECT CASE WHEN u.id % 50 <> 0 THEN u.id END AS client_id, u.id
+          FROM sales s JOIN users u ON u.id = s.client_id JOIN part ON p_partkey = s.product_id GROUP BY ALL
         )
         SELECT count(*) AS total_rows, count(*) FILTER (client_id IS NULL) AS null_keys,
-               CAST(0 AS DOUBLE) AS null_key_pct, count(client_id) AS valid_rows
+               count(*) FILTER (client_id IS NULL) * 100.0::DOUBLE / count(*) AS null_key_pct, count(client_id) AS valid_rows
         FROM totals
     """,
     "full_run": f"""
@@ -181,6 +198,37 @@ ORACLES: dict[str, str] = {
         WHERE u.c_acctbal >= 0 OR s.status <> 'F'
         GROUP BY ALL
     """,
+    "run_report": f"""
+        WITH {USERS},
+        rounds AS (SELECT unnest([true, false]) AS early, unnest(['{OLD_BATCH}', '{BATCH}']) AS stamp),
+        held AS (
+          SELECT early, stamp, count(*) AS all_rows, count(id) AS keyed, count(id) FILTER (c_acctbal >= 0) AS before
+          FROM rounds JOIN users ON NOT early OR c_acctbal >= 0 GROUP BY ALL
+        )
+        SELECT 'ingest' AS step, 'bronze.users' AS "table", all_rows AS rows_written, all_rows AS source_rows,
+               CAST(NULL AS BIGINT) AS rows_inserted, CAST(NULL AS BIGINT) AS rows_updated, true AS complete, stamp AS detail
+        FROM held
+        UNION ALL
+        SELECT 'merge', 'silver.dim_client', keyed, keyed, CASE WHEN early THEN keyed ELSE keyed - before END,
+               CASE WHEN early THEN 0 ELSE before END, true, NULL
+        FROM held
+    """,
+    "page_coverage": f"""
+        WITH {LANDED}, swept AS (
+          SELECT *, greatest(0, coalesce(max(stop) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS reached
+          FROM landed
+        )
+        SELECT 'gap' AS kind, reached AS from_offset, start AS to_offset, 1 AS pages FROM swept WHERE start > reached
+        UNION ALL SELECT 'overlap', start, least(reached, stop), 1 FROM swept WHERE start < reached AND stop > start
+        UNION ALL SELECT 'repeat', start, stop, 2 FROM swept WHERE page % 700 = 0
+        UNION ALL SELECT 'gap', max(stop), (SELECT max(o_orderkey) + 1 FROM orders), 1 FROM swept
+                  HAVING max(stop) < (SELECT max(o_orderkey) + 1 FROM orders)
+    """,
+    "landing_records": f"""
+        WITH {LANDED}
+        SELECT '{{"id":' || o_orderkey || ',"userId":' || o_custkey || '}}' AS raw_json, 'landing/carts/skip=' || start AS source
+        FROM orders JOIN landed ON page = o_orderkey // 100 * 100
+    """,
     "page_guard": f"""
         WITH {PAGES}
         SELECT '{{"id":' || o_orderkey || ',"userId":' || o_custkey || '}}' AS raw_json,
@@ -320,4 +368,25 @@ ORACLES: dict[str, str] = {
                CAST((SELECT count(*) FROM n WHERE client_id NOT IN (SELECT client_id FROM o)) AS VARCHAR) AS inserted_text,
                'n/a' AS deleted_text
     """,
+    "upsert_dealt_rows": f"SELECT client_id, name, segment, balance, first_seen, was_updated FROM ({UPSERT_ROWS})",
+    "touched_totals": """
+        WITH prices AS (
+          SELECT l_orderkey AS k, l_partkey, min(l_extendedprice) AS price FROM lineitem GROUP BY ALL
+        ),
+        facts AS (
+          SELECT CASE WHEN k % 15 = 0 THEN o_custkey + 1 ELSE o_custkey END AS client_id,
+                 CASE WHEN k % 15 = 0 THEN price + 1 ELSE price END AS price
+          FROM prices JOIN orders ON o_orderkey = k
+        ),
+        early AS (
+          SELECT o_custkey AS client_id, price, k FROM prices JOIN orders ON o_orderkey = k
+        ),
+        now AS (SELECT client_id, CAST(sum(CAST(price AS DECIMAL(24,6))) AS DOUBLE) AS total FROM facts GROUP BY ALL),
+        -- a client whose last line went to another one keeps the total it had: an upsert deletes nothing
+        was AS (SELECT client_id, CAST(sum(CAST(price AS DECIMAL(24,6))) AS DOUBLE) AS total FROM early WHERE k % 3 < 2 GROUP BY ALL)
+        SELECT c_custkey AS client_id, c_mktsegment AS client_first_name, c_name AS client_last_name,
+               coalesce(now.total, was.total) AS total_carrinho
+        FROM customer LEFT JOIN now ON now.client_id = c_custkey LEFT JOIN was ON was.client_id = c_custkey
+        WHERE now.total IS NOT NULL OR was.total IS NOT NULL
+    """,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from saleskiln import functions as K
@@ -27,8 +27,9 @@ from saleskiln.operators import (
     upsert_small_batch,
 )
 from saleskiln.plans import builds, runs
+from saleskiln.plans.contracts import DIM_CLIENT, FT_SALE, TableContract
 from saleskiln.sources.bronze import with_batch
-from saleskiln.sources.pages import page_records, page_report, read_pages
+from saleskiln.sources.pages import coverage_findings, page_records, page_report, read_pages, staged_pages
 from saleskiln.sources.schemas import BATCH_COLUMN, prune, user_schema
 from saleskiln.sources.tables import Warehouse
 from workload import adapter
@@ -47,27 +48,34 @@ def query(build: Query) -> Query:
 # --- whole builds -------------------------------------------------------------------------------
 
 
-@query
-def sales_by_client(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw users, products and carts to totals per client, in one plan."""
+def totals(spark: SparkSession, sf_dir: str, ungated: bool = False) -> DataFrame:
+    """Totals per client; ``ungated`` ones also of clients whose id got lost, here every fiftieth."""
     users = adapter.raw_users(spark, sf_dir)
     products = builds.dim_product(adapter.raw_products(spark, sf_dir), ID, only=["product_id"])
     known = builds.dim_client(users, ID, only=["client_id"])
     named = builds.dim_client(users, ID, only=["client_id", "client_first_name", "client_last_name"])
-    sales = builds.ft_sale(adapter.raw_carts(spark, sf_dir), products, known, ID)
-    return builds.sales_by_client(sales, named)
+    if ungated:
+        named = named.withColumn("client_id", F.when(F.col("client_id") % 50 != 0, F.col("client_id")))
+    sales = builds.ft_sale(adapter.raw_carts(spark, sf_dir, grouped=True), products, known, ID)
+    return builds.client_totals(sales, named) if ungated else builds.sales_by_client(sales, named)
+
+
+@query
+def sales_by_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw users, products and carts of several lines to totals per client, in one plan."""
+    return totals(spark, sf_dir)
 
 
 @query
 def dim_client(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clients of the newest of two batches."""
-    newest = latest_batch(adapter.raw_users(spark, sf_dir, newest="balance >= 0"))
+    """Clients of the newest of two batches, in which some have two records."""
+    newest = latest_batch(adapter.raw_users(spark, sf_dir, newest="balance >= 0", repeats=True))
     return plain(builds.dim_client(newest, ID))
 
 
 @query
 def dim_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = latest_batch(adapter.raw_products(spark, sf_dir, newest="brand <> 'Brand#1'"))
+    newest = latest_batch(adapter.raw_products(spark, sf_dir, newest="brand <> 'Brand#1'", repeats=True))
     return plain(builds.dim_product(newest, ID))
 
 
@@ -94,35 +102,62 @@ def sale_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def totals_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality report on the totals."""
-    return quality_report(sales_by_client(spark, sf_dir), "client_id")
+    """Quality report on the totals, in front of the gate."""
+    return quality_report(totals(spark, sf_dir, ungated=True), "client_id")
+
+
+def settled(warehouse: Warehouse, frame: DataFrame) -> DataFrame:
+    """``frame`` stored by itself, so that the trial warehouse it comes from can go."""
+    folder = f"{warehouse.root}/result"
+    frame.write.parquet(folder)
+    warehouse.drop()
+    warehouse.drop_folder(f"{warehouse.root}/landing")
+    return warehouse.spark.read.schema(frame.schema).parquet(folder)
+
+
+def trial_rounds(spark: SparkSession, sf_dir: str, entities: tuple[str, ...]) -> list[tuple[str, dict[str, DataFrame]]]:
+    """Records of two rounds: the first knows the clients with a balance and brings the carts with status F, the
+    second all clients and the other carts."""
+    users, products, carts = (
+        adapter.user_fields(spark, sf_dir),
+        adapter.product_fields(spark, sf_dir),
+        adapter.cart_fields(spark, sf_dir, grouped=True),
+    )
+    rounds = [
+        (adapter.OLD_BATCH_TIME, {"users": users.filter("balance >= 0"), "products": products, "carts": carts.filter("status = 'F'")}),
+        (adapter.BATCH_TIME, {"users": users, "products": products, "carts": carts.filter("status <> 'F'")}),
+    ]
+    return [(time, {name: records[name] for name in entities}) for time, records in rounds]
+
+
+def landed(warehouse: Warehouse, number: int, records: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    pages = {}
+    for name, frame in records.items():
+        folder = adapter.land_pages(adapter.raw(frame, name), name, f"{warehouse.root}/landing/{number}/{name}")
+        pages[name] = read_pages(warehouse.spark, folder, one_page_per_line=True)
+    return pages
 
 
 @query
 def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of landed page files, ingest, upserts and totals in a warehouse of its own; the final totals.
 
-    Round one knows the clients with a balance and brings the carts with status F, round two brings all
-    clients and the other carts. Lines of round one whose client was unknown then stay out.
+    Lines of round one whose client was unknown then stay out.
     """
     warehouse = Warehouse.scratch(spark, id_type=ID)
-    users, products, carts = (
-        adapter.user_fields(spark, sf_dir),
-        adapter.product_fields(spark, sf_dir),
-        adapter.cart_fields(spark, sf_dir),
-    )
-    rounds = (
-        (adapter.OLD_BATCH_TIME, users.filter("balance >= 0"), carts.filter("status = 'F'")),
-        (adapter.BATCH_TIME, users, carts.filter("status <> 'F'")),
-    )
-    for number, (batch_time, some_users, some_carts) in enumerate(rounds):
-        landed = {}
-        for name, records in {"users": some_users, "products": products, "carts": some_carts}.items():
-            folder = f"{warehouse.root}/landing/{number}/{name}"
-            adapter.pages_of(adapter.raw(records, name), name).select("body").write.text(folder)
-            landed[name] = read_pages(spark, folder, one_page_per_line=True)
-        runs.run_all(warehouse, landed, batch_time)
-    return warehouse.read("gold", "sales_by_client")
+    for number, (batch_time, records) in enumerate(trial_rounds(spark, sf_dir, ("users", "products", "carts"))):
+        runs.run_all(warehouse, landed(warehouse, number, records), batch_time)
+    return settled(warehouse, warehouse.read("gold", "sales_by_client"))
+
+
+@query
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two rounds of users leave in the table of runs."""
+    warehouse = Warehouse.scratch(spark, id_type=ID)
+    for number, (batch_time, records) in enumerate(trial_rounds(spark, sf_dir, ("users",))):
+        runs.ingest(warehouse, "users", landed(warehouse, number, records)["users"], batch_time)
+        runs.run_dim_client(warehouse)
+    return settled(warehouse, warehouse.read("ops", "runs").drop("logged_at"))
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -168,6 +203,38 @@ def page_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("first_broken_offset", "records_held", "records_announced")
 
 
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a hundred order records at most, with faults: every tenth is missing, every seventh landed before with
+    fewer records, and some name an offset that lies 50 before their own."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    last_key = orders.agg(F.max("o_orderkey")).scalar()
+    record = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("userId")))
+    pages = orders.select((F.floor(F.col("o_orderkey") / 100) * 100).alias("at"), record.alias("record")).groupBy("at").agg(F.collect_list("record").alias("records"))
+    pages = pages.filter("at % 1000 <> 300").withColumn("named", F.expr("IF(at % 1100 = 200, at - 50, at)"))
+    sizes = F.expr("explode(IF(at % 700 = 0, array(60, 100), array(100)))")
+    texts = pages.select("named", "records", sizes.alias("size")).select("named", F.concat_ws(", ", F.slice("records", F.lit(1), F.col("size"))).alias("texts"))
+    return texts.select(
+        F.concat(F.lit('{"carts": ['), "texts", F.lit('], "total": '), (last_key + 1).cast("string"), F.lit(', "skip": '), F.col("named").cast("string"), F.lit("}")).alias("body"),
+        F.concat(F.lit("landing/carts/skip="), F.col("named").cast("string")).alias("page_source"),
+    )
+
+
+@query
+def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps, overlaps and repeats among the offsets of a landing."""
+    warehouse = Warehouse.scratch(spark)
+    name = warehouse.stage(staged_pages(landed_pages(spark, sf_dir), "carts", Observation()), "pages")
+    return settled(warehouse, coverage_findings(spark.read.table(name)))
+
+
+@query
+def landing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a faulty landing as they are ingested: those of a page that landed twice come once."""
+    warehouse = Warehouse.scratch(spark)
+    runs.ingest(warehouse, "carts", landed_pages(spark, sf_dir), adapter.BATCH_TIME)
+    return settled(warehouse, warehouse.read("bronze", "carts").select("raw_json", "source"))
+
+
 @query
 def bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches appended to one bronze table, read back."""
@@ -180,7 +247,7 @@ def bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         (adapter.BATCH_TIME, events.filter("event_type <> 'purchase'")),
     ):
         warehouse.append_batch("carts", with_batch(part, batch_time, F.lit("events"), row_id_from=["raw_json"]))
-    return warehouse.read("bronze", "carts")
+    return settled(warehouse, warehouse.read("bronze", "carts"))
 
 
 @query
@@ -474,3 +541,46 @@ def upsert_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("inserted_text", K.metric_or_missing(reported, "rows_inserted")).withColumn(
         "deleted_text", K.metric_or_missing(reported, "rows_deleted")
     )
+
+
+CLIENTS = TableContract(
+    "silver", "clients", "client_id bigint, name string, segment string, balance double, first_seen string, updated_timestamp timestamp", RULE
+)
+
+
+@query
+def upsert_dealt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert into a table dealt by key, of which only the touched partitions are replaced."""
+    warehouse = Warehouse.scratch(spark, partitions=16)
+    target, source = upsert_sides(spark, sf_dir)
+    runs.merge(warehouse, CLIENTS, target.drop("updated_timestamp"), unique=True)
+    runs.merge(warehouse, CLIENTS, source, unique=True)
+    return settled(warehouse, upsert_result(warehouse.read("silver", "clients")))
+
+
+@query
+def touched_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches of facts, each time of the touched clients only. The third batch brings some lines
+    of the first again, dearer and sold to the next client."""
+    warehouse = Warehouse.scratch(spark, id_type=ID, buckets=8)
+    customers = table(spark, sf_dir, "customer")
+    clients = customers.select(
+        K.surrogate_key("client", "c_custkey").alias("sk_client"), F.col("c_custkey").alias("client_id"),
+        F.col("c_mktsegment").alias("client_first_name"), F.col("c_name").alias("client_last_name"),
+    )
+    runs.merge(warehouse, DIM_CLIENT, clients, unique=True)
+    owners = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    prices = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_extendedprice").alias("price"))
+    lines = prices.join(owners, F.expr("o_orderkey = l_orderkey"))
+
+    def facts(rows: DataFrame, owner: str, price: str) -> DataFrame:
+        return rows.select(
+            K.hash_key("l_orderkey", "l_partkey").alias("hash_id"), K.surrogate_key("client", F.expr(owner)).alias("sk_client"), F.expr(price).alias("unit_price")
+        )
+
+    again = facts(lines.filter("l_orderkey % 15 = 0"), "o_custkey + 1", "price + 1")
+    batches = [facts(lines.filter(f"l_orderkey % 3 = {k}"), "o_custkey", "price") for k in range(3)]
+    for batch in (batches[0], batches[1], batches[2].unionByName(again)):
+        runs.merge(warehouse, FT_SALE, batch, unique=True, touches=runs.sold_to(warehouse))
+        runs.run_sales_by_client(warehouse)
+    return settled(warehouse, warehouse.read("gold", "sales_by_client"))
