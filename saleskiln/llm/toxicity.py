@@ -66,25 +66,27 @@ def gumbel_rate(scores: np.ndarray, weights: np.ndarray) -> float:
 
 
 def maximal_segments(values: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments as (first, behind last, score), in one pass (Ruzzo and Tompa)."""
-    found: list[tuple[int, int, float, float]] = []  # first, behind last, sum in front, sum at its end
+    """All maximal scoring segments as (first, behind last, score), in one pass (Ruzzo and Tompa).
+
+    Each segment knows the nearest earlier one that starts lower. A new one follows that chain, past segments that no
+    later one will have to look at again, so the time is linear.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # first, behind last, sum in front, sum at its end, lower one
     total = 0.0
     for k, value in enumerate(values):
         before, total = total, total + value
         if value <= 0:
             continue
-        first, left = k, before
-        while True:
-            # the nearest earlier segment that starts lower; those in between end it
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= total:
-                break
-            first, left = found[j][0], found[j][2]
-            del found[j:]
-        found.append((first, k + 1, left, total))
-    return [(first, last, right - left) for first, last, left, right in found]
+        first, left, lower = k, before, len(found) - 1
+        while lower >= 0 and found[lower][2] >= left:
+            lower = found[lower][4]
+        # what starts lower and ends lower grows over all that lies between
+        while lower >= 0 and found[lower][3] < total:
+            first, _, left, _, below = found[lower]
+            del found[lower:]
+            lower = below
+        found.append((first, k + 1, left, total, lower))
+    return [(first, last, right - left) for first, last, left, right, _ in found]
 
 
 @dataclass
