@@ -11,6 +11,7 @@ import bisect
 import datetime
 import functools
 import hashlib
+import ipaddress
 import re
 import string
 from collections.abc import Callable
@@ -27,6 +28,17 @@ BLOCK, NETWORKS = 64, 20_000
 #: Where a cluster keeps the key; the fallback serves tests and demonstrations only.
 KEY_SETTING, DEMO_KEY = "spark.saleskiln.pii.key", "demonstration key, not secret"
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date", "secret")
+#: What names a secret, also inside a longer name (client_secret, AWS_SECRET_ACCESS_KEY), bare or quoted, in front of = or
+#: a colon; and schemes of an authorization header.
+SECRET_NAME = re.compile(
+    r"(?i)(?:password|passwd|passphrase|pwd|secret|token|credential|(?:api|access|auth|private|signing|encryption)[_-]?key)"
+    r"(?:[_-]?(?:access|api|auth|key|value|token|secret|id|string|hash))*[\"'`]?\s*(?::=|=>|[=:])\s*[\"'`]?|\b(?:bearer|basic)\s+"
+)
+SECRET_VALUE = re.compile(r"[A-Za-z0-9+/_~-]++(?:[.=]++[A-Za-z0-9+/_~-]++)*+")
+#: How well-known keys begin; what follows is the secret.
+SECRET_PREFIX = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:gh[pousr]_|github_pat_|glpat-|[sprk]k_(?:live|test)_|sk-|xox[abeprs]-|AIza|npm_|hf_|eyJ(?=[\w-]+\.[\w-]+\.[\w-]))([A-Za-z0-9_.-]{16,})"
+)
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
 #: Characters of an IBAN by country. Other countries' numbers are tried at every length.
@@ -40,6 +52,7 @@ NUMBERS = {
     "iban": r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
     "aws": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?![.]\d)",
+    "ip6": r"(?<!:)(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?![:.][0-9a-f])|(?<!:)(?:[0-9A-F]{0,4}:){2,7}[0-9A-F]{0,4}(?![:.][0-9A-F])",
     "iso": r"(?:19|20)\d\d-\d\d?-\d\d?",
     "dotted": r"\d\d?[./]\d\d?[./](?:19|20)\d\d|\d\d?-\d\d?-(?:19|20)\d\d",
     "ssn": r"\d{3}-\d{2}-\d{4}",
@@ -118,12 +131,11 @@ class Pseudonyms:
         self.numbers = re.compile(rf"(?<![\w@/-])(?<!\d\.)(?:{some})(?!\w)")
         self.by_name = {name: re.compile(rf"(?:{p})(?!\w)") for name, p in NUMBERS.items()}
         self.makers: dict[str, tuple[str, Callable[[str], str | None]]] = {
-            "iban": ("iban", self.value_iban), "aws": ("secret", lambda v: v[:4] + self.text_value("secret", v[4:])), "ip": ("ip", self.value_ip),
+            "iban": ("iban", self.value_iban), "aws": ("secret", lambda v: v[:4] + self.text_value("secret", v[4:])), "ip": ("ip", self.value_ip), "ip6": ("ip", self.value_ip6),
             "iso": ("date", lambda v: self.value_date(v, True)), "dotted": ("date", lambda v: self.value_date(v, False)),
             "ssn": ("ssn", self.value_ssn), "card": ("card", self.value_card), "phone": ("phone", self.value_phone), "loose": ("card", self.value_card),
         }
         self.mails = re.compile(r"(?<![\w.%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_])?)@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![\w-])")
-        self.secrets = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?([A-Z0-9+/_-]++(?:[.=]++[A-Z0-9+/_-]++)*+)")
 
     def permute(self, kind: str, value: int, size: int, tweak: bytes = b"") -> int:
         network = self.networks.get((kind, size))
@@ -210,6 +222,17 @@ class Pseudonyms:
         width = max((len(p) for p in parts if len(p) > 1 and p[0] == "0"), default=1)
         return ".".join(str(n).zfill(width) for n in rank.to_bytes(4))
 
+    def value_ip6(self, text: str) -> str | None:
+        """Digits stay digits and letters letters, so groups keep their lengths and ``::`` its place."""
+        if sum(map(bool, text.split(":"))) < 3 or not re.search(r"\d", text):
+            return None
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        new = self.text_value("ip6", text.lower(), hexadecimal=True)
+        return new.upper() if text != text.lower() else new
+
     def value_date(self, text: str, iso: bool) -> str | None:
         """With '/' the month is read first, with '.' and '-' the day, and the other way round where that is no date.
 
@@ -236,13 +259,18 @@ class Pseudonyms:
         if "@" in text:
             for m in self.mails.finditer(text):
                 out.append((m.start(1), m.end(1), "email", self.text_value("email", m.group(1))))
-        at = 0
-        while m := self.secrets.search(text, at):
-            value, at = m.group(1), m.end()
-            if len(value) >= 8 and re.search(r"[0-9]", value):
-                out.append((m.start(1), m.end(1), "secret", self.text_value("secret", value, not re.search(r"[g-zA-Z]", value))))
-            else:
-                at = m.start(1)
+        # every end of a value that is refused is refused too, so no character is looked at twice
+        seen = 0
+        for name in SECRET_NAME.finditer(text):
+            if name.end() < seen or not (m := SECRET_VALUE.match(text, name.end())):
+                continue
+            value, seen = m.group(), m.end()
+            if self.secret(value):
+                out.append((m.start(), m.end(), "secret", self.secret_value(value)))
+        for m in SECRET_PREFIX.finditer(text):
+            end = m.start(1) + len(m.group(1).rstrip("."))
+            if re.search(r"\d", m.group(1)):
+                out.append((m.start(1), end, "secret", self.secret_value(text[m.start(1) : end])))
         if re.search(r"\d", text):
             taken, at = sorted(span[:2] for span in out), 0
             while m := self.numbers.search(text, at):
@@ -258,6 +286,12 @@ class Pseudonyms:
                 kept.append(span)
         return kept
 
+    def secret(self, value: str) -> bool:
+        return len(value) >= 8 and re.search(r"[0-9]", value) is not None
+
+    def secret_value(self, value: str) -> str:
+        return self.text_value("secret", value, not re.search(r"[g-zA-Z]", value))
+
     def number_at(self, text: str, at: int, taken: list[tuple[int, int]]) -> tuple[int, int, str, str] | None:
         """The first kind of number that validates from ``at`` on, at its longest; of an IBAN, at its country's length
         first. A number does not reach into a span of ``taken`` (mails and secrets)."""
