@@ -49,12 +49,8 @@ DROP_TOKENS = set(
 )
 KEEP_TOKENS = set("article content post entry story main body text page single prose".split())
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>"
-    r"|<([a-zA-Z][^\s>/]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>|<([a-zA-Z][^\s>/]*)([^>]*)>",
-    re.S,
-)
-RAW_PART = re.compile(r"<(script|style|textarea|title)\b.*?(?:</\1\b[^>]*>|\Z)", re.S | re.I)
+NAME = re.compile(r"[a-zA-Z][^\s>/]*")
+QUOTE_OR_END = re.compile(r"[\"'>]")
 SAME = {tag: re.compile(rf"<(/?){tag}\b(?:[^>]*>|\Z)", re.I) for tag in RAW | PARTS}
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 SIGNS = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -73,8 +69,75 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+class Markup:
+    """Tags, comments and declarations of a page, found from left to right in linear time, however broken they are."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.size = html, len(html)
+        #: quotes and tag ends, outside quotes, from which no end of a tag can be reached outside quotes
+        self.stuck: set[int] = set()
+        self.last_end = html.rfind(">")
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, stop, closing name, opening name, attributes) of what comes first from ``at`` on."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                stop = html.find("-->", start + 4)
+                return start, stop + 3 if stop >= 0 else self.size, "", "", ""
+            at = start + 1
+            if start > self.last_end:
+                # only comments need no end
+                start = html.find("<!--", at)
+                if start < 0:
+                    return None
+                at = start
+                continue
+            mark = html[at : at + 1]
+            if mark in ("!", "?"):
+                return start, html.find(">", at) + 1, "", "", ""
+            end = html.find(">", at) if mark == "/" or mark.isalpha() else -1
+            name = NAME.match(html, at + (mark == "/"), end) if end >= 0 else None
+            if not name:
+                continue
+            if mark == "/":
+                return start, end + 1, name.group(), "", ""
+            stop = self.tag_end(name.end(), end)
+            return start, stop + 1, "", name.group(), html[name.end() : stop]
+        return None
+
+    def tag_end(self, at: int, first: int) -> int:
+        """The first tag end outside quotes, or ``first``, that at all, where quotes don't close in front of one."""
+        html, seen = self.html, []
+        while m := QUOTE_OR_END.search(html, at):
+            place = m.start()
+            if html[place] == ">":
+                return place
+            if place in self.stuck:
+                break
+            seen.append(place)
+            close = html.find(html[place], place + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.stuck.update(seen)
+        return first
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no markup, or the end of the page."""
+        end = RAW_END[tag].search(self.html, at) if at <= self.last_end else None
+        return end.end() if end else self.size
+
+
 def has_text(inner: str) -> bool:
-    return bool(references.unescape(MARKUP.sub("", RAW_PART.sub("", inner))).strip())
+    """Whether anything but markup, the content of raw elements and white space is there."""
+    markup, at = Markup(inner), 0
+    while found := markup.next(at):
+        if references.unescape(inner[at : found[0]]).strip():
+            return True
+        tag = found[3].lower()
+        at = markup.raw_end(tag, found[1]) if tag in RAW else found[1]
+    return bool(references.unescape(inner[at:]).strip())
 
 
 def parse(html: str) -> Page:
@@ -83,7 +146,10 @@ def parse(html: str) -> Page:
     Only an unclosed script, style, textarea or title takes the rest of the page with it, as in browsers. Formulas are
     text of their paragraph; an embedded part, fallback or control without text is passed over, and one without an end
     leaves its content to its parent."""
-    page, stack, names, parts, anchors, at, size = Page(), [0], {}, [], 0, 0, len(html)
+    page, stack, parts, anchors, at, size = Page(), [0], [], 0, 0, len(html)
+    markup = Markup(html)
+    # places in the stack of the open elements of each name
+    names: dict[str, list[int]] = {}
 
     def close_block() -> None:
         if parts:
@@ -94,33 +160,27 @@ def parse(html: str) -> Page:
 
     def pop_to(wanted: set[str], fences: set[str]) -> None:
         """Close the innermost open element of ``wanted``, unless a fence is in between."""
-        for k in range(len(stack) - 1, 0, -1):
-            tag = page.tags[stack[k]]
-            if tag in wanted:
-                for gone in stack[k:]:
-                    names[page.tags[gone]] -= 1
-                del stack[k:]
-                return
-            if tag in fences:
-                return
+        place = max((names[t][-1] for t in wanted if names.get(t)), default=0)
+        if place and all(names[f][-1] < place for f in fences - wanted if names.get(f)):
+            for gone in reversed(stack[place:]):
+                names[page.tags[gone]].pop()
+            del stack[place:]
 
     while at < size:
-        match = MARKUP.search(html, at)
-        text = html[at : match.start() if match else size]
+        found = markup.next(at)
+        text = html[at : found[0] if found else size]
         if text:
             parts.append(text)
             if anchors > 0:
                 page.links[stack[-1]] += len(text.strip())
-        if not match:
+        if not found:
             break
-        at = match.end()
-        closing, opening = match.group(1), match.group(2) or match.group(4)
+        _, at, closing, opening, attributes = found
         if opening:
             tag = opening.lower()
-            empty = (tag in ("svg", "math") or names.get("svg", 0) > 0) and (match.group(3) or match.group(5) or "").rstrip().endswith("/")
+            empty = (tag in ("svg", "math") or bool(names.get("svg"))) and attributes.rstrip().endswith("/")
             if tag in RAW:
-                end = None if empty else RAW_END[tag].search(html, at)
-                at = at if empty else end.end() if end else size
+                at = at if empty else markup.raw_end(tag, at)
             elif tag in INLINE:
                 anchors += tag == "a" and not empty
                 if tag in SPACED:
@@ -136,13 +196,13 @@ def parse(html: str) -> Page:
                 if tag in CLOSES and any(names.get(t) for t in CLOSES[tag]):
                     pop_to(CLOSES[tag], FENCES - {tag})
                 if tag not in VOID and not empty:
-                    signs = " ".join(m.group(1) for m in SIGNS.finditer(match.group(3) or match.group(5) or ""))
+                    signs = " ".join(m.group(1) for m in SIGNS.finditer(attributes))
                     page.tags.append(tag)
                     page.parents.append(stack[-1])
                     page.tokens.append(PART.findall(signs.lower()))
                     page.links.append(0)
+                    names.setdefault(tag, []).append(len(stack))
                     stack.append(len(page.tags) - 1)
-                    names[tag] = names.get(tag, 0) + 1
                     anchors = 0
         elif closing:
             tag = closing.lower()
