@@ -2,8 +2,8 @@
 
 from saleskiln.operators.batches import EmptyTableError, latest_batch, newest_batch_time, require_batch
 from saleskiln.operators.dedup import duplicate_keys, keep_latest
-from saleskiln.operators.lookup import lookup_key, resolved
-from saleskiln.operators.parse import explode_lines, parse_records, project_fields
+from saleskiln.operators.lookup import likely_known, lookup_key, resolved
+from saleskiln.operators.parse import explode_lines, parse_or_reject, parse_records, project_fields
 from saleskiln.operators.quality import QualityError, drop_null_keys, gate, judge, quality_report
 from saleskiln.operators.totals import total_by_member
 from saleskiln.operators.upsert import UpsertRule, insert_all, merge_metrics, upsert, upsert_small_batch
@@ -20,9 +20,11 @@ __all__ = [
     "judge",
     "keep_latest",
     "latest_batch",
+    "likely_known",
     "lookup_key",
     "merge_metrics",
     "newest_batch_time",
+    "parse_or_reject",
     "parse_records",
     "project_fields",
     "quality_report",

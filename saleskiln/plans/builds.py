@@ -13,13 +13,17 @@ from saleskiln.operators import (
     explode_lines,
     gate,
     keep_latest,
+    likely_known,
     lookup_key,
+    parse_or_reject,
     parse_records,
     project_fields,
     resolved,
     total_by_member,
 )
-from saleskiln.operators.parse import Field
+from saleskiln.operators.dedup import free_name
+from saleskiln.operators.parse import REJECT, REJECTED_TEXT, Field
+from saleskiln.operators.quality import quality_metrics
 from saleskiln.plans.contracts import CLIENT_FIELDS, PRODUCT_FIELDS, SALE_FIELDS, fields_for
 from saleskiln.sources.schemas import BATCH_COLUMN, cart_schema, product_schema, prune, user_schema
 
@@ -41,35 +45,52 @@ def raw_columns(bronze: DataFrame) -> DataFrame:
     return bronze.select("raw_json", BATCH_COLUMN, "row_id")
 
 
-def client_rows(bronze: DataFrame, id_type: str = "bigint", only: Sequence[str] | None = None) -> DataFrame:
+def parsed(bronze: DataFrame, schema: StructType, fields: list[Field], rejects: bool) -> DataFrame:
+    """Cleaned rows of a batch, one per raw record; with ``rejects`` also why a record cannot be used, and its text."""
+    raw = raw_columns(bronze)
+    if not rejects:
+        return project_fields(parse_records(raw, needed(schema, fields)), fields)
+    return project_fields(parse_or_reject(raw, needed(schema, fields), "id"), fields, [F.col(REJECT), F.col(REJECTED_TEXT)])
+
+
+def client_rows(bronze: DataFrame, id_type: str = "bigint", only: Sequence[str] | None = None, rejects: bool = False) -> DataFrame:
     """Cleaned client rows of a batch, one per raw record.
 
     ``only`` names the columns a reader needs; the optimizer cannot prune fields of a JSON text, so
     naming them is what keeps the others from being parsed.
     """
-    fields = fields_for(CLIENT_FIELDS, id_type, only)
-    return project_fields(parse_records(raw_columns(bronze), needed(user_schema(id_type), fields)), fields)
+    return parsed(bronze, user_schema(id_type), fields_for(CLIENT_FIELDS, id_type, only), rejects)
 
 
-def product_rows(bronze: DataFrame, id_type: str = "bigint", only: Sequence[str] | None = None) -> DataFrame:
-    fields = fields_for(PRODUCT_FIELDS, id_type, only)
-    return project_fields(parse_records(raw_columns(bronze), needed(product_schema(id_type), fields)), fields)
+def product_rows(bronze: DataFrame, id_type: str = "bigint", only: Sequence[str] | None = None, rejects: bool = False) -> DataFrame:
+    return parsed(bronze, product_schema(id_type), fields_for(PRODUCT_FIELDS, id_type, only), rejects)
 
 
-def sale_rows(bronze: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """Cleaned sale lines of a batch, one per cart and line, with their natural keys."""
+def sale_rows(bronze: DataFrame, id_type: str = "bigint", rejects: bool = False) -> DataFrame:
+    """Cleaned sale lines of a batch, one per cart and line, with their natural keys; a rejected cart is one line
+    without a product."""
     fields = fields_for(SALE_FIELDS, id_type)
-    carts = parse_records(raw_columns(bronze), needed(cart_schema(id_type), fields, "line", "products"))
-    lines = explode_lines(carts, "products", "line")
-    return project_fields(lines, fields)
+    schema, raw = needed(cart_schema(id_type), fields, "line", "products"), raw_columns(bronze)
+    if not rejects:
+        return project_fields(explode_lines(parse_records(raw, schema), "products", "line"), fields)
+    carts = parse_or_reject(raw, schema, "id")
+    lines = explode_lines(carts, "products", "line", keep=F.col(REJECT).isNotNull())
+    return project_fields(lines, fields, [F.col(REJECT), F.col(REJECTED_TEXT)])
 
 
-def lines_with_members(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str) -> DataFrame:
+def lines_with_members(
+    bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str, rejects: bool = False, reduce_products: bool = False
+) -> DataFrame:
     """Every line, with its ``hash_id`` and the surrogates of its product and client where they are known.
 
     The digest comes last: it is four times as long as the ids it is made of, and the lookups may shuffle.
+    ``reduce_products`` drops lines of unknown products by a bitmap ahead of the lookup. That is safe for products, which
+    are part of the key; a line of an unknown client may be the newest of its key and has to come along.
     """
-    lines = lookup_key(sale_rows(bronze, id_type), products, "product_id", "sk_product")
+    lines = sale_rows(bronze, id_type, rejects)
+    if reduce_products:
+        lines = likely_known(lines, products, "product_id", keep=F.col(REJECT).isNotNull() if rejects else None)
+    lines = lookup_key(lines, products, "product_id", "sk_product")
     lines = lookup_key(lines, clients, "client_id", "sk_client")
     return lines.select(hash_key("cart_id", "product_id").alias("hash_id"), "*")
 
@@ -79,10 +100,14 @@ def dim_client(
     id_type: str = "bigint",
     observation: Observation | None = None,
     only: Sequence[str] | None = None,
+    rejects: bool = False,
 ) -> DataFrame:
-    """Client dimension rows: gate on the key, keep the newest row per client, add the surrogate."""
+    """Client dimension rows: gate on the key, keep the newest row per client, add the surrogate.
+
+    ``rejects`` keeps what the gate would drop, with its reason and text, as rows without a key.
+    """
     checks = {"invalid_emails": invalid_email("client_email")} if observation else None
-    return dimension(client_rows(bronze, id_type, only), "client_id", "client", observation, checks)
+    return dimension(client_rows(bronze, id_type, only, rejects), "client_id", "client", observation, checks, rejects)
 
 
 def dim_product(
@@ -90,22 +115,38 @@ def dim_product(
     id_type: str = "bigint",
     observation: Observation | None = None,
     only: Sequence[str] | None = None,
+    rejects: bool = False,
 ) -> DataFrame:
-    return dimension(product_rows(bronze, id_type, only), "product_id", "product", observation)
+    return dimension(product_rows(bronze, id_type, only, rejects), "product_id", "product", observation, None, rejects)
 
 
-def dimension(rows: DataFrame, key: str, entity: str, observation: Observation | None, checks: dict | None = None) -> DataFrame:
-    keyed = gate(rows, key, observation, checks) if observation else drop_null_keys(rows, key)
-    latest = keep_latest(keyed, [key], BATCH_COLUMN, ["row_id"])
+def dimension(
+    rows: DataFrame, key: str, entity: str, observation: Observation | None, checks: dict | None = None, rejects: bool = False
+) -> DataFrame:
+    if rejects:
+        # rejected rows have no key; each is a key of its own, so that all of them stay
+        seen = rows.observe(observation, *quality_metrics(key, checks)) if observation else rows
+        latest = keep_latest_or_rejected(seen, [key], ["row_id"])
+    else:
+        keyed = gate(rows, key, observation, checks) if observation else drop_null_keys(rows, key)
+        latest = keep_latest(keyed, [key], BATCH_COLUMN, ["row_id"])
     return latest.select(surrogate_key(entity, key).alias(f"sk_{entity}"), "*")
 
 
+def keep_latest_or_rejected(rows: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
+    own = free_name(rows, "own_key")
+    marked = rows.withColumn(own, F.when(F.col(REJECT).isNotNull(), F.col("row_id")))
+    return keep_latest(marked, [*keys, own], BATCH_COLUMN, ties).drop(own)
+
+
 def sale_lines_latest(
     bronze: DataFrame,
     products: DataFrame,
     clients: DataFrame,
     id_type: str = "bigint",
     observation: Observation | None = None,
+    rejects: bool = False,
+    reduce_products: bool = False,
 ) -> DataFrame:
     """Newest line per ``hash_id`` with both surrogates, NULL where a member is unknown.
 
@@ -113,7 +154,7 @@ def sale_lines_latest(
     per key is the same as when looking up afterwards; but the result leaves the window partitioned by
     ``hash_id``, the key the upsert joins on. ``observation`` counts lines and unknown members on the way.
     """
-    lines = lines_with_members(bronze, products, clients, id_type)
+    lines = lines_with_members(bronze, products, clients, id_type, rejects, reduce_products)
     if observation:
         lines = lines.observe(
             observation,
@@ -122,10 +163,11 @@ def sale_lines_latest(
             F.count_if(F.col("sk_client").isNull()).alias("lines_without_client"),
             F.count_if(F.col("cart_id").isNull()).alias("lines_without_cart"),
         )
-    # a digest skips NULLs, so lines of unknown carts would fuse into one
-    lines = lines.filter(F.col("cart_id").isNotNull())
     ties = ["unit_price", "quantity", "net_amount", "gross_amount", "cart_total", "cart_discounted_total", "client_id", "row_id"]
-    return keep_latest(lines, ["hash_id"], BATCH_COLUMN, ties)
+    if rejects:
+        return keep_latest_or_rejected(lines, ["hash_id"], ties)
+    # a digest skips NULLs, so lines of unknown carts would fuse into one
+    return keep_latest(lines.filter(F.col("cart_id").isNotNull()), ["hash_id"], BATCH_COLUMN, ties)
 
 
 def ft_sale(
@@ -134,9 +176,14 @@ def ft_sale(
     clients: DataFrame,
     id_type: str = "bigint",
     observation: Observation | None = None,
+    rejects: bool = False,
+    reduce_products: bool = False,
 ) -> DataFrame:
     """Sale facts: lines of an unknown client or product are dropped, natural keys are not stored."""
-    lines = sale_lines_latest(bronze, products, clients, id_type, observation)
+    lines = sale_lines_latest(bronze, products, clients, id_type, observation, rejects, reduce_products)
+    if rejects:
+        known = F.col("sk_product").isNotNull() & F.col("sk_client").isNotNull()
+        return lines.filter(known | F.col(REJECT).isNotNull()).drop("client_id", "product_id")
     return resolved(lines, "sk_product", "sk_client").drop("client_id", "product_id")
 
 

@@ -20,6 +20,7 @@ from saleskiln.operators import (
     upsert,
     upsert_small_batch,
 )
+from saleskiln.operators.parse import REJECT, REJECTED_TEXT
 from saleskiln.plans import builds
 from saleskiln.plans.contracts import DIM_CLIENT, DIM_PRODUCT, FT_SALE, SALES_BY_CLIENT, TableContract
 from saleskiln.sources.bronze import with_batch
@@ -118,7 +119,8 @@ def merge(
     Counts come from row counts of stored files, which also hold after repeated tasks: keys are unique
     and not NULL on both sides, hence rows after = rows before + inserted. ``unique=True`` says that
     the batch has one row per key and no NULL keys by construction, and saves the key check.
-    ``touches`` sees the staged batch and the table before the upsert. The result is also logged.
+    ``touches`` sees the staged batch and the table before the upsert. Rows that the build marked as rejected go to
+    the table of rejects. The result is also logged.
     """
     layer, table, rule = contract.layer, contract.table, contract.rule
     schema = contract.schema(warehouse.id_type)
@@ -129,6 +131,9 @@ def merge(
         staged = warehouse.spark.read.table(staged_name)
         if observation is not None:
             judge(observation.get, f"{layer}.{table}")
+        if REJECT in staged.columns:
+            warehouse.store_rejects(f"{layer}.{table}", staged.filter(F.col(REJECT).isNotNull()))
+            staged = staged.filter(F.col(REJECT).isNull()).drop(REJECT, REJECTED_TEXT)
         if not unique:
             check_keys(staged, contract)
         source_rows = staged.count()
@@ -293,20 +298,22 @@ def sold_to(warehouse: Warehouse) -> Touches:
 
 def run_dim_client(warehouse: Warehouse) -> MergeResult:
     report = Observation()
-    rows = builds.dim_client(newest(warehouse, "users"), warehouse.id_type, report)
+    rows = builds.dim_client(newest(warehouse, "users"), warehouse.id_type, report, rejects=True)
     return merge(warehouse, DIM_CLIENT, rows, report, unique=True, touches=renamed(warehouse))
 
 
 def run_dim_product(warehouse: Warehouse) -> MergeResult:
     report = Observation()
-    rows = builds.dim_product(newest(warehouse, "products"), warehouse.id_type, report)
+    rows = builds.dim_product(newest(warehouse, "products"), warehouse.id_type, report, rejects=True)
     return merge(warehouse, DIM_PRODUCT, rows, report, unique=True)
 
 
 def run_ft_sale(warehouse: Warehouse) -> MergeResult:
     products, clients = warehouse.read("silver", "dim_product"), warehouse.read("silver", "dim_client")
     lines = Observation()
-    rows = builds.ft_sale(newest(warehouse, "carts"), products, clients, warehouse.id_type, lines)
+    rows = builds.ft_sale(
+        newest(warehouse, "carts"), products, clients, warehouse.id_type, lines, rejects=True, reduce_products=warehouse.reduces("dim_product")
+    )
     result = merge(warehouse, FT_SALE, rows, unique=True, touches=sold_to(warehouse))
     log.info("silver.ft_sale: lines %s", lines.get)
     return result

@@ -40,6 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def parse_bytes(size: str) -> int:
+    """Bytes of a Spark size such as 10485760b or 10MB."""
+    number = size.rstrip("kmgtb")
+    return int(number) << 10 * " kmgt".index((size[len(number) :] + " ")[0].replace("b", " "))
+
+
 def fresh_suffix() -> str:
     return f"{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}_{uuid.uuid4().hex[:6]}"
 
@@ -230,15 +236,8 @@ class Warehouse:
         pending = self.pending_name(layer, table)
         if not self.spark.catalog.tableExists(pending):
             return False
-        mode = "spark.sql.sources.partitionOverwriteMode"
-        before = self.spark.conf.get(mode)
-        self.spark.conf.set(mode, "dynamic")
-        try:
-            name = self.parts_name(layer, table)
-            rows = self.spark.read.table(pending).select(*self.spark.read.table(name).columns)
-            rows.hint("rebalance", PART).write.insertInto(name, overwrite=True)
-        finally:
-            self.spark.conf.set(mode, before)
+        rows = self.spark.read.table(pending)
+        self.overwrite_partitions(self.parts_name(layer, table), rows.hint("rebalance", PART))
         self.drop_staged(pending)
         return True
 
@@ -256,6 +255,36 @@ class Warehouse:
         entry = F.max_by(F.struct("*"), "logged_at").alias("entry")
         return self.read("ops", "runs").groupBy("step", "table").agg(entry).select("entry.*")
 
+    def store_rejects(self, table: str, rows: DataFrame) -> None:
+        """Keep rejected records with their reason, row id and batch. Those of a batch that is built again replace the
+        earlier ones, unless it has none now."""
+        name = self.name("ops", "rejects")
+        found = rows.select(
+            "row_id", "reject_reason", F.col("rejected_text").alias("raw_json"), F.lit(table).alias("table"), F.col(BATCH_COLUMN).cast("string").alias("batch")
+        )
+        if not self.spark.catalog.tableExists(name):
+            found.write.format("parquet").partitionBy("table", "batch").saveAsTable(name)
+        else:
+            self.overwrite_partitions(name, found)
+
+    def overwrite_partitions(self, name: str, rows: DataFrame) -> None:
+        """Replace the partitions of a table that ``rows`` has rows of, and no others."""
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(mode)
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            rows.select(*self.spark.read.table(name).columns).write.insertInto(name, overwrite=True)
+        finally:
+            self.spark.conf.set(mode, before)
+
+    def reduces(self, table: str) -> bool:
+        """Whether a dimension is too large to be broadcast, so that a bitmap of its keys pays."""
+        limit = self.spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
+        stored = self.published("silver", table) if not self.dealt else self.parts_name("silver", table)
+        if self.native_merge or not stored or limit in ("-1", "-1b"):
+            return not self.native_merge
+        return self.stored_bytes(stored) > parse_bytes(limit)
+
     def note_touched(self, what: str, members: DataFrame) -> None:
         """Remember members whose totals have to be made anew."""
         members.write.format("parquet").mode("append").saveAsTable(self.name("ops", f"touched_{what}"))

@@ -246,6 +246,37 @@ def test_rows_without_key_never_reach_the_table(spark, warehouse):
     assert runs.run_dim_product(warehouse).source_rows == 0
 
 
+def test_rejected_records_are_kept_with_their_reason(spark, warehouse):
+    texts = ["{bad", None, json.dumps(user(3)), json.dumps(user(None)), '{"id": "x", "firstName": "y"}', json.dumps(user(3, firstName="bob"))]
+    bronze(spark, warehouse, "users", texts)
+    for _ in range(2):
+        assert runs.run_dim_client(warehouse).source_rows == 1
+        found = warehouse.read("ops", "rejects").filter("table = 'silver.dim_client'").collect()
+        assert sorted((r.reject_reason, r.raw_json) for r in found if r.raw_json) == [("no key", texts[3]), ("unreadable", texts[4]), ("unreadable", texts[0])]
+        assert [r.reject_reason for r in found if not r.raw_json] == ["no text"]
+    ids = {row.row_id for row in warehouse.read("bronze", "users").collect()}
+    assert {r.row_id for r in found} < ids and len(ids) == len(texts) == len(found) + 2
+    assert {r.batch for r in found} == {FIRST}
+
+
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_rejected_carts_do_not_hide_others(spark, warehouse, limit):
+    bronze(spark, warehouse, "users", [json.dumps(user(1))])
+    bronze(spark, warehouse, "products", [json.dumps(product(1))])
+    carts = [json.dumps(cart(7, 1, (1, 2.0), (99, 1.0))), '{"id": 8, "products": [', json.dumps(cart(None, 1, (1, 5.0), (1, 6.0))), json.dumps(cart(9, 1))]
+    bronze(spark, warehouse, "carts", carts)
+    runs.run_dim_client(warehouse)
+    runs.run_dim_product(warehouse)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        assert warehouse.reduces("dim_product") == (limit == "-1")
+        assert runs.run_ft_sale(warehouse).rows_inserted == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.raw_json for r in warehouse.read("ops", "rejects").filter("table = 'silver.ft_sale'").collect()) == sorted(carts[1:3])
+
+
 def test_empty_totals_are_refused_and_leave_the_table_alone(spark, tmp_path, warehouse):
     runs.run_all(warehouse, {"users": read_pages(spark, land(tmp_path / "a", "users", [user(1)]))} | others(spark, tmp_path), FIRST)
     before = warehouse.versions("gold", "sales_by_client")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from saleskiln.operators import keep_latest, lookup_key
+from saleskiln.operators import keep_latest, likely_known, lookup_key
 from tests.test_oracles import TABLES, rows_of
 from workload import adapter
 from workload.oracles import ORACLES
@@ -100,3 +100,41 @@ def test_hot_key_ships_one_row_per_task_into_the_dedup(spark, skewed):
     text = plan.executedPlan().toString()
     assert "WindowGroupLimit" in text and "Partial" in text
     assert frame.count() == distinct
+
+
+def shuffled_rows(frame):
+    """Rows written by the exchanges of the executed plan that carry lines."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    found, left = [], [plan]
+    while left:
+        node = left.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            left.append(node.plan())
+            continue
+        if name == "Exchange":
+            metric = node.metrics().get("shuffleRecordsWritten")
+            found.append(metric.get().value() if metric.isDefined() else 0)
+        children = node.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return max(found, default=0)
+
+
+def test_bitmap_drops_unknown_lines_in_front_of_the_exchange(spark, testdata, small_limits):
+    lines = adapter.table(spark, f"{testdata}/sf0.001", "lineitem").withColumnRenamed("l_partkey", "product_id").withColumn("marks", F.lit(1))
+    parts = adapter.table(spark, f"{testdata}/sf0.001", "part").filter("p_size <= 5")
+    products = parts.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("sk_product"))
+    plain = lookup_key(lines, products, "product_id", "sk_product").filter("sk_product is not null")
+    reduced = lookup_key(likely_known(lines, products, "product_id"), products, "product_id", "sk_product").filter("sk_product is not null")
+    before = shuffled_rows(lookup_key(lines, products, "product_id", "sk_product"))
+    after = shuffled_rows(lookup_key(likely_known(lines, products, "product_id"), products, "product_id", "sk_product"))
+    assert before == lines.count() and after < before / 4
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, reduced.collect()))
+    dense = likely_known(lines, products, "product_id", log_bits=5)
+    assert dense.count() > likely_known(lines, products, "product_id").count() >= plain.count()
+    assert likely_known(lines, products.limit(0), "product_id").count() == 0
+    assert likely_known(lines, products.limit(0), "product_id", keep=F.col("product_id") == 1).count() == lines.filter("product_id = 1").count()

@@ -352,6 +352,25 @@ ORACLES: dict[str, str] = {
         FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
         WHERE p_size <= 40 AND s_acctbal >= 0
     """,
+    "reduced_lookup": """
+        SELECT l_orderkey AS cart_id, l_partkey AS product_id, l_extendedprice AS unit_price, sha256('product-' || l_partkey) AS sk_product
+        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 10
+    """,
+    "rejected_records": f"""
+        WITH whole AS (
+          SELECT c_custkey AS k, '{{' || CASE WHEN k % 97 <> 0 THEN '"id":' || k || ',' ELSE '' END || '"firstName":"' || c_name || '"}}' AS t
+          FROM customer
+        ),
+        raw AS (
+          SELECT k, CASE WHEN k % 31 = 0 THEN t[1:9] WHEN k % 29 = 0 THEN '{{"id":"x' || k || '","firstName":"y"}}'
+                         WHEN k % 23 <> 0 THEN t END AS t,
+                 CASE WHEN k % 31 = 0 OR k % 29 = 0 THEN 'unreadable' WHEN k % 23 = 0 THEN 'no text' WHEN k % 97 = 0 THEN 'no key' END AS reason
+          FROM whole
+        )
+        SELECT CASE WHEN reason IS NULL THEN k END AS client_id, sha256(k || '|{BATCH}') AS row_id, reason AS reject_reason,
+               CASE WHEN reason IS NOT NULL THEN t END AS rejected_text
+        FROM raw
+    """,
     "member_totals": """
         SELECT p_name, p_brand, l_partkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(24,6))) AS DOUBLE) AS total
         FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 40

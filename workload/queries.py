@@ -15,6 +15,7 @@ from saleskiln.operators import (
     explode_lines,
     keep_latest,
     latest_batch,
+    likely_known,
     lookup_key,
     merge_metrics,
     newest_batch_time,
@@ -26,6 +27,7 @@ from saleskiln.operators import (
     upsert,
     upsert_small_batch,
 )
+from saleskiln.operators.parse import REJECT, REJECTED_TEXT
 from saleskiln.plans import builds, runs
 from saleskiln.plans.contracts import DIM_CLIENT, FT_SALE, TableContract
 from saleskiln.sources.bronze import with_batch
@@ -484,6 +486,32 @@ def fact_dimension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(found, "sk_product", "sk_client")
 
 
+@query
+def reduced_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines of the small parts, most of the others dropped by a bitmap of keys ahead of the lookup."""
+    parts = table(spark, sf_dir, "part").filter("p_size <= 10")
+    products = parts.select(F.col("p_partkey").alias("product_id"), K.surrogate_key("product", "p_partkey").alias("sk_product"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("cart_id"), F.col("l_partkey").alias("product_id"), F.col("l_extendedprice").alias("unit_price")
+    )
+    return resolved(lookup_key(likely_known(lines, products, "product_id"), products, "product_id", "sk_product"), "sk_product")
+
+
+@query
+def rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every raw customer record: used, or rejected for a reason, with its text."""
+    key = F.col("c_custkey")
+    whole = F.to_json(F.struct(F.when(key % 97 != 0, key).alias("id"), F.col("c_name").alias("firstName")))
+    text = (
+        F.when(key % 31 == 0, F.substring(whole, 1, 9))
+        .when(key % 29 == 0, F.concat(F.lit('{"id":"x'), key.cast("string"), F.lit('","firstName":"y"}')))
+        .when(key % 23 != 0, whole)
+    )
+    raw = table(spark, sf_dir, "customer").select(text.alias("raw_json"), key.cast("string").alias("origin"))
+    rows = builds.dim_client(with_batch(raw, adapter.BATCH_TIME, "origin", row_id_from=["origin"]), ID, only=["client_id"], rejects=True)
+    return rows.select("client_id", "row_id", REJECT, REJECTED_TEXT)
+
+
 @query
 def member_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue per part of the known parts: sum of line prices, not times the quantity."""
