@@ -1,7 +1,7 @@
 """DataFrame-to-DataFrame operators."""
 
 from saleskiln.operators.batches import EmptyTableError, latest_batch, newest_batch_time, require_batch
-from saleskiln.operators.dedup import duplicate_keys, keep_latest
+from saleskiln.operators.dedup import duplicate_keys, keep_latest, keep_latest_by_aggregate
 from saleskiln.operators.lookup import likely_known, lookup_key, resolved
 from saleskiln.operators.parse import explode_lines, parse_or_reject, parse_records, project_fields
 from saleskiln.operators.quality import QualityError, drop_null_keys, gate, judge, quality_report
@@ -19,6 +19,7 @@ __all__ = [
     "insert_all",
     "judge",
     "keep_latest",
+    "keep_latest_by_aggregate",
     "latest_batch",
     "likely_known",
     "lookup_key",

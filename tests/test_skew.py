@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from saleskiln.operators import keep_latest, likely_known, lookup_key
+from saleskiln.operators import keep_latest, keep_latest_by_aggregate, likely_known, lookup_key
 from tests.test_oracles import TABLES, rows_of
 from workload import adapter
 from workload.oracles import ORACLES
@@ -19,6 +19,7 @@ AFFECTED = [
     "explode_cart_lines",
     "line_hash_key",
     "dedup_keep_latest",
+    "latest_by_aggregate",
     "repeated_keys",
     "fact_dimension_lookup",
     "member_totals",
@@ -138,3 +139,26 @@ def test_bitmap_drops_unknown_lines_in_front_of_the_exchange(spark, testdata, sm
     assert dense.count() > likely_known(lines, products, "product_id").count() >= plain.count()
     assert likely_known(lines, products.limit(0), "product_id").count() == 0
     assert likely_known(lines, products.limit(0), "product_id", keep=F.col("product_id") == 1).count() == lines.filter("product_id = 1").count()
+
+
+def test_latest_by_aggregate_equals_the_window_and_sorts_nothing(spark, skewed):
+    import datetime
+    import random
+
+    rng = random.Random(4)
+    pick = lambda *values: rng.choice([None, *values])
+    rows = [
+        (pick(1, 2, 3), pick("2024-01-01", "2024-01-02"), pick("a", "ab", "", "é", "b"), pick(1.5, -2.0, float("nan"), float("inf")), pick(True, False),
+         pick(datetime.date(2020, 1, 2), datetime.date(1950, 5, 5)), pick(-(2**63), 5, 2**63 - 1), k)
+        for k in range(600)
+    ]
+    frame = spark.createDataFrame(rows, "k int, newest string, s string, d double, b boolean, day date, n bigint, row int").repartition(5)
+    for ties in (["s", "d", "b", "day", "n", "row"], ["d", "row"], ["n", "b", "row"], ["day", "s", "row"]):
+        by_window = sorted(repr(r) for r in keep_latest(frame, ["k"], "newest", ties).collect())
+        aggregated = keep_latest_by_aggregate(frame, ["k"], "newest", ties)
+        assert sorted(repr(r) for r in aggregated.collect()) == by_window and aggregated.columns == frame.columns
+    plan = final_plan(aggregated)
+    assert "ObjectHashAggregate" in plan and "Sort" not in plan and "Window" not in plan
+    lines = adapter.table(spark, skewed[0], "lineitem").repartition(6)
+    hot = keep_latest_by_aggregate(lines.select("l_orderkey", "l_extendedprice", "l_suppkey"), ["l_orderkey"], "l_extendedprice", ["l_suppkey"])
+    assert shuffled_rows(hot) <= 6 * lines.select("l_orderkey").distinct().count()

@@ -343,6 +343,10 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey
                                    ORDER BY l_shipdate DESC, l_extendedprice, l_quantity, l_suppkey) = 1
     """,
+    "latest_by_aggregate": """
+        SELECT l_partkey, l_extendedprice, l_returnflag, l_suppkey, l_orderkey FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_returnflag, l_suppkey, l_orderkey) = 1
+    """,
     "repeated_keys": """
         SELECT l_orderkey, l_partkey, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1
     """,

@@ -14,6 +14,7 @@ from saleskiln.operators import (
     duplicate_keys,
     explode_lines,
     keep_latest,
+    keep_latest_by_aggregate,
     latest_batch,
     likely_known,
     lookup_key,
@@ -464,6 +465,13 @@ def dedup_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.withColumn("l_shipdate", F.to_date("l_shipdate"))
 
 
+@query
+def latest_by_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dearest line of each part, of equal ones that of the smallest flag, supplier and order: many rows a key."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_returnflag", "l_suppkey", "l_orderkey")
+    return keep_latest_by_aggregate(lines, ["l_partkey"], "l_extendedprice", ["l_returnflag", "l_suppkey", "l_orderkey"])
+
+
 @query
 def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
