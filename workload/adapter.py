@@ -79,18 +79,16 @@ LINE = """struct(l_partkey AS id, l_extendedprice AS price, CAST(l_quantity AS I
                  l_extendedprice AS total, l_extendedprice * (1 - l_discount) AS discountedTotal)"""
 
 
-#: Lines of one cart record, on average at most; a larger order is several records of one cart.
-CART_LINES = 50
+#: Lines that stand together in a file, of which those of one order become one cart record: the most lines it can have.
+CART_BLOCK = 1 << 17
 
 
 def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``l_orderkey, products``: the lines of an order together. Orders with many lines are dealt by a hash of their
-    lines into groups of about CART_LINES, so that no group grows with an order."""
-    lines = table(spark, sf_dir, "lineitem")
-    large = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CART_LINES)
-    spread = F.pmod(F.xxhash64("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"), F.ceil(F.col("n") / CART_LINES))
-    dealt = lines.join(large, "l_orderkey", "left").withColumn("part", F.coalesce(spread, F.lit(0)))
-    return dealt.groupBy("l_orderkey", "part").agg(F.collect_list(F.expr(LINE)).alias("products")).drop("part")
+    """``l_orderkey, products``: the lines of an order that stand in one stretch of the table. The stretch bounds the
+    group, however many lines an order has; an order in several stretches is several records of one cart."""
+    block = F.expr(f"monotonically_increasing_id() DIV {CART_BLOCK}")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", block.alias("block"), F.expr(LINE).alias("line"))
+    return lines.groupBy("l_orderkey", "block").agg(F.collect_list("line").alias("products")).drop("block")
 
 
 def cart_fields(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
