@@ -245,10 +245,14 @@ class Warehouse:
 
     def log_run(self, **entry) -> None:
         """Append one entry to the table of runs."""
-        fields = StructType.fromDDL(RUNS_DDL).fieldNames()
-        row = tuple(datetime.now() if name == "logged_at" else entry.get(name) for name in fields)
-        frame = self.spark.createDataFrame([row], RUNS_DDL).coalesce(1)
-        frame.write.format("parquet").mode("append").saveAsTable(self.name("ops", "runs"))
+        fields = StructType.fromDDL(RUNS_DDL)
+        values = [F.current_timestamp() if f.name == "logged_at" else F.lit(entry.get(f.name)) for f in fields]
+        row = self.spark.range(0, 1, 1, 1).select(*[value.cast(f.dataType).alias(f.name) for value, f in zip(values, fields)])
+        name = self.name("ops", "runs")
+        if self.spark.catalog.tableExists(name):
+            row.write.insertInto(name)
+        else:
+            row.write.format("parquet").saveAsTable(name)
 
     def newest_runs(self) -> DataFrame:
         """The newest entry of each step and table."""

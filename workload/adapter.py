@@ -139,7 +139,7 @@ def land_pages(records: DataFrame, entity: str, folder: str, per_page: int = 100
     """Write ``records`` (``raw_json``) as pages of at most ``per_page`` whose offsets follow each other; the folder.
 
     The records are stored first: their numbers within a task, and how many each task has, must not change between
-    the two reads that make offsets of them. Only one row per task meets in one place.
+    the two reads that make offsets of them. Only one row per task meets in one place, and is broadcast.
     """
     spark = records.sparkSession
     records.selectExpr("raw_json", "monotonically_increasing_id() AS number").write.parquet(f"{folder}/records")
@@ -149,7 +149,7 @@ def land_pages(records: DataFrame, entity: str, folder: str, per_page: int = 100
     starts = sizes.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     total = stored.agg(F.count(F.lit(1)).alias("total")).scalar()
     pages = (
-        stored.join(starts, "task")
+        stored.join(F.broadcast(starts), "task")
         .selectExpr("raw_json", f"(start + place) DIV {per_page} AS page")
         .groupBy("page")
         .agg(F.concat_ws(",", F.collect_list("raw_json")).alias("texts"))
