@@ -10,7 +10,8 @@ Of a group of documents with equal sets only one goes on. In a bucket of a band,
 the member that shares most buckets with others. Buckets that this leaves with several components are open: their
 members are held against those of other components that share one of their rarest shingles, which linked sets must. So
 a group of thousands of copies costs a comparison each, near misses cost few, and no link between components is lost:
-every pair that a band proposes is either compared, already connected, or known to be below the threshold.
+every pair that a band proposes is either compared, already connected, or below the threshold by its sizes, its rarest
+shingles, or an estimate six standard errors too low.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from saleskiln.llm.common import Scratch, batch_udf, with_struct
+from saleskiln.llm.common import Scratch, batch_udf, unused_name, with_struct
 from saleskiln.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -257,8 +258,8 @@ def near_duplicates(docs: DataFrame, text_column: str = "text", id_column: str =
     Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets. A null or empty text,
     or one without words, has an empty set and no links. Rows that share an id count as one document, linked if any of
     its texts is. Rows without an id have no links: their
-    n_shingles and component_id are null, and they are kept. An empty table gives no
-    rows; columns of these names are replaced.
+    n_shingles and component_id are null, and they are kept. Ids are of any type that has an order. An empty table gives
+    no rows; columns of these names are replaced.
     """
     scratch = Scratch(docs.sparkSession)
     ids = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
@@ -273,8 +274,8 @@ def near_duplicates(docs: DataFrame, text_column: str = "text", id_column: str =
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.write(bands.join(shared, "band").distinct())
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
-    famed = members.join(fame, "node").groupBy("band").agg(F.max(F.struct("fame", -F.col("node").cast("bigint"))).alias("top"))
-    hubs = famed.select("band", (-F.col("top")["col2"]).alias("hub"))
+    famed = members.join(fame, "node").groupBy("band").agg(F.min(F.struct((-F.col("fame")).alias("less"), "node")).alias("top"))
+    hubs = famed.select("band", F.col("top")["node"].alias("hub"))
     spokes = members.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     sure = confirmed(spokes, nodes, texts, scratch, size, percent)
     labels = components(sure, scratch)
@@ -291,5 +292,6 @@ def near_duplicates(docs: DataFrame, text_column: str = "text", id_column: str =
     result = marked.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")).where("id is not null").join(found, "id", "left")
     result = scratch.write(result.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")))
     base = docs.drop("n_shingles", "component_id", "kept")
-    out = base.join(result.withColumnRenamed("id", "_near_id"), base[id_column] == F.col("_near_id"), "left").drop("_near_id")
+    key = unused_name(base, "near_id")
+    out = base.join(result.withColumnRenamed("id", key), base[id_column] == F.col(key), "left").drop(key)
     return out.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
