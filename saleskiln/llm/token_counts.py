@@ -4,7 +4,8 @@ A huge text is encoded chunk by chunk with offsets. Two neighbours overlap, and
 place where a pre-token starts in both, far enough from the end of the left chunk that its splitter and its search for
 special strings had seen all they can look at. The splitter has no memory, so from such a place on both chunks go on
 alike, and as the left one began at a true boundary the splice is exact. Where the overlap holds no such place, the
-right chunk is started earlier, twice as far each time, at most at the start of the left one, which then grows instead.
+right chunk is started earlier, twice as far each time, at most at the start of the left one, which then grows to twice
+its length instead, so that the work stays in proportion to a text without any such place as well.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ class Counter:
             overlap = self.overlap
             while True:
                 start = max(at, end - overlap)
-                right_end = min(len(text), start + self.chunk if start > at else end + self.chunk)
+                right_end = min(len(text), end + (self.chunk if start > at else end - at))
                 right, right_size = self.starts(text, start, right_end)
                 if start == at:  # the overlap is the whole left chunk: the right one takes its place
                     place = at
