@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express.
 
-Of the others, tests/llm holds the operators of op5 and op8 against brute force and those of op4 and op7 against the
-library, on small rows; those of op1, op2, op6 and op9 are tested on rows with known answers, the pipeline in parts."""
+The others are held in tests/llm, over whole tables, to a plain version or the library (op4, op5, op7, op8, pipeline), to
+the way back (op9), to held-out rows (op2, op6) or to marked articles (op1); op11, op12 and op13 have tests of their own."""
 
 from __future__ import annotations
 
