@@ -62,8 +62,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte-level BPE", byte_bpe),
 ]
 
-#: A trained language model is no SQL. tests/llm/test_pipeline.py tests what stages must keep, and near-dedup on planted
-#: copies; the rows of a whole run are compared with nothing.
+#: A trained language model is no SQL. tests/llm/test_pipeline.py holds all rows of a whole run to a plain version that
+#: works in memory, with the same model.
 ORACLE_SQL = None
 
 
