@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from operator import or_
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from saleskiln.operators import (
     QualityError,
@@ -31,6 +34,18 @@ from saleskiln.sources.tables import PART, Warehouse
 log = logging.getLogger(__name__)
 
 Touches = Callable[[DataFrame, DataFrame | None], None]
+Result = TypeVar("Result")
+
+
+def together(spark: SparkSession, steps: Iterable[Callable[[], Result]]) -> list[Result]:
+    """Results of steps that do not need each other, in their order. Their jobs share the cluster, so that one small
+    job does not wait for the last task of another. All have ended when the first error, if any, is raised."""
+    wrapped = [inheritable_thread_target(spark)(step) for step in steps]
+    if not wrapped:
+        return []
+    with ThreadPoolExecutor(len(wrapped)) as pool:
+        started = [pool.submit(step) for step in wrapped]
+    return [step.result() for step in started]
 
 
 @dataclass(frozen=True)
@@ -349,12 +364,14 @@ def last_measure(warehouse: Warehouse) -> str | None:
 def run_all(
     warehouse: Warehouse, landed: Mapping[str, DataFrame], batch_time: str, allow_incomplete: bool = False
 ) -> list[IngestResult | MergeResult]:
-    """Ingest ``landed`` (entity to pages), then dimensions, facts and totals, in that order.
+    """Ingest ``landed`` (entity to pages), then dimensions, facts and totals, in that order; landings side by side.
 
     A landing that lacks records raises in front of the tables, which stay as they are, unless ``allow_incomplete``.
     What was ingested stays in bronze.
     """
-    landings = [ingest(warehouse, entity, landed[entity], batch_time) for entity in ENTITIES if entity in landed]
+    landings = together(
+        warehouse.spark, (partial(ingest, warehouse, entity, landed[entity], batch_time) for entity in ENTITIES if entity in landed)
+    )
     lacking = [result for result in landings if not result.complete]
     if lacking and not allow_incomplete:
         raise QualityError(f"incomplete landings, no table was refreshed: {lacking}")
@@ -362,6 +379,6 @@ def run_all(
 
 
 def refresh(warehouse: Warehouse) -> list[MergeResult]:
-    """Bring every table up to the newest bronze batches."""
-    steps = (run_dim_client, run_dim_product, run_ft_sale, run_sales_by_client)
-    return [step(warehouse) for step in steps]
+    """Bring every table up to the newest bronze batches; the dimensions side by side."""
+    dimensions = together(warehouse.spark, (partial(step, warehouse) for step in (run_dim_client, run_dim_product)))
+    return dimensions + [run_ft_sale(warehouse), run_sales_by_client(warehouse)]

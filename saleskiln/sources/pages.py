@@ -172,14 +172,23 @@ def coverage_findings(staged: DataFrame, announced: Column | int | None = None)
 
 
 def coverage_report(staged: DataFrame, announced: int | None) -> DataFrame:
-    """One row: records held once (overlaps and repeats taken off), missing, overlapping, and repeated pages."""
-    found = coverage_findings(staged, F.lit(announced).cast("bigint"))
-    size = F.col("to_offset") - F.col("from_offset")
-    summed = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0)).cast("bigint")
-    per_kind = found.agg(summed("gap", size).alias("records_missing"), summed("overlap", size).alias("records_overlapping"), summed("repeat", F.col("pages") - 1).alias("repeated_pages"))
-    unplaced = staged.filter("records is not null and page_offset is null").agg(F.coalesce(F.sum("record_count"), F.lit(0)).cast("bigint").alias("records_unplaced"))
-    held = repeated_pages(staged).agg(F.coalesce(F.sum(F.col("stop") - F.col("page_offset")), F.lit(0)).cast("bigint").alias("records_placed"))
-    return per_kind.select("*", unplaced.scalar().alias("records_unplaced"), held.scalar().alias("records_placed"))
+    """One row: records held once (overlaps and repeats taken off), missing, overlapping, and repeated pages.
+
+    The sums of ``coverage_findings``, taken in one pass over the swept pages.
+    """
+    offset, stop, reached = F.col("page_offset"), F.col("stop"), F.col("reached")
+    none = F.lit(0).cast("bigint")
+    summed = lambda value: F.coalesce(F.sum(value), none).cast("bigint")
+    found = swept(repeated_pages(staged)).agg(
+        summed(F.greatest(offset - reached, none)).alias("between"),
+        F.greatest(F.lit(announced).cast("bigint") - F.coalesce(F.max(stop), none), none).alias("behind"),
+        summed(F.when((offset < reached) & (stop > offset), F.least(reached, stop) - offset)).alias("records_overlapping"),
+        summed(F.col("copies") - 1).alias("repeated_pages"),
+        summed(stop - offset).alias("records_placed"),
+    )
+    unplaced = staged.filter("records is not null and page_offset is null").agg(summed(F.col("record_count")).alias("records_unplaced"))
+    missing = (F.col("between") + F.col("behind")).alias("records_missing")
+    return found.select(missing, "records_overlapping", "repeated_pages", unplaced.scalar().alias("records_unplaced"), "records_placed")
 
 
 def kept_records(staged: DataFrame, repeats: bool) -> DataFrame:

@@ -13,6 +13,7 @@ until all of it is in place; the next upsert puts it in place before anything el
 
 from __future__ import annotations
 
+import threading
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -25,6 +26,9 @@ from saleskiln.sources.schemas import BATCH_COLUMN, BRONZE_DDL
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 LAYERS = ("bronze", "silver", "gold", "staging", "ops")
 PART = "key_part"
+#: Held while a table that several steps share is written: appends to one folder clean up behind each other, and how
+#: partitions are overwritten is a setting of the session.
+SHARED_WRITES = threading.RLock()
 RUNS_DDL = (
     "logged_at timestamp, step string, table string, rows_written bigint, source_rows bigint, rows_inserted bigint, "
     "rows_updated bigint, complete boolean, detail string"
@@ -249,10 +253,11 @@ class Warehouse:
         values = [F.current_timestamp() if f.name == "logged_at" else F.lit(entry.get(f.name)) for f in fields]
         row = self.spark.range(0, 1, 1, 1).select(*[value.cast(f.dataType).alias(f.name) for value, f in zip(values, fields)])
         name = self.name("ops", "runs")
-        if self.spark.catalog.tableExists(name):
-            row.write.insertInto(name)
-        else:
-            row.write.format("parquet").saveAsTable(name)
+        with SHARED_WRITES:
+            if self.spark.catalog.tableExists(name):
+                row.write.insertInto(name)
+            else:
+                row.write.format("parquet").saveAsTable(name)
 
     def newest_runs(self) -> DataFrame:
         """The newest entry of each step and table."""
@@ -266,20 +271,22 @@ class Warehouse:
         found = rows.select(
             "row_id", "reject_reason", F.col("rejected_text").alias("raw_json"), F.lit(table).alias("table"), F.col(BATCH_COLUMN).cast("string").alias("batch")
         )
-        if not self.spark.catalog.tableExists(name):
-            found.write.format("parquet").partitionBy("table", "batch").saveAsTable(name)
-        else:
-            self.overwrite_partitions(name, found)
+        with SHARED_WRITES:
+            if not self.spark.catalog.tableExists(name):
+                found.write.format("parquet").partitionBy("table", "batch").saveAsTable(name)
+            else:
+                self.overwrite_partitions(name, found)
 
     def overwrite_partitions(self, name: str, rows: DataFrame) -> None:
         """Replace the partitions of a table that ``rows`` has rows of, and no others."""
         mode = "spark.sql.sources.partitionOverwriteMode"
-        before = self.spark.conf.get(mode)
-        self.spark.conf.set(mode, "dynamic")
-        try:
-            rows.select(*self.spark.read.table(name).columns).write.insertInto(name, overwrite=True)
-        finally:
-            self.spark.conf.set(mode, before)
+        with SHARED_WRITES:
+            before = self.spark.conf.get(mode)
+            self.spark.conf.set(mode, "dynamic")
+            try:
+                rows.select(*self.spark.read.table(name).columns).write.insertInto(name, overwrite=True)
+            finally:
+                self.spark.conf.set(mode, before)
 
     def reduces(self, table: str) -> bool:
         """Whether a dimension is too large to be broadcast, so that a bitmap of its keys pays."""

@@ -11,7 +11,7 @@ from saleskiln.plans import runs
 from saleskiln.plans.contracts import DIM_CLIENT, FT_SALE, SALES_BY_CLIENT
 from saleskiln.sources.bronze import with_batch
 from saleskiln.sources.pages import page_records, page_report, read_pages
-from saleskiln.sources.schemas import cart_schema, product_schema, user_schema
+from saleskiln.sources.schemas import BATCH_COLUMN, cart_schema, product_schema, user_schema
 from saleskiln.sources.tables import Warehouse
 from tests.test_operators import plan_text
 
@@ -484,6 +484,47 @@ def test_sweep_over_blocks_and_overlaps(spark, monkeypatch):
     assert P.coverage_findings(staged.limit(0)).count() == 0 and P.coverage_report(staged.limit(0), None).first().records_missing == 0
 
 
+def test_the_report_sums_the_findings(spark, monkeypatch):
+    import random
+
+    from saleskiln.sources import pages as P
+
+    monkeypatch.setattr(P, "SWEEP_BLOCK", 20)
+    draw = random.Random(5)
+    starts = [draw.randrange(150) for _ in range(40)]
+    rows = [(k, f"f{k}", start, k, 170, ["r"] * n, n) for k, (start, n) in enumerate((s, draw.randrange(9)) for s in starts)]
+    staged = spark.createDataFrame(rows, "page_id bigint, page_source string, page_offset bigint, page_digest bigint, page_total bigint, records array<string>, record_count bigint")
+    found = P.coverage_findings(staged).collect()
+    length = lambda kind: sum(row.to_offset - row.from_offset for row in found if row.kind == kind)
+    report = P.coverage_report(staged, 170).first()
+    assert (report.records_missing, report.records_overlapping) == (length("gap"), length("overlap")) and length("gap") > 0 < length("overlap")
+    assert report.repeated_pages == sum(row.pages - 1 for row in found if row.kind == "repeat") == len(starts) - len(set(starts))
+
+
+def test_steps_side_by_side_lose_no_entry_of_the_tables_they_share(spark, warehouse):
+    def entry(number):
+        warehouse.log_run(step="trial", table=f"t{number}", rows_written=number)
+        rejects = spark.createDataFrame([(f"id{number}", "bad", "{}", FIRST)], "row_id string, reject_reason string, rejected_text string, batch_time string")
+        warehouse.store_rejects(f"t{number}", rejects.withColumnRenamed("batch_time", BATCH_COLUMN))
+        return number
+
+    assert runs.together(spark, [lambda n=n: entry(n) for n in range(6)]) == list(range(6))
+    assert sorted(row.rows_written for row in warehouse.read("ops", "runs").collect()) == list(range(6))
+    assert sorted(row.row_id for row in warehouse.read("ops", "rejects").collect()) == [f"id{n}" for n in range(6)]
+    assert runs.together(spark, []) == []
+
+
+def test_a_failed_step_does_not_cut_the_others_short(spark):
+    ended = []
+
+    def fails():
+        raise QualityError("one")
+
+    with pytest.raises(QualityError, match="one"):
+        runs.together(spark, [fails, lambda: ended.append(spark.range(10).count())])
+    assert ended == [10]
+
+
 def test_a_landing_is_parsed_once(spark, tmp_path, warehouse, monkeypatch):
     plans = []
     stage, append = Warehouse.stage, Warehouse.append_batch

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -134,11 +135,11 @@ def trial_rounds(spark: SparkSession, sf_dir: str, entities: tuple[str, ...]) ->
 
 
 def landed(warehouse: Warehouse, number: int, records: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    pages = {}
-    for name, frame in records.items():
-        folder = adapter.land_pages(adapter.raw(frame, name), name, f"{warehouse.root}/landing/{number}/{name}")
-        pages[name] = read_pages(warehouse.spark, folder, one_page_per_line=True)
-    return pages
+    def pages(name: str) -> DataFrame:
+        folder = adapter.land_pages(adapter.raw(records[name], name), name, f"{warehouse.root}/landing/{number}/{name}")
+        return read_pages(warehouse.spark, folder, one_page_per_line=True)
+
+    return dict(zip(records, runs.together(warehouse.spark, [partial(pages, name) for name in records])))
 
 
 @query
