@@ -25,3 +25,19 @@ def surrogate_key(entity: str, natural_key: ColumnOrName) -> Column:
     """Stable surrogate of one dimension member; NULL for a NULL natural key."""
     key = as_column(natural_key)
     return F.when(key.isNotNull(), hash_key(F.lit(entity), key))
+
+
+def packed(text: ColumnOrName) -> Column:
+    """Digests in half their bytes, for the way through an exchange: an even number of lower-case hex digits as the bytes
+    they stand for, any other text as it is; a first byte tells them apart. Texts of one kind keep their order."""
+    text = as_column(text)
+    digits = F.concat(F.lit(b"\x01"), F.unhex(text))
+    whole = (F.length(text) % 2 == 0) & text.rlike(r"\A[0-9a-f]*+\z")
+    return F.when(whole, digits).otherwise(F.concat(F.lit(b"\x00"), text.cast("binary")))
+
+
+def unpacked(value: ColumnOrName) -> Column:
+    """The text that ``packed`` was given."""
+    value = as_column(value)
+    rest = F.substr(value, F.lit(2))
+    return F.when(F.substring(value, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from saleskiln.functions import hash_key, invalid_email, surrogate_key
+from saleskiln.functions.keys import KEY_SEPARATOR, packed, unpacked
 from saleskiln.operators import (
     drop_null_keys,
     explode_lines,
@@ -78,19 +79,12 @@ def sale_rows(bronze: DataFrame, id_type: str = "bigint", rejects: bool = False)
     return project_fields(lines, fields, [F.col(REJECT), F.col(REJECTED_TEXT)])
 
 
-def lines_with_members(
-    bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str, rejects: bool = False, reduce_products: bool = False
-) -> DataFrame:
+def lines_with_members(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str) -> DataFrame:
     """Every line, with its ``hash_id`` and the surrogates of its product and client where they are known.
 
     The digest comes last: it is four times as long as the ids it is made of, and the lookups may shuffle.
-    ``reduce_products`` drops lines of unknown products by a bitmap ahead of the lookup. That is safe for products, which
-    are part of the key; a line of an unknown client may be the newest of its key and has to come along.
     """
-    lines = sale_rows(bronze, id_type, rejects)
-    if reduce_products:
-        lines = likely_known(lines, products, "product_id", keep=F.col(REJECT).isNotNull() if rejects else None)
-    lines = lookup_key(lines, products, "product_id", "sk_product")
+    lines = lookup_key(sale_rows(bronze, id_type), products, "product_id", "sk_product")
     lines = lookup_key(lines, clients, "client_id", "sk_client")
     return lines.select(hash_key("cart_id", "product_id").alias("hash_id"), "*")
 
@@ -147,27 +141,48 @@ def sale_lines_latest(
     observation: Observation | None = None,
     rejects: bool = False,
     reduce_products: bool = False,
+    members: Observation | None = None,
+    row_ids: bool = True,
 ) -> DataFrame:
-    """Newest line per ``hash_id`` with both surrogates, NULL where a member is unknown.
+    """Newest line per cart and product, with both surrogates ``packed``, NULL where a member is unknown; ``row_id`` is
+    packed as well, and there is no ``hash_id`` yet.
 
-    The members are looked up in front of the deduplication. Left joins keep every line, so the winner
-    per key is the same as when looking up afterwards; but the result leaves the window partitioned by
-    ``hash_id``, the key the upsert joins on. ``observation`` counts lines and unknown members on the way.
+    What goes through the exchanges decides what a fact load costs, so the deduplication is by the ids that the digest
+    is made of, and comes ahead of the lookups: left joins on members that occur once change no line. Digests travel
+    packed. Without ``row_ids`` the winners' ids are arbitrary: lines that are equal in all else differ in nothing but that.
+    ``reduce_products`` drops lines of unknown products by a bitmap ahead of it all. That is safe for products, which
+    are part of the key; a line of an unknown client may be the newest of its key and has to come along.
+    ``observation`` counts the lines read, ``members`` the newest ones and their unknown members.
     """
-    lines = lines_with_members(bronze, products, clients, id_type, rejects, reduce_products)
+    lines = sale_rows(bronze, id_type, rejects)
     if observation:
-        lines = lines.observe(
-            observation,
-            F.count(F.lit(1)).alias("lines_read"),
+        lines = lines.observe(observation, F.count(F.lit(1)).alias("lines_read"), F.count_if(F.col("cart_id").isNull()).alias("lines_without_cart"))
+    if reduce_products:
+        lines = likely_known(lines, products, "product_id", keep=F.col(REJECT).isNotNull() if rejects else None)
+    lines = lines.withColumn("row_id", packed("row_id"))
+    ties = ["unit_price", "quantity", "net_amount", "gross_amount", "cart_total", "cart_discounted_total", "client_id", *(["row_id"] if row_ids else [])]
+    whole = {"product_id", "cart_id"} <= {field.name for field in lines.schema if isinstance(field.dataType, IntegralType)}
+    text = free_name(lines, "key_text")
+    if not whole:
+        # as texts, different ids may be joined to the same text, which is one key
+        lines = lines.withColumn(text, F.concat_ws(KEY_SEPARATOR, "cart_id", "product_id"))
+    keys = ["cart_id", "product_id"] if whole else [text]
+    if rejects:
+        latest = keep_latest_or_rejected(lines, keys, ties)
+    else:
+        # a digest skips NULLs, so lines of unknown carts would fuse into one
+        latest = keep_latest(lines.filter(F.col("cart_id").isNotNull()), keys, BATCH_COLUMN, ties)
+    latest = latest.drop(text)
+    found = lookup_key(latest, products.withColumn("sk_product", packed("sk_product")), "product_id", "sk_product")
+    found = lookup_key(found, clients.withColumn("sk_client", packed("sk_client")), "client_id", "sk_client")
+    if members:
+        found = found.observe(
+            members,
+            F.count(F.lit(1)).alias("lines_newest"),
             F.count_if(F.col("sk_product").isNull()).alias("lines_without_product"),
             F.count_if(F.col("sk_client").isNull()).alias("lines_without_client"),
-            F.count_if(F.col("cart_id").isNull()).alias("lines_without_cart"),
         )
-    ties = ["unit_price", "quantity", "net_amount", "gross_amount", "cart_total", "cart_discounted_total", "client_id", "row_id"]
-    if rejects:
-        return keep_latest_or_rejected(lines, ["hash_id"], ties)
-    # a digest skips NULLs, so lines of unknown carts would fuse into one
-    return keep_latest(lines.filter(F.col("cart_id").isNotNull()), ["hash_id"], BATCH_COLUMN, ties)
+    return found
 
 
 def ft_sale(
@@ -178,13 +193,18 @@ def ft_sale(
     observation: Observation | None = None,
     rejects: bool = False,
     reduce_products: bool = False,
+    members: Observation | None = None,
+    row_ids: bool = True,
 ) -> DataFrame:
     """Sale facts: lines of an unknown client or product are dropped, natural keys are not stored."""
-    lines = sale_lines_latest(bronze, products, clients, id_type, observation, rejects, reduce_products)
+    lines = sale_lines_latest(bronze, products, clients, id_type, observation, rejects, reduce_products, members, row_ids)
     if rejects:
         known = F.col("sk_product").isNotNull() & F.col("sk_client").isNotNull()
-        return lines.filter(known | F.col(REJECT).isNotNull()).drop("client_id", "product_id")
-    return resolved(lines, "sk_product", "sk_client").drop("client_id", "product_id")
+        lines = lines.filter(known | F.col(REJECT).isNotNull())
+    else:
+        lines = resolved(lines, "sk_product", "sk_client")
+    keyed = lines.select(hash_key("cart_id", "product_id").alias("hash_id"), "*").drop("client_id", "product_id")
+    return keyed.withColumns({name: unpacked(name) for name in ("row_id", "sk_product", "sk_client")})
 
 
 def sale_audit(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str = "bigint") -> DataFrame:

@@ -13,6 +13,7 @@ from typing import TypeVar
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from saleskiln.functions.keys import packed
 from saleskiln.operators import (
     QualityError,
     duplicate_keys,
@@ -325,12 +326,12 @@ def run_dim_product(warehouse: Warehouse) -> MergeResult:
 
 def run_ft_sale(warehouse: Warehouse) -> MergeResult:
     products, clients = warehouse.read("silver", "dim_product"), warehouse.read("silver", "dim_client")
-    lines = Observation()
+    lines, members = Observation(), Observation()
     rows = builds.ft_sale(
-        newest(warehouse, "carts"), products, clients, warehouse.id_type, lines, rejects=True, reduce_products=warehouse.reduces("dim_product")
+        newest(warehouse, "carts"), products, clients, warehouse.id_type, lines, rejects=True, reduce_products=warehouse.reduces("dim_product"), members=members
     )
     result = merge(warehouse, FT_SALE, rows, unique=True, touches=sold_to(warehouse))
-    log.info("silver.ft_sale: lines %s", lines.get)
+    log.info("silver.ft_sale: lines %s, members %s", lines.get, members.get)
     return result
 
 
@@ -340,11 +341,13 @@ def run_sales_by_client(warehouse: Warehouse, measure: str = builds.MEASURE) ->
 
     The touched clients are forgotten only after their totals are in place, so a failed run loses none.
     """
-    sales, clients = warehouse.read("silver", "ft_sale"), warehouse.read("silver", "dim_client")
+    # the surrogate only joins here, so it travels packed
+    short = lambda rows: rows.withColumn("sk_client", packed("sk_client"))
+    sales, clients = short(warehouse.read("silver", "ft_sale")), short(warehouse.read("silver", "dim_client"))
     touched = warehouse.touched("clients")
     known = warehouse.exists("gold", "sales_by_client") and touched is not None and last_measure(warehouse) == measure
     if known:
-        members = touched.distinct()
+        members = short(touched).distinct()
         rows = builds.sales_by_client(builds.sales_of(sales, members), builds.sales_of(clients, members), measure)
         result = merge(warehouse, SALES_BY_CLIENT, rows, unique=True, detail=measure)
     else:

@@ -18,14 +18,17 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from saleskiln.functions.keys import packed, unpacked
 from saleskiln.sources.schemas import BATCH_COLUMN, BRONZE_DDL
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 LAYERS = ("bronze", "silver", "gold", "staging", "ops")
 PART = "key_part"
+#: Columns of digests, which travel packed.
+DIGESTS = ("hash_id", "sk_client", "sk_product", "row_id")
 #: Held while a table that several steps share is written: appends to one folder clean up behind each other, and how
 #: partitions are overwritten is a setting of the session.
 SHARED_WRITES = threading.RLock()
@@ -50,6 +53,12 @@ def parse_bytes(size: str) -> int:
     return int(number) << 10 * " kmgt".index((size[len(number) :] + " ")[0].replace("b", " "))
 
 
+def compact(rows: DataFrame, fmt: str = "parquet") -> DataFrameWriter:
+    """Writer of a format; parquet with zstd, which halves hexadecimal digests, where the default leaves them as they are."""
+    writer = rows.write.format(fmt)
+    return writer.option("compression", "zstd") if fmt == "parquet" else writer
+
+
 def fresh_suffix() -> str:
     return f"{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}_{uuid.uuid4().hex[:6]}"
 
@@ -119,7 +128,7 @@ class Warehouse:
         """Append a bronze frame, one partition per batch so that newest-batch reads prune the rest."""
         name = self.name("bronze", table)
         columns = StructType.fromDDL(BRONZE_DDL).fieldNames()
-        writer = batch.select(*columns).write.format(self.fmt).mode("append")
+        writer = compact(batch.select(*columns), self.fmt).mode("append")
         writer.partitionBy(BATCH_COLUMN).saveAsTable(name)
 
     def batches(self, table: str) -> DataFrame:
@@ -144,10 +153,13 @@ class Warehouse:
         """
         name = self.name("staging", f"{table}_{fresh_suffix()}")
         if bucket_key and self.buckets:
-            dealt = batch.repartition(self.buckets, bucket_key).write.format("parquet")
+            digests = [name for name in DIGESTS if name in batch.columns]
+            short = batch.withColumns({name: packed(name) for name in digests})
+            key = unpacked(bucket_key) if bucket_key in digests else F.col(bucket_key)
+            dealt = compact(short.repartition(self.buckets, key).withColumns({name: unpacked(name) for name in digests}))
             dealt.bucketBy(self.buckets, bucket_key).sortBy(bucket_key).saveAsTable(name)
         else:
-            batch.write.format("parquet").saveAsTable(name)
+            compact(batch).saveAsTable(name)
         return name
 
     def stored_bytes(self, name: str) -> int:
@@ -168,7 +180,7 @@ class Warehouse:
     def write_version(self, layer: str, table: str, rows: DataFrame, bucket_key: str | None = None) -> str:
         """Store ``rows`` as a new version and return its table name; the public name still shows the old one."""
         version = self.name(layer, f"{table}__v{fresh_suffix()}")
-        writer = rows.write.format(self.fmt)
+        writer = compact(rows, self.fmt)
         if bucket_key and self.buckets:
             writer = writer.bucketBy(self.buckets, bucket_key).sortBy(bucket_key)
         writer.saveAsTable(version)
@@ -232,7 +244,7 @@ class Warehouse:
     def store_pending(self, layer: str, table: str, rows: DataFrame) -> str:
         """Keep what is to replace partitions until it has; only a finished write gets the name."""
         name = self.pending_name(layer, table)
-        rows.hint("rebalance", PART).write.format("parquet").saveAsTable(name)
+        compact(rows.hint("rebalance", PART)).saveAsTable(name)
         return name
 
     def replace_parts(self, layer: str, table: str) -> bool:
@@ -298,7 +310,7 @@ class Warehouse:
 
     def note_touched(self, what: str, members: DataFrame) -> None:
         """Remember members whose totals have to be made anew."""
-        members.write.format("parquet").mode("append").saveAsTable(self.name("ops", f"touched_{what}"))
+        compact(members).mode("append").saveAsTable(self.name("ops", f"touched_{what}"))
 
     def touched(self, what: str) -> DataFrame | None:
         name = self.name("ops", f"touched_{what}")

@@ -60,7 +60,7 @@ def totals(spark: SparkSession, sf_dir: str, ungated: bool = False) -> DataFrame
     named = builds.dim_client(users, ID, only=["client_id", "client_first_name", "client_last_name"])
     if ungated:
         named = named.withColumn("client_id", F.when(F.col("client_id") % 50 != 0, F.col("client_id")))
-    sales = builds.ft_sale(adapter.raw_carts(spark, sf_dir, grouped=True), products, known, ID)
+    sales = builds.ft_sale(adapter.raw_carts(spark, sf_dir, grouped=True), products, known, ID, row_ids=False)
     return builds.client_totals(sales, named) if ungated else builds.sales_by_client(sales, named)
 
 
@@ -136,7 +136,9 @@ def trial_rounds(spark: SparkSession, sf_dir: str, entities: tuple[str, ...]) ->
 
 def landed(warehouse: Warehouse, number: int, records: dict[str, DataFrame]) -> dict[str, DataFrame]:
     def pages(name: str) -> DataFrame:
-        folder = adapter.land_pages(adapter.raw(records[name], name), name, f"{warehouse.root}/landing/{number}/{name}")
+        base = f"{warehouse.root}/landing/{number}/{name}"
+        folder = adapter.land_pages(adapter.raw(records[name], name), name, base)
+        warehouse.drop_folder(f"{base}/records")
         return read_pages(warehouse.spark, folder, one_page_per_line=True)
 
     return dict(zip(records, runs.together(warehouse.spark, [partial(pages, name) for name in records])))
@@ -151,6 +153,7 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = Warehouse.scratch(spark, id_type=ID)
     for number, (batch_time, records) in enumerate(trial_rounds(spark, sf_dir, ("users", "products", "carts"))):
         runs.run_all(warehouse, landed(warehouse, number, records), batch_time)
+        warehouse.drop_folder(f"{warehouse.root}/landing/{number}")
     return settled(warehouse, warehouse.read("gold", "sales_by_client"))
 
 
