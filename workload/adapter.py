@@ -58,8 +58,11 @@ def copies_of(key: str, repeats: bool) -> str:
 def user_fields(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
     """One row per customer: the ``record`` a user has, and the balance that tells batches apart. With ``repeats``
     some customers have two records that differ."""
+    # Records are many times as wide as what they are made of, and a file of one row group is one task, which would sort
+    # all of them in the deduplication. Dealing the narrow rows bounds a task at every size.
+    narrow = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     people = (
-        table(spark, sf_dir, "customer")
+        narrow.hint("rebalance", "c_custkey")
         .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
         .selectExpr("*", copies_of("c_custkey", repeats))
@@ -142,7 +145,8 @@ def land_pages(records: DataFrame, entity: str, folder: str, per_page: int = 100
     the two reads that make offsets of them. Only one row per task meets in one place, and is broadcast.
     """
     spark = records.sparkSession
-    records.selectExpr("raw_json", "monotonically_increasing_id() AS number").write.parquet(f"{folder}/records")
+    numbered = records.selectExpr("raw_json", "monotonically_increasing_id() AS number")
+    numbered.write.option("compression", "zstd").parquet(f"{folder}/records")
     stored = spark.read.parquet(f"{folder}/records").selectExpr("raw_json", "shiftright(number, 33) AS task", "number & 8589934591 AS place")
     sizes = stored.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,5 +160,5 @@ def land_pages(records: DataFrame, entity: str, folder: str, per_page: int = 100
         .withColumn("total", total)
         .selectExpr(f"""concat('{{"{entity}":[', texts, '],"total":', total, ',"skip":', page * {per_page}, '}}') AS body""")
     )
-    pages.write.text(f"{folder}/pages")
+    pages.write.option("compression", "gzip").text(f"{folder}/pages")
     return f"{folder}/pages"
