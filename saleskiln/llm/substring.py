@@ -269,9 +269,9 @@ def drop_repeats(docs: DataFrame, text_column: str = "text", window: int = WINDO
     rows = scratch.write(segment_rows(texts, window, hot, bits_of(repeated, LOG_REPEATED)))
     distinct = rows.groupBy("key", "words").agg(F.count(F.lit(1)).alias("n"))
     masks = search_shards(distinct, window)
-    found = rows.select("row", "first", "segment").distinct().join(masks, "segment")
+    found = rows.select("row", "first", "segment").join(masks, "segment")
     spots = unused_name(docs, "_spots")
-    spans = scratch.write(found.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("first", "mask")).alias(spots)))
+    spans = scratch.write(found.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("first", "mask")).alias(spots)))
 
     def cut(both: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
