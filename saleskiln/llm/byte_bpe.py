@@ -9,6 +9,7 @@ lets an edited text be encoded again only near the edit.
 from __future__ import annotations
 
 import base64
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,9 @@ class PrefixBPE:
         self.longest = max(map(len, ranks), default=1)
         self.apart_memo: dict[int, bool] = {}
         self.alone_memo: dict[int, bool] = {}
-        self.pieces = Memo(self.piece_bytes, memo)
+        # no cycle through the memo: an encoder's tables are freed with its task, not when the collector comes round
+        make = weakref.WeakMethod(self.piece_bytes)
+        self.pieces = Memo(lambda pieces: make()(pieces), memo)
         # decoding table: the bytes of all tokens in a row, and where each starts
         size = max(self.bytes_of, default=-1) + 1
         self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], dtype=np.int64)

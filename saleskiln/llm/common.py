@@ -77,10 +77,13 @@ def batch_udf(schema: str, start: Callable[[], Callable[[list], Any]]) -> Callab
     SLICE_ROWS values to an Arrow array. Not marked deterministic, so that no filter makes Spark run it twice."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        work = start()
+        work, parts = start(), None
         for batch in batches:
             parts = [work(batch.slice(at, SLICE_ROWS).to_pylist()) for at in range(0, max(len(batch), 1), SLICE_ROWS)]
             yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+        # Python workers outlive their tasks, and the next one shares the executor's memory with this one
+        del work, parts
+        pa.default_memory_pool().release_unused()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return arrow_udf(run, schema).asNondeterministic()
