@@ -5,7 +5,8 @@ stand, and neighbouring windows mostly share one. Runs of windows with one key,
 to shards by that key: a shard holds every occurrence of its windows, and each document is streamed against those shards
 only that can hold a match. Keys that occur once are left out by a bitmap of fixed size. Equal runs become one with a
 count before they meet, and windows under a very frequent key get a hash of the whole window for a key, so no key
-gathers an unbounded group.
+gathers an unbounded group. What is keyed by the whole window is decided by counting; only the other segments, of
+which a key has less than ``HOT``, are sent with their words, once.
 
 A shard is cut at keys into blocks of bounded size, each with an FM-index over its words (numbered, so no hash decides
 what is equal). Matching statistics are taken from right to left; where a match breaks off, the search goes on at the
@@ -98,7 +99,8 @@ def window_keys(hashes: np.ndarray, window: int, hot: Bits) -> tuple[np.ndarray,
 
 
 class Segments:
-    """The segments of a few texts: ``text`` (number), ``first`` (window of it), ``count`` (windows) and ``key``."""
+    """The segments of a few texts: ``text`` (number), ``first`` (window of it), ``count`` (windows), ``key`` and
+    ``by_whole`` (whether the key is that of the window as a whole)."""
 
     def __init__(self, texts: list[str | None], window: int, hot: Bits, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
         self.words = [(t or "").encode().split() for t in texts]
@@ -110,14 +112,14 @@ class Segments:
         at = np.arange(len(keys))
         # windows of one text, and of these the wanted ones
         at = at[(at + window <= ends[text]) & wanted(keys, by_whole)] if len(keys) else at
-        key, text, place = keys[at], text[at], places[at]
+        key, text, place, by_whole = keys[at], text[at], places[at], by_whole[at]
         new = np.ones(len(at), bool)
-        new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
+        new[1:] = (place[1:] != place[:-1]) | (by_whole[1:] != by_whole[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
         starts = np.flatnonzero(new)
         new[(np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % LONGEST == 0] = True
         starts = np.flatnonzero(new)
         self.count = np.diff(np.append(starts, len(at)))
-        self.text, self.key = text[starts], key[starts]
+        self.text, self.key, self.by_whole = text[starts], key[starts], by_whole[starts]
         self.first = at[starts] - (ends - lengths)[self.text]
 
 
@@ -146,7 +148,7 @@ def key_counts(texts: DataFrame, window: int, hot: Bits | None = None) -> DataFr
 
 
 def segment_rows(texts: DataFrame, window: int, hot: Bits, repeated: Bits) -> DataFrame:
-    """(row, first, segment, key, words) of the segments whose key may occur elsewhere, for texts of (row, text)."""
+    """(row, first, segment, key, by_whole, words) of the segments whose key may occur elsewhere, for texts of (row, text)."""
     shared = texts.sparkSession.sparkContext.broadcast((hot, repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +158,10 @@ def segment_rows(texts: DataFrame, window: int, hot: Bits, repeated: Bits) -> Da
             keys, firsts = found.key.view(np.int64), found.first.tolist()
             words = [b" ".join(found.words[t][a : a + n + window - 1]) for t, a, n in zip(found.text.tolist(), firsts, found.count.tolist())]
             ids = [segment_id(k, w) for k, w in zip(keys.tolist(), words)]
-            columns = [part.column(0).take(pa.array(found.text)), pa.array(firsts, pa.int32()), pa.array(ids, pa.binary()), pa.array(keys), pa.array(words, pa.binary())]
-            yield pa.record_batch(columns, ["row", "first", "segment", "key", "words"])
+            columns = [part.column(0).take(pa.array(found.text)), pa.array(firsts, pa.int32()), pa.array(ids, pa.binary()), pa.array(keys), pa.array(found.by_whole), pa.array(words, pa.binary())]
+            yield pa.record_batch(columns, ["row", "first", "segment", "key", "by_whole", "words"])
 
-    return texts.mapInArrow(run, "row binary, first int, segment binary, key bigint, words binary")
+    return texts.mapInArrow(run, "row binary, first int, segment binary, key bigint, by_whole boolean, words binary")
 
 
 def repeated_windows(parts: list[list[bytes]], asked: np.ndarray, window: int) -> list[int]:
@@ -194,7 +196,8 @@ def repeated_windows(parts: list[list[bytes]], asked: np.ndarray, window: int) -
 
 
 def search_shards(segments: DataFrame, window: int) -> DataFrame:
-    """(segment, mask) of the distinct ``segments`` (key, words, n) that hold a repeated window."""
+    """(segment, mask) of the distinct ``segments`` (key, words) that hold a repeated window. A key should have a
+    bounded number of them: they are dealt by key as they are, and equal ones become one where they meet."""
 
     def block(keys: list[int], words: list[bytes], counts: list[int]) -> pa.RecordBatch:
         key, n = np.array(keys, np.int64), np.array(counts, np.int64)
@@ -230,7 +233,8 @@ def search_shards(segments: DataFrame, window: int) -> DataFrame:
         if keys:
             yield block(keys, words, counts)
 
-    return segments.select("key", "words", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, "segment binary, mask bigint")
+    distinct = segments.select("key", "words").repartition("key").groupBy("key", "words").agg(F.count(F.lit(1)).alias("n"))
+    return distinct.sortWithinPartitions("key").mapInArrow(run, "segment binary, mask bigint")
 
 
 def hit_words(n_words: int, found: list, window: int) -> np.ndarray:
@@ -267,8 +271,9 @@ def drop_repeats(docs: DataFrame, text_column: str = "text", window: int = WINDO
     if hot.data is not None:
         repeated = repeated.unionByName(scratch.write(key_counts(texts, window, hot).where("n > 1").select("key")))
     rows = scratch.write(segment_rows(texts, window, hot, bits_of(repeated, LOG_REPEATED)))
-    distinct = rows.groupBy("key", "words").agg(F.count(F.lit(1)).alias("n"))
-    masks = search_shards(distinct, window)
+    # a window under a key of its own is repeated if it is there twice; it can have any number of copies
+    copies = rows.where("by_whole").groupBy("segment").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("segment", F.lit(1).cast("bigint").alias("mask"))
+    masks = search_shards(rows.where("not by_whole"), window).unionByName(copies)
     found = rows.select("row", "first", "segment").join(masks, "segment")
     spots = unused_name(docs, "_spots")
     spans = scratch.write(found.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("first", "mask")).alias(spots)))

@@ -1,8 +1,11 @@
 """What operators leave behind, and what they shuffle."""
 
 import gc
+import re
 import weakref
 
+import numpy as np
+
 from saleskiln.llm import substring
 from saleskiln.llm.byte_bpe import PrefixBPE
 from tests.test_operators import plan_text
@@ -30,3 +33,29 @@ def test_segments_meet_their_masks_without_a_distinct_of_their_own(spark, monkey
     assert sorted((r.doc_id, r.n_removed, r.kept_words) for r in found) == [(1, 60, "x"), (2, 60, "y y"), (3, 60, ""), (3, 60, ""), (4, 0, "short"), (5, 0, "")]
     spans = plans[-1].split("== Optimized Logical Plan ==")[1]
     assert "collect_set" in spans and "Aggregate [row#" not in spans.replace("Aggregate [row#", "", 1)
+
+
+def test_words_of_segments_are_exchanged_once(spark, monkeypatch):
+    plans, write = [], substring.Scratch.write
+    monkeypatch.setattr(substring.Scratch, "write", lambda self, frame: plans.append(plan_text(frame)) or write(self, frame))
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60)))] * 3, "doc_id bigint, text string")
+    assert [r.n_removed for r in substring.drop_repeats(docs).collect()] == [60] * 3
+    physical = plans[-1].split("== Physical Plan ==")[1]
+    assert re.search(r"Exchange hashpartitioning\(key#\d+L, \d+\)", physical)
+    assert not re.search(r"hashpartitioning\([^)]*words#", physical)
+
+
+def test_windows_keep_their_keys_in_segments():
+    rng = np.random.default_rng(4)
+    hot = substring.Bits(substring.LOG_HOT, [])
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 400)) for _ in range(30)]
+    hashes = [np.array([substring.xxhash.xxh3_64_intdigest(w.encode()) for w in t.split()], np.uint64) for t in texts]
+    keys = np.unique(np.concatenate([substring.window_keys(h, 35, hot)[0] for h in hashes]))[::9]
+    low = (keys & np.uint64((1 << substring.LOG_HOT) - 1)).astype(np.int64)
+    hot.data = np.zeros(1 << (substring.LOG_HOT - 3), np.uint8)
+    np.bitwise_or.at(hot.data, low >> 3, (1 << (low & 7)).astype(np.uint8))
+    found = substring.Segments(texts, 35, hot, lambda keys, _: np.ones(len(keys), bool))
+    expected = [substring.window_keys(h, 35, hot) for h in hashes]
+    for text, first, count, key in zip(found.text, found.first, found.count, found.key):
+        assert (expected[text][0][first : first + count] == key).all()
+    assert found.count.sum() == sum(len(k) for k, _, _ in expected) and any(w.any() and not w.all() for _, _, w in expected)
