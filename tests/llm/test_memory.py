@@ -1,12 +1,14 @@
 """What operators leave behind, and what they shuffle."""
 
 import gc
+import itertools
+import random
 import re
 import weakref
 
 import numpy as np
 
-from saleskiln.llm import substring
+from saleskiln.llm import byte_bpe, substring
 from saleskiln.llm.byte_bpe import PrefixBPE
 from tests.test_operators import plan_text
 
@@ -59,3 +61,30 @@ def test_windows_keep_their_keys_in_segments():
     for text, first, count, key in zip(found.text, found.first, found.count, found.key):
         assert (expected[text][0][first : first + count] == key).all()
     assert found.count.sum() == sum(len(k) for k, _, _ in expected) and any(w.any() and not w.all() for _, _, w in expected)
+
+
+def test_short_pieces_are_encoded_together(monkeypatch):
+    rng = random.Random(5)
+    for seed in range(40):
+        tokens = [b"a", b"b", b"c", b" "]
+        while len(tokens) < 4 + seed % 20:
+            token = rng.choice(tokens) + rng.choice(tokens)
+            if token not in tokens:
+                tokens.append(token)
+        bpe = byte_bpe.PrefixBPE({token: 3 * rank + 1 for rank, token in enumerate(tokens)})
+        monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", rng.choice([1, 50, 1 << 17]))
+        monkeypatch.setattr(byte_bpe, "GROUP_CHARS", rng.choice([1, 300, 1 << 20]))
+        texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 9, 64, 65, 200]))) for _ in range(rng.randint(0, 9))) for _ in range(20)]
+        expected = [[i for piece in bpe.split(text) for i in bpe.encode_piece(piece.encode())] for text in texts]
+        alone, extend = [], bpe.extend
+        bpe.extend = lambda data, *more: alone.append(data) or extend(data, *more)
+        assert [ids.tolist() for ids in bpe.encode_texts(texts)] == expected
+        assert all(len(data) > byte_bpe.SHORT for data in alone)
+        assert [bpe.decode(ids).decode() for ids in bpe.encode_texts(texts)] == texts
+
+
+def test_pairs_that_share_a_place_are_told_apart(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LOG_PAIRS", 1)
+    bpe = byte_bpe.PrefixBPE({b"a": 0, b"b": 1, b"ab": 2, b"aba": 3, b"bb": 4})
+    words = [w for n in range(1, 8) for w in map(bytes, itertools.product(b"ab", repeat=n)) if w not in bpe.ranks]
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in bpe.encode_pieces(words)] == [bpe.encode_piece(w) for w in words]
