@@ -72,17 +72,37 @@ def with_struct(frame: DataFrame, result: Column, names: Iterable[str]) -> DataF
     return out.withColumns({name: F.col(packed)[name] for name in names}).drop(packed)
 
 
-def batch_udf(schema: str, start: Callable[[], Callable[[list], Any]]) -> Callable[[Column], Column]:
+#: What this process keeps for its next tasks, and its name.
+KEPT: list[tuple[str, Any]] = []
+
+
+def built_once(name: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, once per process for the tasks of one name in a row."""
+    if not KEPT or KEPT[0][0] != name:
+        forget()
+        KEPT.append((name, build()))
+    return KEPT[0][1]
+
+
+def forget() -> None:
+    KEPT.clear()
+
+
+def batch_udf(schema: str, start: Callable[[], Callable[[list], Any]], keeps: bool = False) -> Callable[[Column], Column]:
     """Arrow function of one column. ``start`` runs once per task and returns what maps a list of at most
-    SLICE_ROWS values to an Arrow array. Not marked deterministic, so that no filter makes Spark run it twice."""
+    SLICE_ROWS values to an Arrow array; each goes back to Spark by itself, so that no task holds the results of a whole
+    batch. Not marked deterministic, so that no filter makes Spark run it twice. Unless it ``keeps``, that is uses
+    ``built_once``, it frees what the worker's tasks before it kept."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        work, parts = start(), None
+        if not keeps:
+            forget()
+        work = start()
         for batch in batches:
-            parts = [work(batch.slice(at, SLICE_ROWS).to_pylist()) for at in range(0, max(len(batch), 1), SLICE_ROWS)]
-            yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+            for at in range(0, max(len(batch), 1), SLICE_ROWS):
+                yield work(batch.slice(at, SLICE_ROWS).to_pylist())
         # Python workers outlive their tasks, and the next one shares the executor's memory with this one
-        del work, parts
+        del work
         pa.default_memory_pool().release_unused()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

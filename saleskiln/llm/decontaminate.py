@@ -5,7 +5,7 @@ to the original. The automaton (Aho-Corasick) finds every window wherever it beg
 each word of the items is one symbol, all other words are a symbol of no window. Its size is that of the benchmark: the
 items are collected only up to ``BLOCK_BYTES`` of text; a larger benchmark is cut into blocks of items of that size, each
 with an automaton of its own, and the passages found by the blocks are joined per document. A worker process builds the
-automaton of a block once and keeps it for its next tasks.
+automaton of a block once and keeps it for its next tasks, until a task of another operator comes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from saleskiln.llm.common import Scratch, batch_udf, unused_name, with_struct
+from saleskiln.llm.common import Scratch, batch_udf, built_once, unused_name, with_struct
 
 WINDOW_WORDS = 10
 #: Benchmark text that one automaton holds: measured at 0.11 GB for 1 MB of text without repeats (tests/llm holds it to
@@ -107,23 +107,12 @@ def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, block_by
     return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k) for k in range(count)]
 
 
-#: The scanner that this process built last, and what it was built for.
-BUILT: list[tuple[str, Scanner]] = []
-
-
-def scanner_for(name: str, items: list[tuple[int, str]], size: int) -> Scanner:
-    if not BUILT or BUILT[0][0] != name:
-        BUILT[:] = []
-        BUILT.append((name, Scanner(items, size)))
-    return BUILT[0][1]
-
-
 def scan_with(docs: DataFrame, items: list[tuple[int, str]], text_column: str, size: int) -> DataFrame:
     """``docs`` with n_words, n_hit, items and spans of one automaton."""
     shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def start():
-        scanner = scanner_for(name, shared.value, size)
+        scanner = built_once(name, lambda: Scanner(shared.value, size))
 
         def work(texts: list) -> pa.Array:
             rows = [scanner.spans(text or "") for text in texts]
@@ -140,7 +129,7 @@ def scan_with(docs: DataFrame, items: list[tuple[int, str]], text_column: str, s
         return work
 
     schema = f"n_words bigint, n_hit bigint, items array<bigint>, spans array<{SPAN}>"
-    return with_struct(docs, batch_udf(schema, start)(F.col(text_column)), ["n_words", "n_hit", "items", "spans"])
+    return with_struct(docs, batch_udf(schema, start, keeps=True)(F.col(text_column)), ["n_words", "n_hit", "items", "spans"])
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -7,8 +7,9 @@ import re
 import weakref
 
 import numpy as np
+import pyarrow as pa
 
-from saleskiln.llm import byte_bpe, substring
+from saleskiln.llm import byte_bpe, common, substring
 from saleskiln.llm.byte_bpe import PrefixBPE
 from tests.test_operators import plan_text
 
@@ -88,3 +89,13 @@ def test_pairs_that_share_a_place_are_told_apart(monkeypatch):
     bpe = byte_bpe.PrefixBPE({b"a": 0, b"b": 1, b"ab": 2, b"aba": 3, b"bb": 4})
     words = [w for n in range(1, 8) for w in map(bytes, itertools.product(b"ab", repeat=n)) if w not in bpe.ranks]
     assert [np.frombuffer(ids, np.int32).tolist() for ids in bpe.encode_pieces(words)] == [bpe.encode_piece(w) for w in words]
+
+
+def test_results_go_back_slice_by_slice_and_kept_tables_are_freed(spark):
+    made = [common.built_once("a", lambda: [1]), common.built_once("a", lambda: [2])]
+    assert made == [[1], [1]] and common.built_once("b", lambda: [3]) == [3] and len(common.KEPT) == 1
+    rows = common.SLICE_ROWS * 2 + 5
+    keeping = common.batch_udf("bigint", lambda: pa.array, keeps=True).func(iter([pa.array(range(rows))]))
+    assert [len(part) for part in keeping] == [common.SLICE_ROWS, common.SLICE_ROWS, 5] and common.KEPT
+    freeing = common.batch_udf("bigint", lambda: pa.array).func(iter([pa.array(range(rows)), pa.array([], pa.int64())]))
+    assert [x for part in freeing for x in part.to_pylist()] == list(range(rows)) and not common.KEPT
