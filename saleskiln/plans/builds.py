@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import IntegralType, StructType
 
 from saleskiln.functions import hash_key, invalid_email, surrogate_key
@@ -133,6 +133,22 @@ def keep_latest_or_rejected(rows: DataFrame, keys: list[str], ties: list[str]) -
     return keep_latest(marked, [*keys, own], BATCH_COLUMN, ties).drop(own)
 
 
+def surrogate_of(entity: str, ids: DataFrame, other: DataFrame) -> Column | None:
+    """The surrogate that an id has by its definition, if the id is of one type in both frames, so that its text is too."""
+    key = f"{entity}_id"
+    return surrogate_key(entity, key) if ids.schema[key].dataType == other.schema[key].dataType else None
+
+
+def with_surrogates(lines: DataFrame, products: DataFrame, clients: DataFrame) -> DataFrame:
+    """``lines`` with ``sk_product`` and ``sk_client`` as ``packed`` by ``surrogate_of``."""
+    found = lines
+    for entity, members in (("product", products), ("client", clients)):
+        key, surrogate = f"{entity}_id", f"sk_{entity}"
+        short = packed(surrogate, surrogate_of(entity, members, lines))
+        found = lookup_key(found, members.select(key, short.alias(surrogate)), key, surrogate)
+    return found
+
+
 def sale_lines_latest(
     bronze: DataFrame,
     products: DataFrame,
@@ -144,12 +160,15 @@ def sale_lines_latest(
     members: Observation | None = None,
     row_ids: bool = True,
 ) -> DataFrame:
-    """Newest line per cart and product, with both surrogates ``packed``, NULL where a member is unknown; ``row_id`` is
-    packed as well, and there is no ``hash_id`` yet.
+    """Newest line per cart and product, with both surrogates ``packed`` by ``surrogate_of``, NULL where a member is
+    unknown or there is no product; ``row_id`` is packed as well, and there is no ``hash_id`` yet.
 
     What goes through the exchanges decides what a fact load costs, so the deduplication is by the ids that the digest
     is made of, and comes ahead of the lookups: left joins on members that occur once change no line. Digests travel
-    packed. Without ``row_ids`` the winners' ids are arbitrary: lines that are equal in all else differ in nothing but that.
+    packed, and surrogates that follow from the id as one byte. Whole lines go through the exchange of the deduplication
+    only: the lookups are of the ids alone, and what they find comes back to the lines, which are still dealt by their key.
+    Both read the same exchange. Without ``row_ids`` the winners' ids are arbitrary: lines that are equal in all else differ
+    in nothing but that. Such lines are for readers of few columns, and go through the lookups themselves.
     ``reduce_products`` drops lines of unknown products by a bitmap ahead of it all. That is safe for products, which
     are part of the key; a line of an unknown client may be the newest of its key and has to come along.
     ``observation`` counts the lines read, ``members`` the newest ones and their unknown members.
@@ -162,27 +181,34 @@ def sale_lines_latest(
     lines = lines.withColumn("row_id", packed("row_id"))
     ties = ["unit_price", "quantity", "net_amount", "gross_amount", "cart_total", "cart_discounted_total", "client_id", *(["row_id"] if row_ids else [])]
     whole = {"product_id", "cart_id"} <= {field.name for field in lines.schema if isinstance(field.dataType, IntegralType)}
-    text = free_name(lines, "key_text")
+    text, own = free_name(lines, "key_text"), free_name(lines, "own_key")
     if not whole:
         # as texts, different ids may be joined to the same text, which is one key
         lines = lines.withColumn(text, F.concat_ws(KEY_SEPARATOR, "cart_id", "product_id"))
     keys = ["cart_id", "product_id"] if whole else [text]
     if rejects:
-        latest = keep_latest_or_rejected(lines, keys, ties)
+        # rejected lines have no key; each is a key of its own, so that all of them stay
+        lines = lines.withColumn(own, F.when(F.col(REJECT).isNotNull(), F.col("row_id")).otherwise(F.lit(b"")))
+        keys = [*keys, own]
+        # the order names every column: one that it left out would be pruned below the lookups, and the exchange be another
+        ties += [REJECT, REJECTED_TEXT]
     else:
         # a digest skips NULLs, so lines of unknown carts would fuse into one
-        latest = keep_latest(lines.filter(F.col("cart_id").isNotNull()), keys, BATCH_COLUMN, ties)
-    latest = latest.drop(text)
-    found = lookup_key(latest, products.withColumn("sk_product", packed("sk_product")), "product_id", "sk_product")
-    found = lookup_key(found, clients.withColumn("sk_client", packed("sk_client")), "client_id", "sk_client")
-    if members:
+        lines = lines.filter(F.col("cart_id").isNotNull())
+    latest = keep_latest(lines, keys, BATCH_COLUMN, ties)
+    ids = [*keys, *[name for name in ("product_id", "client_id") if name not in keys]]
+    found = with_surrogates(latest.select(*ids) if row_ids else latest, products, clients)
+    if members or rejects:
+        # counted with rejects in any case: the join below would send its null tests through to one reader of the exchange
         found = found.observe(
-            members,
+            members or Observation(),
             F.count(F.lit(1)).alias("lines_newest"),
             F.count_if(F.col("sk_product").isNull()).alias("lines_without_product"),
             F.count_if(F.col("sk_client").isNull()).alias("lines_without_client"),
         )
-    return found
+    if row_ids:
+        found = latest.join(found.select(*keys, "sk_product", "sk_client"), keys, "left")
+    return found.drop(text, own)
 
 
 def ft_sale(
@@ -203,8 +229,11 @@ def ft_sale(
         lines = lines.filter(known | F.col(REJECT).isNotNull())
     else:
         lines = resolved(lines, "sk_product", "sk_client")
-    keyed = lines.select(hash_key("cart_id", "product_id").alias("hash_id"), "*").drop("client_id", "product_id")
-    return keyed.withColumns({name: unpacked(name) for name in ("row_id", "sk_product", "sk_client")})
+    surrogates = {
+        f"sk_{entity}": unpacked(f"sk_{entity}", surrogate_of(entity, lines, frame)) for entity, frame in (("product", products), ("client", clients))
+    }
+    keyed = lines.select(hash_key("cart_id", "product_id").alias("hash_id"), "*").withColumns({"row_id": unpacked("row_id"), **surrogates})
+    return keyed.drop("client_id", "product_id")
 
 
 def sale_audit(bronze: DataFrame, products: DataFrame, clients: DataFrame, id_type: str = "bigint") -> DataFrame:

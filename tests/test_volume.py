@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from saleskiln.functions import hash_key
+from saleskiln.functions import hash_key, surrogate_key
 from saleskiln.functions.keys import packed, unpacked
 from saleskiln.plans import builds
 from saleskiln.sources.tables import Warehouse
@@ -49,6 +49,38 @@ def test_lines_are_deduplicated_ahead_of_the_lookups(spark):
             assert sorted(map(tuple, bare.drop("row_id").collect())) == sorted(map(tuple, frame.where("sk_product is not null").select(*bare.drop("row_id").columns).collect()))
 
 
+def test_whole_lines_are_exchanged_once(spark):
+    frames = {}
+    for entity in ("product", "client"):
+        rows = spark.range(1, 3).select(F.col("id").alias(f"{entity}_id"), surrogate_key(entity, "id").alias(f"sk_{entity}"))
+        # the second member has a surrogate of another making
+        frames[entity] = rows.withColumn(f"sk_{entity}", F.when(F.col(f"{entity}_id") == 1, F.col(f"sk_{entity}")).otherwise(f"{entity} 2"))
+    set_to = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in set_to}
+    for name, value in set_to.items():
+        spark.conf.set(name, value)
+    try:
+        for rejects in (False, True):
+            frame = builds.ft_sale(carts(spark, "bigint"), frames["product"], frames["client"], rejects=rejects)
+            physical = plan_text(frame).split("== Physical Plan ==")[1]
+            reused = [line for line in physical.splitlines() if "ReusedExchange" in line]
+            assert len(reused) == 1 and "hashpartitioning(cart_id" in reused[0] and "cart_discounted_total" in reused[0]
+            lookups = [line for line in physical.splitlines() if "hashpartitioning(product_id" in line or "hashpartitioning(client_id" in line]
+            assert len(lookups) == 2
+            one = {entity: rows.first()[f"sk_{entity}"] for entity, rows in frames.items()}
+            found = sorted((r.cart_id, r.sk_product, r.sk_client, r.unit_price) for r in frame.where("sk_product is not null").collect())
+            assert found == sorted([(1, one["product"], one["client"], 3.0), (1, "product 2", one["client"], 4.0), (3, one["product"], "client 2", 7.0)])
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_what_a_reader_can_work_out_travels_as_one_byte(spark):
+    frame = spark.createDataFrame([("ab", "ab"), ("ab", "cd"), ("x", "x"), ("ab", None), (None, "ab"), ("", ""), (None, None)], "t string, k string")
+    rows = frame.select("t", "k", packed("t", F.col("k")).alias("p")).select("*", unpacked("p", F.col("k")).alias("back")).collect()
+    assert all(r.t == r.back for r in rows) and [len(r.p) for r in rows if r.t is not None] == [1, 2, 1, 2, 1]
+
+
 def test_strings_joined_to_one_text_are_one_key(spark):
     text = '{"id":"%s","userId":"1","total":1.0,"products":[{"id":"%s","price":%s}]}'
     rows = [(text % parts, "2024-05-01 08:00:00", str(k)) for k, parts in enumerate([("a-b", "c", 2.0), ("a", "b-c", 1.0)])]

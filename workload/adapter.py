@@ -101,10 +101,11 @@ def cart_fields(spark: SparkSession, sf_dir: str, grouped: bool = False) -> Data
     order on the side of the lines. Orders without lines would vanish in the explode anyway.
     """
     orders = table(spark, sf_dir, "orders")
-    lines = line_groups(spark, sf_dir) if grouped else table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"array({LINE}) AS products")
+    # a line becomes an array behind the exchange, as its columns alone are narrower
+    lines, products = (line_groups(spark, sf_dir), "products") if grouped else (table(spark, sf_dir, "lineitem"), f"array({LINE}) AS products")
     return orders.join(lines.hint("merge"), F.expr("o_orderkey = l_orderkey")).selectExpr(
-        """struct(o_orderkey AS id, o_custkey AS userId, o_totalprice AS total, o_totalprice * 0.5D AS discountedTotal,
-                  products) AS record""",
+        f"""struct(o_orderkey AS id, o_custkey AS userId, o_totalprice AS total, o_totalprice * 0.5D AS discountedTotal,
+                  {products}) AS record""",
         "o_orderstatus AS status",
     )
 
