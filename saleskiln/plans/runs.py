@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial, reduce
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from saleskiln.functions.keys import packed
 from saleskiln.operators import (
     QualityError,
+    UpsertRule,
     duplicate_keys,
     insert_all,
     judge,
@@ -30,7 +31,7 @@ from saleskiln.plans.contracts import DIM_CLIENT, DIM_PRODUCT, FT_SALE, SALES_BY
 from saleskiln.sources.bronze import with_batch
 from saleskiln.sources.pages import coverage_report, kept_records, staged_pages
 from saleskiln.sources.schemas import ENTITIES
-from saleskiln.sources.tables import PART, Warehouse
+from saleskiln.sources.tables import PART, Warehouse, dealt_by, with_packed, with_unpacked
 
 log = logging.getLogger(__name__)
 
@@ -102,6 +103,7 @@ def ingest(warehouse: Warehouse, entity: str, pages: DataFrame, batch_time: str)
         warehouse.append_batch(entity, with_batch(records, batch_time, "page_source", row_id_from=origin))
     finally:
         warehouse.drop_staged(staged_name)
+    warehouse.free_exchanges()
     result = IngestResult(
         entity,
         warehouse.batch_rows(entity, batch_time) - before,
@@ -142,7 +144,9 @@ def merge(
     schema = contract.schema(warehouse.id_type)
     if warehouse.dealt:
         warehouse.replace_parts(layer, table)
-    staged_name = warehouse.stage(batch, table, rule.keys[0] if contract.bucketed else None)
+    # without a table there is nothing to join with, and how many buckets it needs shows when the batch is stored
+    buckets = warehouse.buckets_of(layer, table) if bucketed(warehouse, contract) else 0
+    staged_name = warehouse.stage(batch, table, rule.keys[0], buckets)
     try:
         staged = warehouse.spark.read.table(staged_name)
         if observation is not None:
@@ -161,9 +165,10 @@ def merge(
         elif warehouse.dealt:
             result = merge_parts(warehouse, contract, staged, source_rows)
         else:
-            result = merge_version(warehouse, contract, staged, staged_name, source_rows)
+            result = merge_version(warehouse, contract, staged, staged_name, source_rows, buckets)
     finally:
         warehouse.drop_staged(staged_name)
+    warehouse.free_exchanges()
     log.info("%s", result)
     warehouse.log_run(
         step="merge", table=result.table, rows_written=result.rows_inserted + result.rows_updated, source_rows=result.source_rows,
@@ -172,17 +177,40 @@ def merge(
     return result
 
 
-def merge_version(warehouse: Warehouse, contract: TableContract, staged: DataFrame, staged_name: str, source_rows: int) -> MergeResult:
-    """The upsert as a new version of the table, published once it is whole."""
+def bucketed(warehouse: Warehouse, contract: TableContract) -> bool:
+    return contract.bucketed and warehouse.buckets > 0 and not warehouse.dealt and not warehouse.native_merge
+
+
+def merge_version(
+    warehouse: Warehouse, contract: TableContract, staged: DataFrame, staged_name: str, source_rows: int, buckets: int = 0
+) -> MergeResult:
+    """The upsert as a new version of the table, published once it is whole; ``buckets`` are those of the one before and of
+    the staged batch, or 0."""
     layer, table, rule = contract.layer, contract.table, contract.rule
     if warehouse.exists(layer, table):
         target = warehouse.read(layer, table)
         rows_before = target.count()
     else:
         target, rows_before = warehouse.spark.createDataFrame([], contract.schema(warehouse.id_type)), 0
-    small = source_rows <= warehouse.small_batch_rows and warehouse.stored_bytes(staged_name) <= warehouse.small_batch_bytes
-    merged = merged_rows(warehouse, contract, target, rows_before, staged, small)
-    version = warehouse.write_version(layer, table, merged, rule.keys[0] if contract.bucketed else None)
+    small = source_rows <= warehouse.small_batch_rows and few_rows(warehouse, staged_name)
+    hits = None
+    try:
+        if rows_before and not small and not bucketed(warehouse, contract):
+            hits = warehouse.stage(hit_keys(target, staged, rule), f"{table}_hits")
+        if hits and few_rows(warehouse, hits):
+            merged = upsert_few_hits(target, staged, warehouse.spark.read.table(hits), rule)
+        else:
+            merged = merged_rows(warehouse, contract, target, rows_before, staged, small)
+        wanted = 0
+        if bucketed(warehouse, contract):
+            held = warehouse.stored_bytes(warehouse.published(layer, table)) if buckets else 0
+            wanted = warehouse.buckets_for(held + warehouse.stored_bytes(staged_name), buckets)
+            if wanted != buckets:
+                merged = dealt_by(merged, rule.keys[0], wanted)
+        version = warehouse.write_version(layer, table, merged, rule.keys[0], wanted)
+    finally:
+        if hits:
+            warehouse.drop_staged(hits)
     try:
         inserted = checked_growth(contract, warehouse.spark.read.table(version).count() - rows_before, source_rows)
         warehouse.publish(layer, table, version)
@@ -205,7 +233,7 @@ def merge_parts(warehouse: Warehouse, contract: TableContract, staged: DataFrame
     name = warehouse.create_parts(layer, table, contract.schema(warehouse.id_type))
     held = warehouse.touched_parts(name, staged, rule.keys[0]).drop(PART)
     rows_before = held.count()
-    merged = upsert(held, staged, rule).select(*held.columns, warehouse.part_of(rule.keys[0]).alias(PART))
+    merged = upsert_packed(held, staged, rule).select(*held.columns, warehouse.part_of(rule.keys[0]).alias(PART))
     pending = warehouse.store_pending(layer, table, merged)
     try:
         inserted = checked_growth(contract, warehouse.spark.read.table(pending).count() - rows_before, source_rows)
@@ -246,14 +274,40 @@ def merged_rows(
     shuffled, and because each task then holds exactly one bucket, the new version gets one file per bucket.
     That rules out the map-only rewrite, whose tasks would each write to all buckets.
     """
-    bucketed = contract.bucketed and warehouse.buckets > 0
+    in_buckets = bucketed(warehouse, contract)
     if target_rows == 0:
         return insert_all(target, staged, contract.rule)
-    if small and not bucketed:
-        rows = upsert_small_batch(target, F.broadcast(staged), contract.rule)
-    else:
-        rows = upsert(target, staged, contract.rule)
-    return rows.select(*target.columns)
+    if small and not in_buckets:
+        return upsert_small_batch(target, F.broadcast(staged), contract.rule).select(*target.columns)
+    return upsert_packed(target, staged, contract.rule, contract.rule.keys if in_buckets else ())
+
+
+def few_rows(warehouse: Warehouse, name: str) -> bool:
+    """Whether a stored table may be broadcast; files come first, as rows are counted from them."""
+    return warehouse.stored_bytes(name) <= warehouse.small_batch_bytes and warehouse.spark.read.table(name).count() <= warehouse.small_batch_rows
+
+
+def hit_keys(target: DataFrame, staged: DataFrame, rule: UpsertRule) -> DataFrame:
+    """Keys of the batch that the target has; nothing but keys goes through the exchange."""
+    keys = list(rule.keys)
+    return with_unpacked(with_packed(staged.select(keys)).join(with_packed(target.select(keys)), keys, "left_semi"))
+
+
+def upsert_few_hits(target: DataFrame, staged: DataFrame, hits: DataFrame, rule: UpsertRule) -> DataFrame:
+    """The upsert of a large batch that changes few rows of the target: those are broadcast, the others of both sides are
+    written as they are, and no row goes through an exchange."""
+    keys = list(rule.keys)
+    changed = staged.join(F.broadcast(hits), keys, "left_semi").select(*staged.columns)
+    added = staged.join(F.broadcast(hits), keys, "left_anti").select(*staged.columns)
+    rewritten = upsert_small_batch(target, F.broadcast(changed), rule).select(*target.columns)
+    return rewritten.unionByName(insert_all(target, added, rule))
+
+
+def upsert_packed(target: DataFrame, staged: DataFrame, rule: UpsertRule, but: Sequence[str] = ()) -> DataFrame:
+    """Columns of the target after ``upsert``, whose exchanges and sorts get the digests packed, other than those named:
+    a key that both sides are bucketed on has to stay as it is."""
+    rows = upsert(with_packed(target, but), with_packed(staged, but), rule)
+    return with_unpacked(rows.select(*target.columns), but)
 
 
 def merge_into(warehouse: Warehouse, contract: TableContract, staged: DataFrame, source_rows: int) -> MergeResult:
@@ -303,11 +357,13 @@ def sold_to(warehouse: Warehouse) -> Touches:
     """Notes the clients of a batch's lines, and those who had one of them before."""
 
     def note(staged: DataFrame, table: DataFrame | None) -> None:
-        members = staged.select("sk_client")
+        but = FT_SALE.rule.keys if bucketed(warehouse, FT_SALE) else ()
+        lines = with_packed(staged.select("hash_id", "sk_client"), but)
+        members = lines.select("sk_client")
         if table is not None:
-            moved = table.select("hash_id", "sk_client").join(staged.select("hash_id", F.col("sk_client").alias("new")), "hash_id")
+            moved = with_packed(table.select("hash_id", "sk_client"), but).join(lines.withColumnRenamed("sk_client", "new"), "hash_id")
             members = members.unionByName(moved.filter(F.col("sk_client") != F.col("new")).select("sk_client"))
-        warehouse.note_touched("clients", members.distinct())
+        warehouse.note_touched("clients", with_unpacked(members.distinct()))
 
     return note
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -29,6 +30,8 @@ LAYERS = ("bronze", "silver", "gold", "staging", "ops")
 PART = "key_part"
 #: Columns of digests, which travel packed.
 DIGESTS = ("hash_id", "sk_client", "sk_product", "row_id")
+#: Files of a bucket when its table is dealt anew, and how many times as large it may grow until then.
+BUCKET_BYTES, BUCKET_GROWTH = 32 << 20, 4
 #: Held while a table that several steps share is written: appends to one folder clean up behind each other, and how
 #: partitions are overwritten is a setting of the session.
 SHARED_WRITES = threading.RLock()
@@ -53,6 +56,26 @@ def parse_bytes(size: str) -> int:
     return int(number) << 10 * " kmgt".index((size[len(number) :] + " ")[0].replace("b", " "))
 
 
+def with_packed(rows: DataFrame, but: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with their digests packed, other than those named."""
+    return rows.withColumns({name: packed(name) for name in digests_of(rows, but)})
+
+
+def with_unpacked(rows: DataFrame, but: Sequence[str] = ()) -> DataFrame:
+    """The rows that ``with_packed`` was given."""
+    return rows.withColumns({name: unpacked(name) for name in digests_of(rows, but)})
+
+
+def digests_of(rows: DataFrame, but: Sequence[str] = ()) -> list[str]:
+    return [name for name in DIGESTS if name in rows.columns and name not in but]
+
+
+def dealt_by(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """``rows`` in ``count`` parts as a table of so many buckets on ``key`` has them; digests travel packed."""
+    short = with_packed(rows)
+    return with_unpacked(short.repartition(count, unpacked(key) if key in digests_of(rows) else F.col(key)))
+
+
 def compact(rows: DataFrame, fmt: str = "parquet") -> DataFrameWriter:
     """Writer of a format; parquet with zstd, which halves hexadecimal digests, where the default leaves them as they are."""
     writer = rows.write.format(fmt)
@@ -67,8 +90,8 @@ def fresh_suffix() -> str:
 class Warehouse:
     """Where the layers live: ``<prefix><layer>.<table>``, stored below ``root``.
 
-    ``buckets`` is the bucket count of bucketed contracts (0 = none); size it so that one bucket of the
-    table is a few hundred MB. A staged batch within both ``small_batch_bytes`` (of files) and
+    ``buckets`` is the smallest bucket count of bucketed contracts (0 = none); a table that outgrows it is dealt to a
+    multiple of it. A staged batch within both ``small_batch_bytes`` (of files) and
     ``small_batch_rows`` is merged by broadcasting it. ``partitions`` (0 = none) deals upserted tables by their
     key, so that a batch rewrites only what it touches; it takes the place of versions and buckets.
     """
@@ -145,23 +168,38 @@ class Warehouse:
         """Rows stored of one batch; reads file footers of that partition only."""
         return self.read("bronze", table).filter(F.col(BATCH_COLUMN) == batch_time).count()
 
-    def stage(self, batch: DataFrame, table: str, bucket_key: str | None = None) -> str:
+    def stage(self, batch: DataFrame, table: str, bucket_key: str | None = None, buckets: int | None = None) -> str:
         """Write a batch to the staging layer: its plan runs once, and lineage ends on shared storage.
 
-        With ``bucket_key`` (and ``buckets``) it is bucketed as the table is that it goes into, one file per
-        bucket, so that the join with that table needs no exchange on either side.
+        With ``bucket_key`` it is bucketed as the table is that it goes into (``buckets``, else as many as the warehouse
+        has; 0 = not), one file per bucket, so that the join with that table needs no exchange on either side.
         """
         name = self.name("staging", f"{table}_{fresh_suffix()}")
-        if bucket_key and self.buckets:
-            digests = [name for name in DIGESTS if name in batch.columns]
-            short = batch.withColumns({name: packed(name) for name in digests})
-            key = unpacked(bucket_key) if bucket_key in digests else F.col(bucket_key)
-            dealt = compact(short.repartition(self.buckets, key).withColumns({name: unpacked(name) for name in digests}))
-            dealt.bucketBy(self.buckets, bucket_key).sortBy(bucket_key).saveAsTable(name)
+        count = self.buckets if buckets is None else buckets
+        if bucket_key and count:
+            compact(dealt_by(batch, bucket_key, count)).bucketBy(count, bucket_key).sortBy(bucket_key).saveAsTable(name)
         else:
             compact(batch).saveAsTable(name)
         return name
 
+    def buckets_of(self, layer: str, table: str) -> int:
+        """Buckets of the published version; 0 without one."""
+        version = self.published(layer, table)
+        if not version:
+            return 0
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {version}").filter("col_name = 'Num Buckets'").first()
+        return int(described.data_type) if described else 0
+
+    def buckets_for(self, size: int, now: int = 0) -> int:
+        """Buckets for a table of ``size`` bytes that has ``now``: as it is while its buckets are small enough, else a multiple
+        of ``buckets``. A bucket is sorted by one task, which a large one makes spill all of it."""
+        if now and size <= now * BUCKET_BYTES * BUCKET_GROWTH:
+            return now
+        count = self.buckets
+        while size > count * BUCKET_BYTES:
+            count *= 2
+        return max(count, now)
+
     def stored_bytes(self, name: str) -> int:
         """Size of a table's files, taken from the file system without reading them."""
         self.spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS NOSCAN")
@@ -172,17 +210,23 @@ class Warehouse:
     def drop_staged(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
+    def free_exchanges(self) -> None:
+        """Have the files of finished exchanges removed: Spark does so when the driver's memory is swept, by itself only
+        every half hour or as the heap fills, and until then those of all steps add up on the executors' disks."""
+        self.spark._jvm.System.gc()
+
     def create_empty(self, layer: str, table: str, schema: StructType) -> None:
         """Create a table of a MERGE-capable format from its contract if it does not exist."""
         if not self.exists(layer, table):
             self.spark.createDataFrame([], schema).write.format(self.fmt).saveAsTable(self.name(layer, table))
 
-    def write_version(self, layer: str, table: str, rows: DataFrame, bucket_key: str | None = None) -> str:
+    def write_version(self, layer: str, table: str, rows: DataFrame, bucket_key: str | None = None, buckets: int | None = None) -> str:
         """Store ``rows`` as a new version and return its table name; the public name still shows the old one."""
         version = self.name(layer, f"{table}__v{fresh_suffix()}")
         writer = compact(rows, self.fmt)
-        if bucket_key and self.buckets:
-            writer = writer.bucketBy(self.buckets, bucket_key).sortBy(bucket_key)
+        count = self.buckets if buckets is None else buckets
+        if bucket_key and count:
+            writer = writer.bucketBy(count, bucket_key).sortBy(bucket_key)
         writer.saveAsTable(version)
         return version
 

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from saleskiln.functions import hash_key, surrogate_key
 from saleskiln.functions.keys import packed, unpacked
-from saleskiln.plans import builds
+from saleskiln.operators import UpsertRule, upsert
+from saleskiln.plans import builds, runs
+from saleskiln.plans.contracts import TableContract
+from saleskiln.sources import tables
 from saleskiln.sources.tables import Warehouse
 from tests.test_operators import plan_text
 from workload import adapter
@@ -110,3 +113,57 @@ def test_stored_digests_are_compressed(spark):
         assert warehouse.stored_bytes(version) < 2000 * 64
     finally:
         warehouse.drop()
+
+
+FACTS = TableContract("silver", "facts", "hash_id string, sk_client string, n bigint, updated_timestamp timestamp", UpsertRule(("hash_id",), (), "updated_timestamp"), bucketed=True)
+
+
+def facts(spark, start, stop, add=0):
+    digest = lambda entity: F.sha2(F.concat(F.lit(entity), F.col("id").cast("string")), 256)
+    return spark.range(start, stop).select(digest("h").alias("hash_id"), F.when(F.col("id") % 7 > 0, digest("c")).alias("sk_client"), (F.col("id") + add).alias("n"))
+
+
+def test_large_batches_with_few_hits_are_not_exchanged(spark, monkeypatch):
+    warehouse = Warehouse.scratch(spark, small_batch_rows=20)
+    outer = []
+    monkeypatch.setattr(runs, "upsert", lambda *args: outer.append(1) or upsert(*args))
+    try:
+        runs.merge(warehouse, FACTS, facts(spark, 0, 100), unique=True)
+        few = runs.merge(warehouse, FACTS, facts(spark, 90, 200, 1000).unionByName(spark.createDataFrame([(None, "x", 1)], "hash_id string, sk_client string, n bigint")), unique=True)
+        assert (few.rows_inserted, few.rows_updated, outer) == (101, 10, [])
+        many = runs.merge(warehouse, FACTS, facts(spark, 50, 250, 5000), unique=True)
+        assert (many.rows_inserted, many.rows_updated, outer) == (50, 150, [1])
+        rows = warehouse.read("silver", "facts").where("hash_id is not null").orderBy("n").collect()
+        assert [r.n for r in rows] == [*range(50), *range(5050, 5250)]
+        assert [r.updated_timestamp is not None for r in rows] == [False] * 50 + [True] * 150 + [False] * 50
+        expected = {r.hash_id: r.sk_client for r in facts(spark, 0, 250).collect()}
+        assert {r.hash_id: r.sk_client for r in rows} == expected
+        assert spark.sql(f"SHOW TABLES IN {warehouse.database('staging')}").count() == 0
+    finally:
+        warehouse.drop()
+
+
+def test_digests_of_an_outer_merge_travel_packed(spark):
+    target = facts(spark, 0, 10).withColumn("updated_timestamp", F.lit(None).cast("timestamp"))
+    for but in ((), ("hash_id",)):
+        merged = runs.upsert_packed(target, facts(spark, 5, 15, 100), FACTS.rule, but)
+        optimized = plan_text(merged).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        assert optimized.index("unhex") > optimized.index("Join FullOuter")
+        assert {(r.hash_id, r.n) for r in merged.collect()} == {(r.hash_id, r.n) for r in facts(spark, 0, 5).union(facts(spark, 5, 15, 100)).collect()}
+
+
+def test_a_table_that_outgrows_its_buckets_gets_more(spark, monkeypatch):
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 1 << 11)
+    warehouse = Warehouse.scratch(spark, buckets=2)
+    try:
+        counts = []
+        for start, stop in ((0, 20), (10, 400), (390, 500), (0, 1500)):
+            runs.merge(warehouse, FACTS, facts(spark, start, stop, start), unique=True)
+            counts.append(warehouse.buckets_of("silver", "facts"))
+            files = spark.read.table(warehouse.versions("silver", "facts")[-1]).inputFiles()
+            assert len(files) <= counts[-1]
+        assert counts[0] <= counts[1] <= counts[2] <= counts[3] and counts[0] < counts[3] and all(n % 2 == 0 for n in counts)
+        rows = warehouse.read("silver", "facts").collect()
+        assert len(rows) == 1500 and {r.n for r in rows} == set(range(1500))
+    finally:
+        warehouse.drop()
